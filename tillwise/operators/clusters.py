@@ -26,12 +26,8 @@ def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol=VECTOR).transform(df)
 
 
-def fit_best_of(train: DataFrame, k: int, seed: int = K.SEED, restarts: int = K.RESTARTS) -> KMeansModel:
-    """The restart with the least training cost; one start may end badly."""
-    starts = (
-        KMeans(k=k, seed=seed + i, featuresCol=VECTOR, predictionCol=SEGMENT).fit(train) for i in range(restarts)
-    )
-    return min(starts, key=lambda m: m.summary.trainingCost)
+def fit_once(train: DataFrame, k: int, seed: int) -> KMeansModel:
+    return KMeans(k=k, seed=seed, featuresCol=VECTOR, predictionCol=SEGMENT).fit(train)
 
 
 def silhouette(labelled: DataFrame) -> float | None:
@@ -56,14 +52,14 @@ class ClusterSearch:
     k_range: Iterable[int] = K.K_RANGE
     seed: int = K.SEED
     restarts: int = K.RESTARTS
-    parallelism: int = 4
+    parallelism: int = 8
     best_k: int | None = None
     best_model: KMeansModel | None = None
     metrics: list[tuple[int, float | None, float | None, float]] = field(default_factory=list)
 
     def fit(self) -> ClusterSearch:
         """Features are written once to the shared folder and kept, as each
-        iteration of each fit reads them; small fits run side by side."""
+        iteration of each fit reads them; fits run side by side."""
         keys = [c for c in self.train.columns if c not in self.columns]
         train, test = (
             reused(cut_lineage(assemble(part, self.columns).select(*keys, *self.columns, VECTOR)))
@@ -71,21 +67,24 @@ class ClusterSearch:
         )
         self._train, self._test = train, test
 
-        def fit_one(k: int):
-            model = fit_best_of(train, k, self.seed, self.restarts)
-            return (
-                k,
-                model,
-                silhouette(model.transform(train)),
-                silhouette(model.transform(test)),
-                float(model.summary.trainingCost),
-            )
+        def start(task: tuple[int, int]) -> KMeansModel:
+            return fit_once(train, *task)
 
+        def judge(model: KMeansModel):
+            return silhouette(model.transform(train)), silhouette(model.transform(test))
+
+        ks = list(self.k_range)
+        seeds = [self.seed + i for i in range(self.restarts)]
+        with_session = inheritable_thread_target(train.sparkSession)
         with ThreadPool(self.parallelism) as pool:
-            fitted = pool.map(inheritable_thread_target(train.sparkSession)(fit_one), list(self.k_range))
+            models = pool.map(with_session(start), [(k, s) for k in ks for s in seeds])
+            # Of the restarts of one k the least training cost counts.
+            of_k = [models[i * len(seeds) : (i + 1) * len(seeds)] for i in range(len(ks))]
+            kept = [min(group, key=lambda m: m.summary.trainingCost) for group in of_k]
+            scores = pool.map(with_session(judge), kept)
         best = -1.0
-        self.metrics = [(k, on_train, on_test, cost) for k, _, on_train, on_test, cost in fitted]
-        for k, model, on_train, _, _ in fitted:
+        for k, model, (on_train, on_test) in zip(ks, kept, scores):
+            self.metrics.append((k, on_train, on_test, float(model.summary.trainingCost)))
             if on_train is not None and on_train > best:
                 best, self.best_k, self.best_model = on_train, k, model
         return self

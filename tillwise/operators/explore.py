@@ -279,24 +279,24 @@ def peak_periods(tx: DataFrame) -> DataFrame:
     def hours(start, length):
         return F.format_string("%02d:00-%02d:00", start, start + length)
 
-    hour = F.col("hour")
+    def place(kind, key, label):
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), label.alias("label"))
+
+    month, weekday, hour = F.col("month"), F.col("weekday"), F.col("hour")
+    names = F.array(*[F.lit(n) for n in K.WEEKDAY_NAMES])
     places = F.array_compact(
         F.array(
-            F.struct(F.lit("month").alias("kind"), F.col("month").alias("key"), F.col("month").alias("label")),
-            F.struct(
-                F.lit("weekday"),
-                F.col("weekday").cast("string"),
-                F.array(*[F.lit(n) for n in K.WEEKDAY_NAMES])[F.col("weekday")],
-            ),
-            F.struct(F.lit("hour"), hours(hour, 1), hours(hour, 1)),
-            F.when(hour <= 22, F.struct(F.lit("two_hours"), hours(hour, 2), hours(hour, 2))),
-            F.when(hour >= 1, F.struct(F.lit("two_hours"), hours(hour - 1, 2), hours(hour - 1, 2))),
+            place("month", month, month),
+            place("weekday", weekday.cast("string"), names[weekday]),
+            place("hour", hours(hour, 1), hours(hour, 1)),
+            F.when(hour <= 22, place("two_hours", hours(hour, 2), hours(hour, 2))),
+            F.when(hour >= 1, place("two_hours", hours(hour - 1, 2), hours(hour - 1, 2))),
         )
     )
     periods = (
         cells.select(F.explode(places).alias("p"), "revenue")
         .groupBy("p.kind", "p.key", "p.label")
-        .agg(_sum_money("revenue").alias("revenue"))
+        .agg(exact_sum(F.col("revenue")).alias("revenue"))
     )
     first = Window.partitionBy("kind").orderBy(F.desc("revenue"), "key")
     return periods.withColumn("place", F.row_number().over(first)).filter(F.col("place") == 1).select(
@@ -304,10 +304,6 @@ def peak_periods(tx: DataFrame) -> DataFrame:
     )
 
 
-def _sum_money(name: str):
-    return exact_sum(F.col(name))
-
-
 def partial_months(tx: DataFrame) -> DataFrame:
     """Per month the dates seen; the first or last month is partial when its
     dates do not reach the month's own first or last day."""

@@ -12,7 +12,7 @@ from tillwise.plans.inputs import keyed, scaled_customers, segmented_customers
 from tillwise.plans.oracle_parts import FEATURES, FIXED_CENTRES, money, nearest, rounded, scaled, sql
 from tillwise.plans.registry import register
 from tillwise.session import new_shared_path, reused
-from tillwise.sources.retail import customers, retail
+from tillwise.sources.retail import customers, lines, retail
 from tillwise.streaming.live import score_customers
 
 # Restarts and k of the registered K-Means fits; the library defaults are more.
@@ -39,19 +39,19 @@ def _six(df):
     ),
 )
 def line_total(spark, sf_dir):
-    tx = rfm.with_line_total(retail(spark, sf_dir).drop("TotalPrice"))
+    tx = rfm.with_line_total(lines(spark, sf_dir).drop("TotalPrice"))
     return tx.select("InvoiceNo", "StockCode", "Quantity", round_even(F.col("TotalPrice"), 2).alias("TotalPrice"))
 
 
 @register("snapshot_date", sql("SELECT strftime(snapshot, '%Y-%m-%d %H:%M:%S') AS SnapshotDate FROM snap", "snap"))
 def snapshot_date(spark, sf_dir):
-    return rfm.snapshot_date(retail(spark, sf_dir))
+    return rfm.snapshot_date(lines(spark, sf_dir))
 
 
 def _register_feature(name: str, feature: str) -> None:
     @register(name, sql(f"SELECT CustomerID, {feature} FROM rfm", "rfm"))
     def one_feature(spark, sf_dir):
-        return rfm.rfm_features(retail(spark, sf_dir), [feature])
+        return rfm.rfm_features(lines(spark, sf_dir), [feature])
 
 
 for _name, _feature in {
@@ -83,7 +83,7 @@ ON a.CustomerID = c.CustomerID""",
     ),
 )
 def rfm_outer_align(spark, sf_dir):
-    tx = retail(spark, sf_dir)
+    tx = retail(spark, sf_dir, description=False)
     some = tx.filter(F.col("Country") < "NATION_2")
     return rfm.align_by_customer(
         [
@@ -231,7 +231,7 @@ def kmeans_segments(spark, sf_dir):
 @register("k_selection")
 def k_selection(spark, sf_dir):
     data = preprocess.prepare_training(customers(spark, sf_dir))
-    search = clusters.ClusterSearch(data.train, data.test, RFM_FEATURES, restarts=RESTARTS, parallelism=6).fit()
+    search = clusters.ClusterSearch(data.train, data.test, RFM_FEATURES, restarts=RESTARTS).fit()
     return search.metrics_frame().withColumn("chosen", (F.col("k") == search.best_k).cast("bigint"))
 
 

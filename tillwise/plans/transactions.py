@@ -11,7 +11,7 @@ from tillwise.plans.oracle_parts import money, rounded, sql
 from tillwise.plans.registry import register
 from tillwise.session import new_shared_path
 from tillwise.sources import files
-from tillwise.sources.retail import customers, purchases, retail, retail_dirty
+from tillwise.sources.retail import customers, lines, purchases, retail, retail_dirty
 
 LABEL = "'%Y-%m-%d %H:%M:%S'"
 RETAIL_COLUMNS = {
@@ -124,7 +124,7 @@ def _rounded_describe(df):
 
 @register("describe", sql(_describe_sql("retail", ["Quantity", "UnitPrice", "TotalPrice"]), "retail"))
 def describe(spark, sf_dir):
-    return _rounded_describe(profile.describe(retail(spark, sf_dir), ["Quantity", "UnitPrice", "TotalPrice"]))
+    return _rounded_describe(profile.describe(lines(spark, sf_dir), ["Quantity", "UnitPrice", "TotalPrice"]))
 
 
 # --- cleaning --------------------------------------------------------------
@@ -244,7 +244,7 @@ count(DISTINCT InvoiceNo) AS orders, count(DISTINCT CustomerID) AS customers FRO
     ),
 )
 def monthly_trend(spark, sf_dir):
-    return explore.monthly_trend(retail(spark, sf_dir))
+    return explore.monthly_trend(lines(spark, sf_dir))
 
 
 WEEKDAY = "CASE isodow({d}) WHEN 1 THEN 'Mon' WHEN 2 THEN 'Tue' WHEN 3 THEN 'Wed' WHEN 4 THEN 'Thu' WHEN 5 THEN 'Fri' WHEN 6 THEN 'Sat' ELSE 'Sun' END"
@@ -259,7 +259,7 @@ count(DISTINCT InvoiceNo) AS orders, isodow(InvoiceDate) - 1 AS weekday_no FROM
     ),
 )
 def weekday_trend(spark, sf_dir):
-    return explore.weekday_trend(retail(spark, sf_dir))
+    return explore.weekday_trend(lines(spark, sf_dir))
 
 
 @register(
@@ -297,7 +297,7 @@ count(DISTINCT CustomerID) AS customers FROM retail GROUP BY Country) ORDER BY r
     ),
 )
 def country_revenue(spark, sf_dir):
-    return explore.country_revenue(retail(spark, sf_dir))
+    return explore.country_revenue(retail(spark, sf_dir, description=False))
 
 
 @register(
@@ -310,7 +310,7 @@ ORDER BY revenue DESC, StockCode, Description LIMIT 10""",
     ),
 )
 def product_revenue(spark, sf_dir):
-    return explore.product_revenue(retail(spark, sf_dir))
+    return explore.product_revenue(retail(spark, sf_dir, country=False))
 
 
 @register(
@@ -322,7 +322,7 @@ FROM (SELECT count(*) AS n, sum(Quantity) AS u FROM retail GROUP BY InvoiceNo)""
     ),
 )
 def basket_shape(spark, sf_dir):
-    shape = explore.basket_shape(retail(spark, sf_dir))
+    shape = explore.basket_shape(lines(spark, sf_dir))
     return shape.select(*[round_even(F.col(c), 6).alias(c) for c in shape.columns])
 
 
@@ -391,7 +391,7 @@ FROM (SELECT Country, {money("TotalPrice")} AS revenue FROM retail GROUP BY Coun
     ),
 )
 def country_concentration(spark, sf_dir):
-    return explore.country_concentration(retail(spark, sf_dir))
+    return explore.country_concentration(retail(spark, sf_dir, description=False))
 
 
 @register(
@@ -460,7 +460,7 @@ max(CAST(InvoiceDate AS DATE)) AS last_date FROM retail GROUP BY 1)""",
     ),
 )
 def partial_months(spark, sf_dir):
-    return explore.partial_months(retail(spark, sf_dir))
+    return explore.partial_months(lines(spark, sf_dir))
 
 
 HISTOGRAM_OF_LINES = {"Quantity": 40, "UnitPrice": 40, "TotalPrice": 40}
@@ -490,7 +490,7 @@ def rounded_edges(df):
     ),
 )
 def histogram_transactions(spark, sf_dir):
-    return rounded_edges(charts.histograms(retail(spark, sf_dir), HISTOGRAM_OF_LINES))
+    return rounded_edges(charts.histograms(lines(spark, sf_dir), HISTOGRAM_OF_LINES))
 
 
 @register(
@@ -502,4 +502,4 @@ day(InvoiceDate) AS "Day", isodow(InvoiceDate) - 1 AS DayOfWeek FROM retail""",
     ),
 )
 def date_parts(spark, sf_dir):
-    return explore.date_parts(retail(spark, sf_dir)).select("InvoiceNo", "StockCode", "Year", "Month", "Day", "DayOfWeek")
+    return explore.date_parts(lines(spark, sf_dir)).select("InvoiceNo", "StockCode", "Year", "Month", "Day", "DayOfWeek")

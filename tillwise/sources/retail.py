@@ -9,44 +9,65 @@ from tillwise.constants import CUSTOMER_KEY
 from tillwise.operators.rfm import rfm_features
 
 
+# The columns used here; an explicit schema saves the job that infers one.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, l_discount double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+    "part": "p_partkey bigint, p_name string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def retail(spark: SparkSession, sf_dir: str) -> DataFrame:
+def retail(
+    spark: SparkSession, sf_dir: str, country: bool = True, description: bool = True
+) -> DataFrame:
     """One row per invoice line. A discount of 0.10 stands for a give-away.
 
-    No join is hinted: Spark broadcasts the small sides by their file size and
-    shuffles them once they have grown.
+    Lines and orders are joined by order; the country and the product name are
+    joined only where asked for. Each line has exactly one customer and part,
+    so leaving these out changes no row. No join is hinted: Spark broadcasts a
+    side by its file size and shuffles it once it has grown.
     """
     line, order = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    part = table(spark, sf_dir, "part")
+    tx = line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
+    if country:
+        customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+        place = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        tx = tx.join(place, F.col("o_custkey") == F.col("c_custkey"))
+    if description:
+        tx = tx.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     free = F.col("l_discount") == 0.1
-    return (
-        line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .select(
-            F.col("l_orderkey").cast("string").alias("InvoiceNo"),
-            F.col("l_partkey").cast("string").alias("StockCode"),
-            F.col("p_name").alias("Description"),
-            F.col("l_quantity").cast("int").alias("Quantity"),
-            F.col("o_orderdate").alias("InvoiceDate"),
-            F.when(free, F.lit(0.0)).otherwise(F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0))).alias("UnitPrice"),
-            F.col("o_custkey").alias(CUSTOMER_KEY),
-            F.col("n_name").alias("Country"),
-            F.when(free, F.lit(0.0)).otherwise(F.col("l_extendedprice")).alias("TotalPrice"),
-        )
-    )
+    price = F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0))
+    columns = {
+        "InvoiceNo": F.col("l_orderkey").cast("string"),
+        "StockCode": F.col("l_partkey").cast("string"),
+        "Description": F.col("p_name") if description else None,
+        "Quantity": F.col("l_quantity").cast("int"),
+        "InvoiceDate": F.col("o_orderdate"),
+        "UnitPrice": F.when(free, F.lit(0.0)).otherwise(price),
+        CUSTOMER_KEY: F.col("o_custkey"),
+        "Country": F.col("n_name") if country else None,
+        "TotalPrice": F.when(free, F.lit(0.0)).otherwise(F.col("l_extendedprice")),
+    }
+    return tx.select(*[c.alias(n) for n, c in columns.items() if c is not None])
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``retail`` without country and product name."""
+    return retail(spark, sf_dir, country=False, description=False)
 
 
 def retail_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``retail`` with dirt put in by rule: text dates, missing customers,
     quantities at or below zero, repeated rows."""
     stock, invoice = F.col("StockCode").cast("bigint"), F.col("InvoiceNo").cast("bigint")
-    once = retail(spark, sf_dir).select(
+    once = retail(spark, sf_dir, description=False).select(
         "InvoiceNo",
         "StockCode",
         F.when(stock % 61 == 0, -F.col("Quantity"))
@@ -81,4 +102,4 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RFM features of every customer of ``retail``."""
-    return rfm_features(retail(spark, sf_dir))
+    return rfm_features(lines(spark, sf_dir))
