@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
@@ -18,6 +19,7 @@ from tillwise.session import cut_lineage, reused
 
 VECTOR = "features"
 SEGMENT = "Segment"
+ROWS_PER_PART = 50_000
 
 Centres = Mapping[int, Sequence[float]]
 
@@ -42,6 +44,11 @@ def silhouette(labelled: DataFrame) -> float | None:
     return ClusteringEvaluator(featuresCol=VECTOR, predictionCol=SEGMENT).evaluate(labelled)
 
 
+def _fewer_parts(stored: DataFrame) -> DataFrame:
+    """Merge small partitions: each iteration runs one task for each of them."""
+    return stored.coalesce(max(1, math.ceil(stored.count() / ROWS_PER_PART)))
+
+
 @dataclass
 class ClusterSearch:
     """Fit K-Means for each k on the train part; keep the best train silhouette."""
@@ -62,7 +69,7 @@ class ClusterSearch:
         iteration of each fit reads them; fits run side by side."""
         keys = [c for c in self.train.columns if c not in self.columns]
         train, test = (
-            reused(cut_lineage(assemble(part, self.columns).select(*keys, *self.columns, VECTOR)))
+            reused(_fewer_parts(cut_lineage(assemble(part, self.columns).select(*keys, *self.columns, VECTOR))))
             for part in (self.train, self.test)
         )
         self._train, self._test = train, test

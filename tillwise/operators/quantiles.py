@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ MARGIN = 3.0 / ACCURACY
 
 # Up to this many values the built-in exact aggregate is used. It has to stay
 # well above 2 / MARGIN, so that the margin of a bracket is at least two rows.
-SMALL_ROWS = 200_000
+SMALL_ROWS = 50_000
 
 Targets = Mapping[str, tuple[str, float]]
 
@@ -69,30 +70,56 @@ def _around(p: float) -> tuple[float, float]:
 
 
 def _within_brackets(df: DataFrame, targets: Targets, sizes, cuts) -> dict[str, float]:
-    marks, picked = [], []
-    for alias, (column, p) in targets.items():
+    inside, below, marks, picked = [], [], [], []
+    for i, (alias, (column, p)) in enumerate(targets.items()):
         value = F.col(column).cast("double")
         # A column with few values of its own is counted whole.
         whole = sizes[column] <= SMALL_ROWS
         low, high = (-math.inf, math.inf) if whole else (cuts[column][b] for b in _around(p))
-        inside = F.when(value >= F.lit(low), value)
-        marks.append(F.when(value <= F.lit(high), F.struct(F.lit(alias).alias("target"), inside.alias("value"))))
+        inside.append(F.coalesce((value >= F.lit(low)) & (value <= F.lit(high)), F.lit(False)))
+        below.append(F.when(value < F.lit(low), F.lit(1)))
+        marks.append(F.when(inside[i], _mark(i, value)))
         position = p * (sizes[column] - 1)
-        mine = F.col("target") == alias
+        mine = F.col("target") == i
         for side, rank in (("lo", math.floor(position)), ("hi", math.ceil(position))):
             picked.append(F.min(F.when(mine & (F.col("upto") > rank), F.col("value"))).alias(f"{alias}_{side}"))
-        below = F.max(F.when(mine & F.col("value").isNull(), F.col("upto")))
-        picked.append(F.coalesce(below, F.lit(0)).alias(f"{alias}_below"))
-    counted = (
-        df.select(F.explode(F.array_compact(F.array(*marks))).alias("m"))
+        under = F.max(F.when(mine & F.col("value").isNull(), F.col("upto")))
+        picked.append(F.coalesce(under, F.lit(0)).alias(f"{alias}_below"))
+
+    # Nearly all rows are outside every bracket: they form one group, combined
+    # before the shuffle, that carries their counts. A row with several marks
+    # is counted as below with its first mark only.
+    first_mark = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    any_inside = reduce(Column.__or__, inside)
+    grouped = (
+        df.select(
+            *[c.alias(f"below_{i}") for i, c in enumerate(below)],
+            F.posexplode_outer(F.when(any_inside, F.array_compact(F.array(*marks)))).alias("pos", "m"),
+        )
         .groupBy("m.target", "m.value")
-        .agg(F.count("*").alias("n"))
+        .agg(
+            F.count("*").alias("n"),
+            *[F.count(F.when(first_mark, F.col(f"below_{i}"))).alias(f"below_{i}") for i in range(len(below))],
+        )
+    )
+    # Counts below become the row without a value of their target.
+    entries = [F.struct("target", "value", "n")]
+    entries += [F.struct(F.lit(i), F.lit(None).cast("double"), F.col(f"below_{i}")) for i in range(len(below))]
+    counted = (
+        grouped.select(F.inline(F.array(*[e.cast("struct<target:int,value:double,n:bigint>") for e in entries])))
+        .filter(F.col("target").isNotNull() & (F.col("n") > 0))
+        .groupBy("target", "value")
+        .agg(F.sum("n").alias("n"))
     )
     upto = Window.partitionBy("target").orderBy(F.col("value").asc_nulls_first())
     row = one_row(counted.withColumn("upto", F.sum("n").over(upto)).agg(*picked))
     return {a: _interpolate(row, a, p * (sizes[c] - 1)) for a, (c, p) in targets.items()}
 
 
+def _mark(target: int, value: Column) -> Column:
+    return F.struct(F.lit(target).alias("target"), value.alias("value"))
+
+
 def _interpolate(row, alias: str, position: float) -> float:
     low, high = row[f"{alias}_lo"], row[f"{alias}_hi"]
     if low is None or high is None or row[f"{alias}_below"] > math.floor(position):
