@@ -36,8 +36,10 @@ def test_split_sizes_order_and_no_overlap(spark, frame):
     assert test_ids == set(want)
 
 
+@pytest.mark.parametrize("short", [10_000, 0])
 @pytest.mark.parametrize("days,ratio", [([1] * 10, 0.2), ([1, 2, 3, 4], 0.5), ([1, 2], 0.2), ([1, 1, 2], 0.0), ([None, None, 1], 0.67), ([1, 2], 1.0)])
-def test_split_edges(spark, days, ratio):
+def test_split_edges(spark, monkeypatch, days, ratio, short):
+    monkeypatch.setattr(preprocess, "SHORT_ORDER", short)
     rows = list(enumerate(days))
     train, test = preprocess.time_split(spark.createDataFrame(rows, "CustomerID bigint, Recency bigint"), ratio)
     order = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))

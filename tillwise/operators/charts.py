@@ -51,19 +51,19 @@ def histograms(df: DataFrame, bins: Mapping[str, int], by: str | None = None) ->
         if lo is None:
             continue
         place = F.floor((value - F.lit(lo)) / F.lit(hi - lo) * n) if hi > lo else F.lit(0)
-        place = F.least(place.cast("bigint"), F.lit(n - 1).cast("bigint"))
-        marks.append(
-            F.when(value.isNotNull(), F.struct(F.lit(column).alias("column_name"), place.alias("bin")))
-        )
+        # least() passes over nulls, so a missing value is kept out first.
+        place = F.when(value.isNotNull(), F.least(place.cast("bigint"), F.lit(n - 1).cast("bigint")))
+        marks.append(F.struct(F.lit(column).alias("column_name"), place.alias("bin")))
         edge = F.struct(F.lit(lo).alias("lo"), F.lit((hi - lo) / n).alias("width"))
         edges = F.when(F.col("column_name") == column, edge).otherwise(edges)
     group = [by] if by else []
     if not marks:
-        nothing = F.struct(F.lit("").alias("column_name"), F.lit(0).cast("bigint").alias("bin"))
-        marks, edges = [F.when(F.lit(False), nothing)], F.struct(F.lit(0.0).alias("lo"), F.lit(0.0).alias("width"))
+        nothing = F.struct(F.lit("").alias("column_name"), F.lit(None).cast("bigint").alias("bin"))
+        marks, edges = [nothing], F.struct(F.lit(0.0).alias("lo"), F.lit(0.0).alias("width"))
     return (
-        df.select(*group, F.explode(F.array_compact(F.array(*marks))).alias("m"))
-        .groupBy(*group, "m.column_name", "m.bin")
+        df.select(*group, F.inline(F.array(*marks)))
+        .filter(F.col("bin").isNotNull())
+        .groupBy(*group, "column_name", "bin")
         .agg(F.count("*").alias("n_rows"))
         .withColumn("_e", edges)
         .select(

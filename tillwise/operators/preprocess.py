@@ -17,6 +17,9 @@ from tillwise.session import one_row
 Caps = Mapping[str, float]
 Scaler = Mapping[str, tuple[float, float]]
 
+# Up to this place the customers of the cut day are found by a plain top-k.
+SHORT_ORDER = 10_000
+
 
 def upper_caps(df: DataFrame, columns: Sequence[str], percentile: float = K.CAP_PERCENTILE) -> Caps:
     return exact_quantiles(df, {c: (c, percentile) for c in columns})
@@ -48,8 +51,7 @@ def time_split(rfm: DataFrame, test_ratio: float = K.TEST_RATIO) -> tuple[DataFr
 
     Equal Recency is ordered by CustomerID. Customers are counted per day, the
     cut day is found on that small table, and only the customers of the cut day
-    are ranked; the rest is a filter. Fitting the cut runs jobs, and ranking
-    writes to the shared folder.
+    are ordered; the rest is a filter. Fitting the cut runs jobs.
     """
     require_columns(rfm, [K.CUSTOMER_KEY, "Recency"], "time split")
     keys = rfm.select("Recency", K.CUSTOMER_KEY)
@@ -77,13 +79,22 @@ def time_split(rfm: DataFrame, test_ratio: float = K.TEST_RATIO) -> tuple[DataFr
         is_test, in_cut_day = recency < cut.Recency, recency == cut.Recency
     from_cut_day = cut.wanted - (cut.upto - cut.here)
     if from_cut_day > 0:
-        ranked = global_rank(keys.filter(in_cut_day).select(K.CUSTOMER_KEY), [customer.asc()])
-        last = one_row(ranked.filter(F.col("Rank") == from_cut_day).select(K.CUSTOMER_KEY))[0]
+        last = _customer_at(keys.filter(in_cut_day).select(K.CUSTOMER_KEY), from_cut_day)
         is_test = is_test | (in_cut_day & (customer <= F.lit(last)))
     is_test = F.coalesce(is_test, F.lit(False))
     return rfm.filter(~is_test), rfm.filter(is_test)
 
 
+def _customer_at(customers: DataFrame, place: int) -> object:
+    """The id at a 1-based place in order of id."""
+    customer = F.col(K.CUSTOMER_KEY)
+    if place <= SHORT_ORDER:
+        # A top-k of checked size.
+        return one_row(customers.orderBy(customer).limit(place).agg(F.max(customer)))[0]
+    ranked = global_rank(customers, [customer.asc()])
+    return one_row(ranked.filter(F.col("Rank") == place).select(customer))[0]
+
+
 def fit_scaler(df: DataFrame, columns: Sequence[str]) -> Scaler:
     """(mean, population std) per column. A constant column has std 1, so that
     scaling only shifts it."""

@@ -2,28 +2,35 @@
 
 The built-in ``percentile`` keeps every distinct value in one aggregation
 buffer. That is fine for day counts and small tables, not for money over a
-billion customers. Beyond a checked number of rows, a sketch brackets each
-wanted rank, and one more pass counts exactly: rows below the bracket as one
-number, rows inside it by value. Only the bracket (a few ten-thousandths of the
-rows, fewer where values repeat) is ordered, so a value held by a third of all
-rows is one counted row.
+billion customers. Beyond a checked number of rows, sketches bracket each wanted
+rank, and one more pass counts exactly: rows below the bracket as one number,
+rows inside it by value. Only the bracket (a few thousandths of the rows, fewer
+where values repeat) is ordered, so a value held by a third of all rows is one
+counted row.
+
+One sketch for a whole table would be merged from all its tasks by one reducer.
+So tasks are merged in groups, each group gives an even grid of its quantiles,
+and the grids, weighted by rows, give the bracket.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise.session import one_row
 
-# The sketch is off by at most 1 / ACCURACY of the rows; the bracket allows
-# for three times as much, and a bracket that misses raises an error.
+# A sketch is off by at most 1 / ACCURACY of the rows of its group, its grid by
+# 1 / GRID more. The bracket allows for more than that on each side, and a
+# bracket that misses raises an error.
 ACCURACY = 10_000
-MARGIN = 3.0 / ACCURACY
+GRID = 1_000
+GROUPS = 64
+MARGIN = 1.5 * (1 / ACCURACY + 1 / GRID)
 
 # Up to this many values the built-in exact aggregate is used. It has to stay
 # well above 2 / MARGIN, so that the margin of a bracket is at least two rows.
@@ -33,27 +40,22 @@ Targets = Mapping[str, tuple[str, float]]
 
 
 def exact_quantiles(df: DataFrame, targets: Targets, also: Mapping[str, Column] | None = None) -> dict[str, object]:
-    """Numbers for ``alias -> (column, probability)``, fitted with two jobs.
+    """Numbers for ``alias -> (column, probability)``, fitted by jobs.
 
     Interpolates linearly between neighbouring ranks; nulls are left out; a
     column without values gives None. ``also`` are further aggregates over
-    ``df`` that ride along in the first job. Reads ``df`` twice, so pass a
-    reused or stored frame when it is costly to compute.
+    ``df`` that ride along with the first count. Reads ``df`` twice, or three
+    times when it is large, so pass a reused or stored frame when it is costly
+    to compute.
     """
     columns = list(dict.fromkeys(column for column, _ in targets.values()))
-    bounds = {c: sorted({b for col, p in targets.values() if col == c for b in _around(p)}) for c in columns}
     first = one_row(
         df.agg(
             *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
-            *[
-                F.percentile_approx(F.col(c).cast("double"), bounds[c], ACCURACY).alias(f"q_{i}")
-                for i, c in enumerate(columns)
-            ],
             *[c.alias(f"also_{n}") for n, c in (also or {}).items()],
         )
     )
     sizes = {c: first[f"n_{i}"] for i, c in enumerate(columns)}
-    cuts = {c: dict(zip(bounds[c], first[f"q_{i}"] or [])) for i, c in enumerate(columns)}
     found: dict[str, object] = {a: None for a in targets}
     wanted = {a: t for a, t in targets.items() if sizes[t[0]] > 0}
     if wanted and max(sizes.values()) <= SMALL_ROWS:
@@ -61,21 +63,58 @@ def exact_quantiles(df: DataFrame, targets: Targets, also: Mapping[str, Column]
             df.agg(*[F.percentile(F.col(c).cast("double"), p).alias(a) for a, (c, p) in wanted.items()])
         ).asDict()
     elif wanted:
-        found |= _within_brackets(df, wanted, sizes, cuts)
+        found |= _within_brackets(df, wanted, sizes, _brackets(df, wanted, sizes))
     return found | {n: first[f"also_{n}"] for n in (also or {})}
 
 
+def _brackets(df: DataFrame, targets: Targets, sizes: Mapping[str, int]) -> dict[str, tuple[float, float]]:
+    """(low, high) around each wanted rank; a short column is taken whole."""
+    long = list(dict.fromkeys(c for c, _ in targets.values() if sizes[c] > SMALL_ROWS))
+    # One expression; as a list each point would be a call of its own.
+    even = F.expr("array(" + ", ".join(f"{i / GRID}D" for i in range(GRID + 1)) + ")")
+    grids = df.groupBy((F.spark_partition_id() % GROUPS).alias("_group")).agg(
+        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(long)],
+        *[F.percentile_approx(F.col(c).cast("double"), even, ACCURACY).alias(f"q_{i}") for i, c in enumerate(long)],
+    )
+    # At most GROUPS * GRID points for each column.
+    points = grids.select(
+        F.inline(
+            F.concat(
+                *[
+                    F.transform(
+                        F.coalesce(f"q_{i}", F.array().cast("array<double>")),
+                        partial(_point, i, F.col(f"n_{i}")),
+                    )
+                    for i in range(len(long))
+                ]
+            )
+        )
+    )
+    asked = {a: (long.index(c), b) for a, (c, p) in targets.items() if c in long for b in [_around(p)]}
+    row = one_row(
+        points.agg(
+            *[
+                F.percentile(F.when(F.col("column") == i, F.col("value")), list(b), F.col("weight")).alias(a)
+                for a, (i, b) in asked.items()
+            ]
+        )
+    )
+    return {a: tuple(row[a]) if a in asked else (-math.inf, math.inf) for a in targets}
+
+
+def _point(column: int, weight: Column, value: Column) -> Column:
+    return F.struct(F.lit(column).alias("column"), value.alias("value"), weight.alias("weight"))
+
+
 def _around(p: float) -> tuple[float, float]:
     return max(p - MARGIN, 0.0), min(p + MARGIN, 1.0)
 
 
-def _within_brackets(df: DataFrame, targets: Targets, sizes, cuts) -> dict[str, float]:
+def _within_brackets(df: DataFrame, targets: Targets, sizes, brackets) -> dict[str, float]:
     inside, below, marks, picked = [], [], [], []
     for i, (alias, (column, p)) in enumerate(targets.items()):
         value = F.col(column).cast("double")
-        # A column with few values of its own is counted whole.
-        whole = sizes[column] <= SMALL_ROWS
-        low, high = (-math.inf, math.inf) if whole else (cuts[column][b] for b in _around(p))
+        low, high = brackets[alias]
         inside.append(F.coalesce((value >= F.lit(low)) & (value <= F.lit(high)), F.lit(False)))
         below.append(F.when(value < F.lit(low), F.lit(1)))
         marks.append(F.when(inside[i], _mark(i, value)))
