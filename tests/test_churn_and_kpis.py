@@ -97,6 +97,12 @@ def test_absent_optional_columns_give_null(spark, four):
     assert "HighRiskPct" not in kpi.segment_kpis(bare.withColumn("Segment_Name", F.lit("a"))).columns
 
 
+def test_median_of_fractional_recency(spark):
+    df = frame(spark, [(1, 1.5, 1.0, 1.0), (2, 4.0, 1.0, 1.0)])
+    assert kpi.customer_kpis(df).first().median_recency_days == 2.8
+    assert kpi.customer_kpis(df.withColumn("Recency", F.col("Recency").cast("int"))).first().median_recency_days == 2.5
+
+
 def test_zero_frequency_is_left_out_of_the_order_value(spark):
     df = frame(spark, [(1, 1.0, 0.0, 10.0), (2, 1.0, 2.0, 10.0)])
     assert kpi.revenue_kpis(df).first().avg_order_value == 5.0

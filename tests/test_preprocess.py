@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillwise.constants import RFM_FEATURES
 from tillwise.operators import cleaning, preprocess
-from tillwise.operators.profile import column_info, describe, missing_pct
+from tillwise.operators.profile import column_info, describe, health_check, missing_pct
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +99,5 @@ def test_profile_of_empty_and_missing(spark):
     row = describe(df).first()
     assert (row["count"], row["mean"], row["p50"]) == (2, 1.5, 1.5)
     assert describe(df.limit(0)).first()["count"] == 0
+    report = health_check(df, ["a"], rows=2)
+    assert set(report) == {"preview", "columns", "missing_pct", "describe"} and report["preview"].count() == 2

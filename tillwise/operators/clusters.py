@@ -96,6 +96,11 @@ class ClusterSearch:
                 best, self.best_k, self.best_model = on_train, k, model
         return self
 
+    def release(self) -> None:
+        """Give the kept features back; they can still be read from the folder."""
+        self._train.unpersist()
+        self._test.unpersist()
+
     def metrics_frame(self) -> DataFrame:
         return self.train.sparkSession.createDataFrame(
             self.metrics, "k bigint, train_silhouette double, test_silhouette double, inertia double"

@@ -60,11 +60,17 @@ def _customers(df: DataFrame) -> Metrics:
         "active_rate_pct": round_even(pct(active, rows), 1),
         "churn_rate_pct": round_even(pct(high, rows), 1) if "ChurnRisk" in df.columns else _missing(),
         "avg_tenure_days": round_even(F.avg("Tenure"), 1) if "Tenure" in df.columns else _missing(),
-        # Whole days: as many distinct values as the history has days.
-        "median_recency_days": round_even(F.percentile("Recency", 0.5), 1),
+        "median_recency_days": round_even(_median_recency(df), 1),
     }
 
 
+def _median_recency(df: DataFrame) -> Column:
+    if dict(df.dtypes)["Recency"] in ("int", "bigint"):
+        # Whole days: as many distinct values as the history has days.
+        return F.percentile("Recency", 0.5)
+    return F.lit(exact_quantiles(df, {"median": ("Recency", 0.5)})["median"]).cast("double")
+
+
 def _engagement(df: DataFrame) -> Metrics:
     rows = F.count("*")
     return {

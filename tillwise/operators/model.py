@@ -85,6 +85,7 @@ def fit_segment_model(
     centres = centres_of(search.best_model)
     named = segment_names(predict_segments(rfm, data.scaler, centres, features))
     names = {r[SEGMENT]: r[NAME] for r in named.collect()}
+    search.release()
     # A cluster that got no customer still needs a name for later ones.
     names = {i: names.get(i, K.SEGMENT_LABEL_BEYOND) for i in centres}
     return SegmentModel(features, dict(data.scaler), caps, centres, names, search.best_model), search

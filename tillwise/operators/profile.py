@@ -47,6 +47,16 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [n for n, t in df.dtypes if t in NUMERIC_TYPES or t.startswith("decimal")]
 
 
+def health_check(df: DataFrame, order_by: list[str], rows: int = 5) -> dict[str, DataFrame]:
+    """Everything one looks at after loading a table."""
+    return {
+        "preview": preview(df, order_by, rows),
+        "columns": column_info(df),
+        "missing_pct": missing_pct(df),
+        "describe": describe(df),
+    }
+
+
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """count, mean, std, min, quartiles and max: one row per numeric column."""
     columns = columns or numeric_columns(df)
