@@ -8,9 +8,9 @@
    candidates. At a similarity of 0.75 a pair agrees in none with a probability of
    (1 - 0.75^4)^40 = 2.5e-7; higher ones are missed still less.
 4. Pairs are tested in rounds. In each round every open band key names pivots (at
-   first one, then up to 4, 16, 64 ...: the smallest class of each residue that
+   first up to 4, then up to 32, 256 ...: the smallest class of each residue that
    has not been one), and its other classes are paired with them, unless they are
-   linked already by then. A key is open while it holds classes of different
+   linked already by then or the pair was tested before. A key is open while it holds classes of different
    components that were not all tested. A group of thousands of near copies is
    closed after the first round: no pairs within groups are emitted, none is left out.
 5. A pair's similarity is first estimated from registers, less the share that
@@ -46,8 +46,12 @@ PERCENT = 75
 BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+CHUNK = 1 << 20
+BASE = 0x9E3779B97F4A7C15
+WORD_END = re.compile(rb"[\x20\x09-\x0D]")
+LOWER_BYTE = np.arange(256, dtype=np.uint8)
+LOWER_BYTE[65:91] += 32
+SPACE_BYTE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 MULTIPLIERS = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 # Six standard deviations of the estimate at the limit: 6 * sqrt(0.75 * 0.25 / 160).
 SLACK = 0.21
@@ -60,31 +64,82 @@ def spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_known: dict[str, int] = {}
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    """A 64-bit number per word; the worker remembers the words it has met, up to a bound."""
-    if len(_known) > 400_000:
-        _known.clear()
-    for w in set(words).difference(_known):
-        _known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-    return np.fromiter(map(_known.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
-    words = WORD.findall((text or "").translate(LOWER) if not (text or "").isascii() else (text or "").lower())
-    if not words:
+def powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.full(n, base, dtype=np.uint64))
+
+
+POWERS, BACK = powers(BASE, CHUNK + 1), powers(pow(BASE, -1, 1 << 64), CHUNK + 1)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of up to CHUNK bytes start, and a 64-bit number for each."""
+    low = LOWER_BYTE[np.frombuffer(data, dtype=np.uint8)]
+    inside = np.zeros(len(low) + 2, dtype=bool)
+    inside[1:-1] = ~SPACE_BYTE[low]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    run = np.zeros(len(low) + 1, dtype=np.uint64)
+    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * POWERS[: len(low)], out=run[1:])
+    return starts, spread((run[ends] - run[starts]) * BACK[starts])
+
+
+def long_text_hashes(data: bytes) -> np.ndarray:
+    """The same for a text of any length; words longer than CHUNK have a number of their own kind."""
+    parts, at = [], 0
+    while at < len(data):
+        end = at + CHUNK
+        if end < len(data):
+            cut = max(data.rfind(c, at, end) for c in b" \t\n\v\f\r")
+            if cut < at:  # one word fills the chunk
+                stop = WORD_END.search(data, at)
+                end = stop.start() if stop else len(data)
+                digest = hashlib.blake2b(data[at:end].translate(LOWER_BYTE.tobytes()), digest_size=8).digest()
+                parts.append(np.frombuffer(digest, dtype=np.uint64))
+                at = end
+                continue
+            end = cut + 1
+        parts.append(word_hashes(data[at:end])[1])
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def shingles(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of a text, given its words' numbers."""
+    if not len(h):
         return np.zeros(0, dtype=np.uint64)
-    h = word_hashes(words)
     n = max(len(h) - size + 1, 1)
     out = np.full(n, min(len(h), size), dtype=np.uint64)
     for k in range(min(size, len(h))):
-        out = spread(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
+        out = spread(out * np.uint64(BASE) + h[k : k + n])
     return np.unique(out)
 
 
+def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The shingle set of each text, in order; texts are hashed many at a time."""
+    held: list[bytes] = []
+    room = CHUNK
+
+    def flush() -> Iterator[np.ndarray]:
+        if held:
+            starts, h = word_hashes(b" ".join(held))
+            ends = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in held]))
+            for one in np.split(h, ends[:-1]):
+                yield shingles(one, size)
+            held.clear()
+
+    for text in texts:
+        data = (text or "").encode("utf-8", "surrogatepass")
+        if len(data) + 1 > room:
+            yield from flush()
+            room = CHUNK
+        if len(data) + 1 > CHUNK:
+            yield shingles(long_text_hashes(data), size)
+            continue
+        held.append(data)
+        room -= len(data) + 1
+    yield from flush()
+
+
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """Registers of 16 bits: leading zeros of the minimum, then the bits after its first one."""
     low = np.full(REGISTERS, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -115,8 +170,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, registers, bands = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text)
+            for s in shingle_sets(batch.column(1).to_pylist()):
                 sizes.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 r = sketch(s) if len(s) else None
@@ -133,7 +187,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text).view(np.int64) for text in batch.column(1).to_pylist()]
+            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
     return docs.mapInArrow(run, "node long, hashes array<long>")
@@ -201,32 +255,38 @@ def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str
     keyed = classes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
     rows = scratch.keep(keyed.join(shared, "key"), "keys")
-    comp, links, width = None, None, 1
+    comp, links, tested, width = None, None, None, 4
+    labelled = rows.withColumn("comp", F.col("node"))
     while True:
-        labelled = rows.withColumn("comp", F.col("node")) if comp is None else with_component(rows, comp)
-        labelled = scratch.keep(labelled, "labelled")
         open_keys = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
         rest = scratch.keep(labelled.join(open_keys, "key"), "open")
-        scratch.drop(rows, labelled)
+        scratch.drop(rows)
         if not rest.limit(1).count():
             break
         residue = F.pmod(F.xxhash64("node"), F.lit(width))
-        pivots = scratch.keep(rest.groupBy("key", residue.alias("r")).agg(F.min(F.struct("node", "comp")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.comp").alias("ca")), "pivots")
+        pivots = rest.groupBy("key", residue.alias("r")).agg(F.min(F.struct("node", "comp")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.comp").alias("ca"))
+        pivots = scratch.keep(pivots, "pivots")
         met = rest.join(pivots, "key").where("comp <> ca")
         pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        pairs = scratch.keep(likely(pairs, nodes, percent), "likely")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi")
-        sets = scratch.keep(full_sets(texts), "sets")
-        found = scratch.keep(confirmed(pairs, sets, percent), "links")
-        scratch.drop(pairs, sets)
-        links = found if links is None else links.union(found)
-        comp = components(spark, links, scratch)
-        # pivots have met all of their key; they leave it
-        used = pivots.select("key", F.col("a").alias("node"))
-        rows = scratch.keep(rest.select("key", "node").join(used, ["key", "node"], "left_anti"), "keys")
+        pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        near = scratch.keep(likely(pairs, nodes, percent), "likely")
+        found = None
+        if near.limit(1).count():
+            wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+            sets = scratch.keep(full_sets(docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi")), "sets")
+            found = scratch.keep(confirmed(near, sets, percent), "links")
+            scratch.drop(sets)
+        scratch.drop(near)
+        used = pivots.select("key", F.col("a").alias("node"))  # pivots have met all of their key; they leave it
+        rows = scratch.keep(rest.join(used, ["key", "node"], "left_anti"), "keys")
         scratch.drop(rest, pivots)
-        width *= 4
+        labelled = rows
+        if found is not None and found.limit(1).count():
+            links = found if links is None else links.union(found)
+            comp = components(spark, links, scratch)
+            labelled = with_component(rows.drop("comp"), comp)
+        width *= 8
     by_class = classes.select("set_key", "node")
     by_class = by_class.withColumn("comp", F.col("node")) if comp is None else with_component(by_class, comp)
     out = every.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
