@@ -48,6 +48,7 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15
+FACTORS = np.random.Generator(np.random.PCG64(21)).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WORD_END = re.compile(rb"[\x20\x09-\x0D]")
 LOWER_BYTE = np.arange(256, dtype=np.uint8)
 LOWER_BYTE[65:91] += 32
@@ -110,8 +111,8 @@ def shingles(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     n = max(len(h) - size + 1, 1)
     out = np.full(n, min(len(h), size), dtype=np.uint64)
     for k in range(min(size, len(h))):
-        out = spread(out * np.uint64(BASE) + h[k : k + n])
-    return np.unique(out)
+        out += h[k : k + n] * FACTORS[k]
+    return np.unique(spread(out))
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -143,8 +144,8 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.nd
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """Registers of 16 bits: leading zeros of the minimum, then the bits after its first one."""
     low = np.full(REGISTERS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 256):
-        np.minimum(low, (hashes[at : at + 256, None] * MULTIPLIERS[None, :]).min(axis=0), out=low)
+    for at in range(0, len(hashes), 512):
+        np.minimum(low, (hashes[at : at + 512, None] * MULTIPLIERS[None, :]).min(axis=0), out=low)
     low = np.maximum(low, np.uint64(1))
     top = np.frexp(low.astype(np.float64))[1].astype(np.uint64)  # place of the first one; rounding up is the same for equal minima
     zeros = np.uint64(64) - np.minimum(top, np.uint64(64))

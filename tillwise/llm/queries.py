@@ -15,6 +15,7 @@ from tillwise.llm.nearcopies import near_copy_groups
 from tillwise.llm.packing import pack_documents
 from tillwise.llm.quality import quality_scores, rejected
 from tillwise.llm.registry import ORACLES, QUERIES, register
+from tillwise.llm.repeats import remove_repeats
 from tillwise.llm.tokenfile import read_token_files, write_token_files
 from tillwise.llm.topk import embedding_rows, top_k
 
@@ -53,6 +54,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
+@register("op3_repeats")
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @register("op4_hyperminhash")
 def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copy_groups(table(spark, sf_dir, "documents"))
