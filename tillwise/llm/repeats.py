@@ -23,7 +23,7 @@ of the bytes: equal strings are neighbours either way, and hashes are dealt even
 
 Defined results
 * null or short text (under 50 bytes): nothing removed, nothing found in it;
-* texts of one id never repeat each other; if rows share an id, the smallest text stands for it;
+* rows that share an id never repeat each other, and each keeps its own result;
 * null ids are left out; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -210,11 +210,12 @@ def local_marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def segments(marked: DataFrame) -> DataFrame:
-    """Step 2. (doc_id, text, hashes) to rows (doc_id, hash, lo, count, whole): the segments with such a hash."""
+    """Step 2. (doc_id, text, hashes, h) to rows (doc_id, h, hash, lo, count, whole): the segments with such a hash."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
+            own = np.array(batch.column(3).to_pylist(), dtype=np.int64)
             marks = [np.sort(np.array(m, dtype=np.int64).view(np.uint64)) for m in batch.column(2).to_pylist()]
             for first, c in cuts(batch.column(1).to_pylist()):
                 keep = np.zeros(len(c.hash), dtype=bool)
@@ -225,42 +226,109 @@ def segments(marked: DataFrame) -> DataFrame:
                         keep[part] = m[np.minimum(np.searchsorted(m, c.hash[part]), len(m) - 1)] == c.hash[part]
                 if keep.any():
                     whole = c.strings(c.place[keep], c.count[keep] + LENGTH - 1)
-                    columns = [ids[c.doc[keep] + first], c.hash[keep].view(np.int64), c.lo[keep], c.count[keep], whole.view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "hash", "lo", "count", "whole"])
+                    doc = c.doc[keep] + first
+                    columns = [ids[doc], own[doc], c.hash[keep].view(np.int64), c.lo[keep], c.count[keep], whole.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "h", "hash", "lo", "count", "whole"])
 
-    return marked.mapInArrow(run, "doc_id long, hash long, lo long, count long, whole long")
+    return marked.mapInArrow(run, "doc_id long, h long, hash long, lo long, count long, whole long")
 
 
-def windows(asked: DataFrame) -> DataFrame:
-    """Step 3. (doc_id, text, places: array of hash, lo, count) to rows (doc_id, hash, at, one): each window there."""
+def windows(asked: DataFrame, buckets: int) -> DataFrame:
+    """Step 3, batch side. (doc_id, text, h, places) to rows (bucket, one, doc, h, at), as bytes.
+
+    Bucket -1 holds windows that a smaller document of the batch has too; of the
+    others each window's smallest document goes on to be compared with other batches.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text, places in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                for p in places:
-                    for lo in range(p["lo"], p["lo"] + p["count"], CHUNK - LENGTH + 1):
-                        stop = min(p["lo"] + p["count"], lo + CHUNK - LENGTH + 1)
-                        c = Cut([data[lo : stop + LENGTH - 1]], lo)
-                        at = np.arange(stop - lo)
-                        one = c.strings(at, LENGTH).view(np.int64)
-                        n = len(at)
-                        columns = [pa.array(np.full(n, doc_id)), pa.array(np.full(n, p["hash"])), pa.array(at + lo), pa.array(one)]
-                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "at", "one"])
-
-    return asked.mapInArrow(run, "doc_id long, hash long, at long, one long")
+            docs, own, places, ones = [], [], [], []
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            texts = [(text or "").encode("utf-8", "surrogatepass") for text in columns[1]]
+            for doc_id, data, h, asked_here in zip(columns[0], texts, columns[2], columns[3]):
+                wanted = np.array([(p["lo"], p["count"]) for p in asked_here if p["h"] == h], dtype=np.int64).reshape(-1, 2)
+                if not len(wanted):
+                    continue
+                at = np.unique(np.repeat(wanted[:, 0], wanted[:, 1]) + np.arange(wanted[:, 1].sum()) - np.repeat(np.cumsum(wanted[:, 1]) - wanted[:, 1], wanted[:, 1]))
+                for begin in range(0, len(data), CHUNK - LENGTH + 1):
+                    part = at[(at >= begin) & (at < begin + CHUNK - LENGTH + 1)] - begin
+                    if len(part):
+                        ones.append(window_hashes(data[begin : begin + CHUNK], part))
+                        places.append(part + begin)
+                        docs.append(np.full(len(part), doc_id, dtype=np.int64))
+                        own.append(np.full(len(part), h, dtype=np.int64))
+            if not docs:
+                continue
+            one, doc, h, at = (np.concatenate(x) for x in (ones, docs, own, places))
+            later = later_windows(one, doc)
+            bucket = np.where(later, -1, (one % np.uint64(buckets)).astype(np.int64))
+            order = np.argsort(bucket, kind="stable")
+            names, edge = np.unique(bucket[order], return_index=True)
+            edge = np.append(edge, len(order))
+            parts = [order[edge[k] : edge[k + 1]] for k in range(len(names))]
+            blobs = [pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (one, doc, h, at)]
+            yield pa.RecordBatch.from_arrays([pa.array(names), *blobs], ["bucket", "one", "doc", "own", "at"])
+
+    return asked.mapInArrow(run, "bucket long, one binary, doc binary, own binary, at binary")
+
+
+def window_hashes(data: bytes, at: np.ndarray) -> np.ndarray:
+    low = np.frombuffer(data, dtype=np.uint8)
+    run = np.zeros(len(low) + 1, dtype=np.uint64)
+    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * POWERS[: len(low)], out=run[1:])
+    return mixed((run[at + LENGTH] - run[at]) * BACK[at])
+
+
+def later_windows(one: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which windows a smaller document has too."""
+    order = np.lexsort((doc, one))
+    sorted_one, sorted_doc = one[order], doc[order]
+    head = np.ones(len(one), dtype=bool)
+    head[1:] = sorted_one[1:] != sorted_one[:-1]
+    least = sorted_doc[np.flatnonzero(head)][np.cumsum(head) - 1]
+    out = np.zeros(len(one), dtype=bool)
+    out[order] = sorted_doc > least
+    return out
+
+
+def intervals(doc: np.ndarray, own: np.ndarray, at: np.ndarray) -> pd.DataFrame:
+    """Windows as rows (doc_id, h, start, end), neighbours put together."""
+    order = np.lexsort((at, own, doc))
+    doc, own, at = doc[order], own[order], at[order]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]) | (at[1:] > at[:-1] + LENGTH)
+    begin = np.flatnonzero(new)
+    last = np.append(begin[1:], len(at)) - 1
+    return pd.DataFrame({"doc_id": doc[begin], "h": own[begin], "start": at[begin], "end": at[last] + LENGTH})
+
+
+def numbers(frame: pd.DataFrame, *names: str) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(frame[n]), np.uint64 if n == "one" else np.int64) for n in names]
+
+
+def compare(frame: pd.DataFrame) -> pd.DataFrame:
+    """Step 3, bucket side: the windows of a bucket that a smaller document has too."""
+    one, doc, own, at = numbers(frame, "one", "doc", "own", "at")
+    later = later_windows(one, doc)
+    return intervals(doc[later], own[later], at[later])
+
+
+def known_windows(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for i in range(len(frame)):
+            yield intervals(*numbers(frame.iloc[i : i + 1], "doc", "own", "at"))
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """(doc_id, text, gone: array of start, end) to the report's rows."""
+    """(doc_id, text, h, gone: array of h, start, end) to the report's rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, gone in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for doc_id, text, h, gone in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 kept, at, spans = [], 0, 0
-                for g in sorted(gone or [], key=lambda x: x["start"]):
+                for g in sorted((g for g in gone or [] if g["h"] == h), key=lambda x: x["start"]):
                     if g["start"] > at or not spans:
                         kept.append(data[at : g["start"]])
                         spans += 1
@@ -282,26 +350,28 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "repeats")
     parts = partitions(spark)
     name = f"repeats_{uuid.uuid4().hex}"
-    docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("doc_id is not null")
+    text = F.col(f"`{text_col}`")
+    docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).where("doc_id is not null")
     docs.repartition(parts, "doc_id").write.option("compression", "zstd").bucketBy(parts, "doc_id").sortBy("doc_id").saveAsTable(name)
-    # the same partitioning serves the grouping: no second shuffle
-    texts = spark.table(name).groupBy("doc_id").agg(F.min("text").alias("text"))
-    held = runs(spark.table(name), 4 * parts)
-    held = scratch.keep(held, "runs")
+    texts = spark.table(name)
+    held = scratch.keep(runs(texts.select("doc_id", "text"), 4 * parts), "runs")
     met = held.where("bucket >= 0").groupBy("bucket").applyInPandas(meet, "doc_id long, hash long")
     local = held.where("bucket < 0").select("hashes", "local").mapInArrow(local_marks, "doc_id long, hash long")
     marks = met.union(local).groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
-    found = scratch.keep(segments(texts.join(marks, "doc_id").select("doc_id", "text", "hashes")), "segments")
+    found = scratch.keep(segments(texts.join(marks, "doc_id").select("doc_id", "text", "hashes", "h")), "segments")
     scratch.drop(held)
     key = ["hash", "whole", "count"]
     first = scratch.keep(found.groupBy(*key).agg(F.min("doc_id").alias("least")), "first")
     later = found.join(first, key)
-    gone = later.where("doc_id > least").select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("count") + LENGTH - 1).alias("end"))
-    several = first.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    asked = later.where("doc_id = least").join(several, "hash", "left_semi")
-    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "lo", "count")).alias("places"))
-    each = scratch.keep(windows(texts.join(asked, "doc_id").select("doc_id", "text", "places")), "windows")
-    least = each.groupBy("hash", "one").agg(F.min("doc_id").alias("least"))
-    more = each.join(least, ["hash", "one"]).where("doc_id > least").select("doc_id", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
-    spans = gone.union(more).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
-    return digest(texts.join(spans, "doc_id", "left").select("doc_id", "text", "gone"))
+    several = first.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", F.lit(True).alias("several"))
+    # a segment is either whole in a smaller document, or the first with its text: then it matters whether the hash has others
+    judged = scratch.keep(later.join(several, "hash", "left").where("doc_id > least or several").select("doc_id", "h", "lo", "count", (F.col("doc_id") > F.col("least")).alias("whole")), "judged")
+    scratch.drop(found, first)
+    gone = judged.where("whole").select("doc_id", "h", F.col("lo").alias("start"), (F.col("lo") + F.col("count") + LENGTH - 1).alias("end"))
+    asked = judged.where("not whole").groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "count")).alias("places"))
+    each = scratch.keep(windows(texts.join(asked, "doc_id").select("doc_id", "text", "h", "places"), 4 * parts), "windows")
+    spans = "doc_id long, h long, start long, end long"
+    gone = gone.union(each.where("bucket >= 0").groupBy("bucket").applyInPandas(compare, spans))
+    gone = gone.union(each.where("bucket < 0").mapInPandas(known_windows, spans))
+    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "end")).alias("gone"))
+    return digest(texts.join(gone, "doc_id", "left").select("doc_id", "text", "h", "gone"))
