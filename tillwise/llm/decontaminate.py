@@ -147,6 +147,6 @@ def decontamination_report(
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Take whole documents out that the rule of ``decontamination_report`` calls contaminated; the rest as it was."""
     bad = decontamination_report(documents, benchmark, id_col, text_col, **options).where("contaminated")
-    bad = bad.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_hash"))
+    bad = bad.select(F.col("doc_id").alias("__own_id"), F.col("text_hash").alias("__own_hash"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__own_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__own_hash"))
     return documents.join(bad, same, "left_anti")

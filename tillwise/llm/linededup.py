@@ -82,11 +82,11 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``emptied``: keep texts that lose all their lines, as empty ones, or leave them out.
     """
     gone = repeated_lines(documents, id_col, text_col, run, short)
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("places").alias("_places"))
+    gone = gone.select(F.col("doc_id").alias("__own_id"), F.col("text_hash").alias("__own_hash"), F.col("places").alias("__own_places"))
     text = F.col(f"`{text_col}`")
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__own_id")) & (F.xxhash64(text) == F.col("__own_hash"))
     joined = documents.join(gone, same, "left")
-    new = F.when(F.col("_places").isNull(), text).otherwise(without_lines(text, F.col("_places")))
+    new = F.when(F.col("__own_places").isNull(), text).otherwise(without_lines(text, F.col("__own_places")))
     if not emptied:
-        joined = joined.where(F.col("_places").isNull() | (F.trim(without_lines(text, F.col("_places"))) != ""))
+        joined = joined.where(F.col("__own_places").isNull() | (F.trim(without_lines(text, F.col("__own_places"))) != ""))
     return joined.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in documents.columns])

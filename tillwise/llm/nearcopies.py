@@ -302,5 +302,5 @@ def with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
 
 def keep_one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents, of each group of near copies the one with the smallest id."""
-    gone = near_copy_groups(documents, id_col, text_col, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_id"))
-    return documents.join(gone, F.col(f"`{id_col}`") == F.col("_id"), "left_anti")
+    gone = near_copy_groups(documents, id_col, text_col, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__own_id"))
+    return documents.join(gone, F.col(f"`{id_col}`") == F.col("__own_id"), "left_anti")

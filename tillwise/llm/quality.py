@@ -211,9 +211,9 @@ def quality_scores(
     scratch = Scratch(documents.sparkSession, "quality")
     site = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((host_col, "_host"), (path_col, "_path"))]
     docs = documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *site)
-    known = labels.select(F.col(f"`{id_col}`").alias("_id"), *[F.col(f"`{t}`").cast("int").alias(t) for t in targets]).dropna()
-    chosen = known.orderBy(F.xxhash64("_id"), *known.columns).limit(sample)
-    labelled = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", *targets)  # at most `sample` small rows
+    known = labels.select(F.col(f"`{id_col}`").alias("__own_id"), *[F.col(f"`{t}`").cast("int").alias(t) for t in targets]).dropna()
+    chosen = known.orderBy(F.xxhash64("__own_id"), *known.columns).limit(sample)
+    labelled = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__own_id")).select("text", *targets)  # at most `sample` small rows
     labelled = scratch.keep(with_features(labelled), "sample")
     models = {t: fit(labelled, t) for t in targets}
     scored = scratch.keep(with_evidence(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "_host", "_path", "text"), models), "evidence")
@@ -229,9 +229,9 @@ def quality_scores(
 def keep_good(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that are likely good (p_quality over 1/2) and not toxic (p_toxic up to 1/2); columns as they are."""
     scores = quality_scores(documents, labels, id_col, text_col, **options)
-    bad = scores.where(rejected()).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    bad = scores.where(rejected()).select(F.col("doc_id").alias("__own_id"), F.col("text_hash").alias("__own_hash"))
     text = F.col(f"`{text_col}`")
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__own_id")) & (F.xxhash64(text) == F.col("__own_hash"))
     return documents.join(bad, same, "left_anti")
 
 

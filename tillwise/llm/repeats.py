@@ -298,7 +298,7 @@ def intervals(doc: np.ndarray, own: np.ndarray, at: np.ndarray) -> pd.DataFrame:
     new = np.ones(len(at), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]) | (at[1:] > at[:-1] + LENGTH)
     begin = np.flatnonzero(new)
-    last = np.append(begin[1:], len(at)) - 1
+    last = np.append(begin[1:], len(at))[: len(begin)] - 1
     return pd.DataFrame({"doc_id": doc[begin], "h": own[begin], "start": at[begin], "end": at[last] + LENGTH})
 
 
