@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Money is added as whole ten-thousandths in a BIGINT. The sum is then the same
-# for any partitioning, and stays inside whole-stage code generation, which a
-# wide DECIMAL sum does not. ANSI mode raises on overflow (9.2e14 in money).
+# Money is added as whole ten-thousandths in a DECIMAL of 38 digits. The sum is
+# then the same for any partitioning and has room for 10^34. NaN is no amount.
 MONEY_UNITS = 10_000
 
 _INFINITY = float("inf")
@@ -40,12 +39,12 @@ def finite_or_zero(c: Column) -> Column:
 
 
 def money_units(c: Column) -> Column:
-    return F.rint(c * MONEY_UNITS).cast("bigint")
+    return F.rint(nan_to_null(c.cast("double")) * MONEY_UNITS).cast("decimal(38,0)")
 
 
 def exact_sum(c: Column) -> Column:
     """Sum of a money column; null when there is nothing to add."""
-    return F.sum(money_units(c)) / F.lit(float(MONEY_UNITS))
+    return F.sum(money_units(c)).cast("double") / F.lit(float(MONEY_UNITS))
 
 
 def round_even(c: Column, digits: int) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwise import constants as K
 from tillwise.functions import scores as S
-from tillwise.functions.numbers import money_units, pct, round_even
+from tillwise.functions.numbers import money_units, nan_to_null, pct, round_even
 from tillwise.operators.ranking import global_rank
 from tillwise.schemas import existing_columns, require_columns
 from tillwise.session import one_row
@@ -88,7 +88,7 @@ def revenue_pareto(df: DataFrame) -> DataFrame:
     units = money_units(F.col("Monetary"))
     total = one_row(df.agg(F.sum(units)))[0]
     ranked = global_rank(
-        df.select(K.CUSTOMER_KEY, "Monetary"),
+        df.select(K.CUSTOMER_KEY, nan_to_null(F.col("Monetary").cast("double")).alias("Monetary")),
         [F.desc_nulls_last("Monetary"), F.asc(K.CUSTOMER_KEY)],
         running={"_cumulative": units},
     )
@@ -96,7 +96,7 @@ def revenue_pareto(df: DataFrame) -> DataFrame:
         K.CUSTOMER_KEY,
         "Monetary",
         "Rank",
-        (F.col("_cumulative") / F.nullif(F.lit(total).cast("double"), F.lit(0.0)) * 100.0).alias("CumulativePct"),
+        (F.col("_cumulative").cast("double") / F.nullif(F.lit(total).cast("double"), F.lit(0.0)) * 100.0).alias("CumulativePct"),
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise import constants as K
-from tillwise.session import cut_lineage, reused
+from tillwise.session import cut_lineage
 
 VECTOR = "features"
 SEGMENT = "Segment"
@@ -69,7 +69,7 @@ class ClusterSearch:
         iteration of each fit reads them; fits run side by side."""
         keys = [c for c in self.train.columns if c not in self.columns]
         train, test = (
-            reused(_fewer_parts(cut_lineage(assemble(part, self.columns).select(*keys, *self.columns, VECTOR))))
+            _fewer_parts(cut_lineage(assemble(part, self.columns).select(*keys, *self.columns, VECTOR))).persist()
             for part in (self.train, self.test)
         )
         self._train, self._test = train, test

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise import constants as K
-from tillwise.functions.numbers import count_where, exact_sum, pct, ratio, round_even
+from tillwise.functions.numbers import count_where, exact_sum, nan_to_null, pct, ratio, round_even
 from tillwise.operators.quantiles import exact_quantiles
 from tillwise.schemas import require_columns
 
@@ -20,7 +20,7 @@ def _missing() -> Column:
 
 
 def _money() -> Column:
-    return F.col("Monetary").cast("double")
+    return nan_to_null(F.col("Monetary").cast("double"))
 
 
 def _total() -> Column:

@@ -22,6 +22,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillwise.functions.numbers import nan_to_null_columns
 from tillwise.session import one_row
 
 # A sketch is off by at most 1 / ACCURACY of the rows of its group, its grid by
@@ -42,12 +43,13 @@ Targets = Mapping[str, tuple[str, float]]
 def exact_quantiles(df: DataFrame, targets: Targets, also: Mapping[str, Column] | None = None) -> dict[str, object]:
     """Numbers for ``alias -> (column, probability)``, fitted by jobs.
 
-    Interpolates linearly between neighbouring ranks; nulls are left out; a
+    Interpolates linearly between neighbouring ranks; nulls and NaN are left out; a
     column without values gives None. ``also`` are further aggregates over
     ``df`` that ride along with the first count. Reads ``df`` twice, or three
     times when it is large, so pass a reused or stored frame when it is costly
     to compute.
     """
+    df = nan_to_null_columns(df)
     columns = list(dict.fromkeys(column for column, _ in targets.values()))
     first = one_row(
         df.agg(

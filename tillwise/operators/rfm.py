@@ -40,7 +40,7 @@ def monetary_value() -> Column:
     paid = F.when(nan_to_null(F.col("UnitPrice").cast("double")) > 0, nan_to_null(F.col("TotalPrice").cast("double")))
     endless = F.coalesce(F.bool_or(is_infinite(paid)), F.lit(False))
     units = F.sum(F.when(~is_infinite(paid), money_units(paid)))
-    return F.when(endless, F.lit(0.0)).otherwise(F.coalesce(units / float(MONEY_UNITS), F.lit(0.0)))
+    return F.when(endless, F.lit(0.0)).otherwise(F.coalesce(units.cast("double") / float(MONEY_UNITS), F.lit(0.0)))
 
 
 # Aggregates behind each feature. One grouping serves them all, and columns
@@ -81,7 +81,7 @@ def rfm_features(
     """CustomerID and the asked features, in the given order.
 
     Without a fixed ``snapshot`` the date is fitted on the grouped customers (a
-    job), which are kept: the transactions are read once only.
+    job), which are written to the shared folder: the transactions are read once only.
     """
     needed = [CUSTOMER_KEY] + [c for c, used_by in _INPUTS.items() if set(used_by) & set(features)]
     require_columns(tx, needed, "RFM features")

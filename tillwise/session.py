@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
 
 SETTINGS = {
@@ -15,7 +14,11 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 # Only a new session takes these: no call-site capture for each column expression.
-STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+# And what cut_lineage writes is deleted once the driver has let go of the frame.
+STATIC_SETTINGS = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
 
 
 def build_session(app_name: str = "tillwise", master: str | None = None, **conf: str) -> SparkSession:
@@ -62,13 +65,13 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
 
 
 def reused(df: DataFrame) -> DataFrame:
-    """Keep a frame that several branches of one plan read.
+    """Compute a frame once that several branches of one plan read.
 
-    Lazy, spills to disk, and a lost executor's part is computed again from
-    lineage. Catalyst would otherwise prune each branch differently, so the
-    branches could not share an exchange and would each scan the source.
+    It is written to the shared folder and read from there (a job). Nothing is
+    cached: a cached frame would answer for every later plan over the same path,
+    also after new files have come, and would stay until somebody released it.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return cut_lineage(df)
 
 
 def one_row(df: DataFrame) -> Row:
