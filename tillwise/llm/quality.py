@@ -44,6 +44,7 @@ SAMPLE = 20_000
 WORDS = 300
 BINS = 10
 MIN_COUNT = 5
+BROADCAST_SITES = 100_000
 MIN_RATIO = 1.5
 MIN_SURPRISE = 16.0
 PENALTY = 0.3
@@ -221,7 +222,9 @@ def quality_scores(
     for t, m in models.items():
         one = site_rates(scored, t, m.rate)
         sites = one if sites is None else sites.join(one, ["_host", "_path"])
-    out = scored.join(sites, ["_host", "_path"])
+    sites = scratch.keep(sites, "sites")
+    # a host may have a third of all documents: not dealt by host while the rates are known to be few
+    out = scored.join(F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites, ["_host", "_path"])
     p = {f"p_{t}": probability(F.col(f"evidence_{t}") + log_odds(F.col(f"rate_{t}"))) for t in targets}
     return out.withColumns(p).drop("_host", "_path")
 
