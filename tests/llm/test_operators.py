@@ -109,6 +109,9 @@ def test_near_copies_in_odd_cases(spark):
     docs = documents(spark, None, "", " \n", "one two", "ONE two", " ".join(base), *changed, " ".join(base).upper())
     got = {r["doc_id"]: r["component_id"] for r in near_copy_groups(docs).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 5, 7: 5, 8: 5}
+    shared = docs.where("doc_id <> 1").union(docs.where("doc_id = 5").withColumn("doc_id", F.lit(3).cast("long")).select(docs.columns))
+    got = {r["doc_id"]: r["component_id"] for r in near_copy_groups(shared).collect()}
+    assert got == {0: 0, 2: 2, 3: 3, 4: 3, 5: 3, 6: 3, 7: 3, 8: 3}  # both texts of id 3 link it
     kept = keep_one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 5]
     assert near_copy_groups(docs.limit(0)).count() == 0

@@ -7,19 +7,18 @@
 3. Four registers make a band, 40 bands; classes that agree in a band are
    candidates. At a similarity of 0.75 a pair agrees in none with a probability of
    (1 - 0.75^4)^40 = 2.5e-7; higher ones are missed still less.
-4. Pairs are tested in rounds. In each round every open band key names pivots (at
-   first up to 4, then up to 32, 256 ...: the smallest class of each residue that
-   has not been one), and its other classes are paired with them, unless they are
-   linked already by then or the pair was tested before. A key is open while it holds classes of different
-   components that were not all tested. A group of thousands of near copies is
-   closed after the first round: no pairs within groups are emitted, none is left out.
+4. Pairs are tested in two rounds. First every band key names up to 8 pivots (the
+   smallest class of each residue) and its classes are paired with them: a group of
+   thousands of near copies is linked by few pairs a member. Then the keys that
+   still hold classes of different components are compared in full, block of rows
+   against block of rows; classes of one component are passed over.
 5. A pair's similarity is first estimated from registers, less the share that
    agrees by collision; pairs over a bound six deviations below the limit are
    confirmed on the full sets.
 
-Keys, pivots and sets are joined by shuffles that Spark splits where a key is
-hot; minima and counts have map-side combine. Sketches and links are written to
-the shared folder between rounds.
+A key's blocks and a unit of confirmation are of bounded size, so a hot key or group
+is spread over tasks; minima and counts have map-side combine. Sketches and links
+are written to the shared folder between rounds.
 
 Defined results
 * null or wordless text: no shingles, linked with nothing, kept;
@@ -36,7 +35,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.llm.common import Scratch
@@ -47,6 +46,10 @@ BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 CHUNK = 1 << 20
+PIVOTS = 8
+# Rows of a key compared with one another at a time; nodes and hashes of one home.
+COMPARE_BLOCK = 256
+CHECK_BLOCK, BLOCK_HASHES = 128, 1 << 15
 BASE = 0x9E3779B97F4A7C15
 FACTORS = np.random.Generator(np.random.PCG64(21)).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WORD_END = re.compile(rb"[\x20\x09-\x0D]")
@@ -212,12 +215,97 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return near.mapInArrow(run, "a long, b long, na long, nb long")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that reach the limit on the full sets."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    return both.where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+def homes(keys: DataFrame) -> DataFrame:
+    """(node, home): blocks of nodes that share their heaviest key, of bounded count and bounded sum of set sizes.
+
+    ``keys``: key, node, n_shingles, members and weight (of the key).
+    """
+    top = keys.groupBy("node").agg(F.max(F.struct("weight", "members", "key")).alias("t"))
+    blocks = F.greatest(F.ceil(F.col("t.weight") / BLOCK_HASHES), F.ceil(F.col("t.members") / CHECK_BLOCK))
+    return top.select("node", F.xxhash64("t.key", F.pmod(F.xxhash64("node"), blocks)).alias("home"))
+
+
+def shared_counts(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """The pairs (a, b, na, nb) of one unit with the size of their sets' intersection; ``sets``: node, hashes."""
+    hashes = sets.column("hashes").combine_chunks()
+    _, number = np.unique(hashes.flatten().to_numpy(), return_inverse=True)
+    sizes = hashes.value_lengths().to_numpy()
+    of: dict[tuple[int, int], list[np.ndarray]] = {}  # rows that share an id may have several sets
+    for node, size, one in zip(sets.column("node").to_pylist(), sizes.tolist(), np.split(number, np.cumsum(sizes)[:-1])):
+        of.setdefault((node, size), []).append(one)
+    a, na = pairs.column("a").to_numpy(), pairs.column("na").to_numpy()
+    theirs = list(zip(pairs.column("b").to_pylist(), pairs.column("nb").to_pylist()))
+    shared = np.zeros(len(a), dtype=np.int64)
+    flag = np.zeros(len(number), dtype=np.int64)
+    order = np.lexsort((na, a))
+    for group in np.split(order, np.flatnonzero(np.diff(a[order]) | np.diff(na[order])) + 1):
+        for mine in of[int(a[group[0]]), int(na[group[0]])]:
+            flag[mine] = 1
+            for at in range(0, len(group), CHECK_BLOCK):
+                some = group[at : at + CHECK_BLOCK].tolist()
+                rows, others = zip(*((i, x) for i in some for x in of[theirs[i]]))
+                starts = np.cumsum([0] + [len(x) for x in others[:-1]])
+                np.maximum.at(shared, list(rows), np.add.reduceat(flag[np.concatenate(others)], starts))
+            flag[mine] = 0
+    return pairs.select(["a", "b", "na", "nb"]).append_column("shared", pa.array(shared))
+
+
+def placed(pairs: DataFrame, home: DataFrame) -> DataFrame:
+    """Add the homes of both nodes of the pairs (a, b, ...): ha and hb."""
+    for end in ("a", "b"):
+        pairs = pairs.join(home.select(F.col("node").alias(end), F.col("home").alias(f"h{end}")), end)
+    return pairs
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of the placed pairs that reach the limit on the full sets.
+
+    A unit is the pairs between two homes, with one copy of the sets they need: a
+    set goes once to each unit, not once to each pair.
+    """
+    ends = F.explode(F.array("a", "b")).alias("node")
+    needs = pairs.select(F.col("ha").alias("ua"), F.col("hb").alias("ub"), ends).distinct()
+    wanted = pairs.select(ends).distinct().withColumnRenamed("node", "doc_id")
+    sets = full_sets(docs.join(wanted, "doc_id", "left_semi"))
+    units = pairs.groupBy("ha", "hb").cogroup(needs.join(sets, "node").groupBy("ua", "ub"))
+    counted = units.applyInArrow(shared_counts, "a long, b long, na long, nb long, shared long")
+    return counted.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+
+
+def across_components(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b, na, nb) of different components that share a key and whose estimate may reach the limit.
+
+    ``rows``: key, band, members, node, comp, n_shingles, sketch. A key's rows are
+    dealt to blocks, and each two blocks are compared in one task, so a hot key is
+    spread over tasks and only likely pairs leave them, each in its first common band.
+    """
+    blocks = F.ceil(F.col("members") / COMPARE_BLOCK)
+    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("key", "band", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "comp", "n_shingles", "sketch")
+    least, rate = percent / 100 - SLACK, collision_rate()
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, comp, size, mine = (rows.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "mine"))
+        band, low, high = (rows.column(c)[0].as_py() for c in ("band", "low", "high"))
+        registers = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+        packed = np.ascontiguousarray(registers).view(np.uint64)  # a band of four registers is one number
+        left, right = np.flatnonzero(mine == low), np.flatnonzero(mine == high)
+        found = []
+        for i in left:
+            js = right[right > i] if low == high else right
+            js = js[comp[js] != comp[i]]
+            js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
+            if band:
+                js = js[~(packed[js, :band] == packed[i, :band]).any(axis=1)]
+            same = (registers[js] == registers[i]).mean(axis=1)
+            js = js[(same - rate) / (1 - rate) >= least]
+            found.append((np.full(len(js), i), js))
+        one = np.concatenate([x for x, _ in found]).astype(np.intp) if found else np.zeros(0, dtype=np.intp)
+        two = np.concatenate([x for _, x in found]).astype(np.intp) if found else np.zeros(0, dtype=np.intp)
+        one, two = np.where(node[one] < node[two], one, two), np.where(node[one] < node[two], two, one)
+        return pa.table({"a": node[one], "b": node[two], "na": size[one], "nb": size[two]})
+
+    return dealt.groupBy("key", "low", "high").applyInArrow(run, "a long, b long, na long, nb long")
 
 
 def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -234,8 +322,9 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataF
         hooked = labels.join(best, "node").select("node", F.least("comp", "near").alias("up"), F.col("comp").alias("old"))
         jump = labels.select(F.col("node").alias("up"), F.col("comp").alias("top"))
         new = hooked.join(jump, "up", "left").select("node", F.least("up", "top").alias("comp"), "old")
-        new = scratch.keep(new, "labels")
-        changed = new.where("comp <> old").limit(1).count()
+        seen = Observation()
+        new = scratch.keep(new.observe(seen, F.count_if(F.col("comp") != F.col("old")).alias("changed")), "labels")
+        changed = seen.get["changed"]
         scratch.drop(labels)
         labels = new.drop("old")
         scratch.paths[id(labels)] = scratch.paths.pop(id(new))
@@ -251,45 +340,38 @@ def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     every = scratch.keep(sketched(docs), "sketches")
     full = every.where("n_shingles > 0")
-    classes = scratch.keep(full.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "n_shingles", "sketch", "bands"), "doc_id").alias("x")).select("set_key", F.col("x.doc_id").alias("node"), "x.n_shingles", "x.sketch", "x.bands"), "classes")
+    best = F.min_by(F.struct("doc_id", "n_shingles", "sketch", "bands"), "doc_id").alias("x")
+    classes = full.groupBy("set_key").agg(best).select("set_key", F.col("x.doc_id").alias("node"), "x.n_shingles", "x.sketch", "x.bands")
+    classes = scratch.keep(classes, "classes")
     nodes = classes.select("node", "n_shingles", "sketch")
-    keyed = classes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
-    rows = scratch.keep(keyed.join(shared, "key"), "keys")
-    comp, links, tested, width = None, None, None, 4
-    labelled = rows.withColumn("comp", F.col("node"))
-    while True:
-        open_keys = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        rest = scratch.keep(labelled.join(open_keys, "key"), "open")
-        scratch.drop(rows)
-        if not rest.limit(1).count():
-            break
-        residue = F.pmod(F.xxhash64("node"), F.lit(width))
-        pivots = rest.groupBy("key", residue.alias("r")).agg(F.min(F.struct("node", "comp")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.comp").alias("ca"))
-        pivots = scratch.keep(pivots, "pivots")
-        met = rest.join(pivots, "key").where("comp <> ca")
-        pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        near = scratch.keep(likely(pairs, nodes, percent), "likely")
-        found = None
-        if near.limit(1).count():
-            wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-            sets = scratch.keep(full_sets(docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi")), "sets")
-            found = scratch.keep(confirmed(near, sets, percent), "links")
-            scratch.drop(sets)
-        scratch.drop(near)
-        used = pivots.select("key", F.col("a").alias("node"))  # pivots have met all of their key; they leave it
-        rows = scratch.keep(rest.join(used, ["key", "node"], "left_anti"), "keys")
-        scratch.drop(rest, pivots)
-        labelled = rows
-        if found is not None and found.limit(1).count():
-            links = found if links is None else links.union(found)
-            comp = components(spark, links, scratch)
-            labelled = with_component(rows.drop("comp"), comp)
-        width *= 8
-    by_class = classes.select("set_key", "node")
-    by_class = by_class.withColumn("comp", F.col("node")) if comp is None else with_component(by_class, comp)
+    keyed = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("weight")).where("members > 1")
+    keys = scratch.keep(keyed.join(sizes, "key"), "keys")
+    home = scratch.keep(homes(keys), "homes")
+
+    residue = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+    pivots = keys.groupBy("key", residue.alias("residue")).agg(F.min("node").alias("pivot")).select("key", "pivot")
+    met = keys.join(pivots, "key").where("node <> pivot")
+    pairs = met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+    near = scratch.keep(placed(likely(pairs, nodes, percent), home), "likely")
+    links = scratch.keep(confirmed(near, docs, percent), "links")
+    comp = components(spark, links, scratch)
+    scratch.drop(near, links)
+
+    labelled = with_component(keys, comp)
+    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    rest = labelled.join(open_keys, "key").join(nodes.select("node", "sketch"), "node")
+    near = scratch.keep(placed(across_components(rest, percent), home), "likely")
+    links = scratch.keep(confirmed(near, docs, percent), "links")
+    scratch.drop(keys, home, near)
+    merged = links
+    for end in ("a", "b"):
+        merged = with_component(merged.withColumnRenamed(end, "node"), comp).drop("node").withColumnRenamed("comp", end)
+    joined = components(spark, merged, scratch)
+    top = joined.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+
+    by_class = with_component(classes.select("set_key", "node"), comp).join(top, "comp", "left")
+    by_class = by_class.select("set_key", F.coalesce("top", "comp").alias("comp"))
     out = every.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
