@@ -47,8 +47,8 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 CHUNK = 1 << 20
 PIVOTS = 8
-# Rows of a key compared with one another at a time; nodes and hashes of one home.
-COMPARE_BLOCK = 256
+# Rows and hashes of a key compared with one another at a time; nodes and hashes of one home.
+COMPARE_BLOCK, COMPARE_HASHES = 256, 1 << 20
 CHECK_BLOCK, BLOCK_HASHES = 128, 1 << 15
 BASE = 0x9E3779B97F4A7C15
 FACTORS = np.random.Generator(np.random.PCG64(21)).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -273,15 +273,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def across_components(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b, na, nb) of different components that share a key and whose estimate may reach the limit.
+    """All links (a, b) between nodes of different components that share a key.
 
-    ``rows``: key, band, members, node, comp, n_shingles, sketch. A key's rows are
-    dealt to blocks, and each two blocks are compared in one task, so a hot key is
-    spread over tasks and only likely pairs leave them, each in its first common band.
+    ``rows``: key, band, members, weight, node, comp, n_shingles, sketch, hashes. A
+    key's rows are dealt to blocks of bounded size, and each two blocks are compared
+    in one task, so a hot key is spread over tasks and only links leave them. A pair
+    is looked at in its first common band: first its estimate, then the full sets.
     """
-    blocks = F.ceil(F.col("members") / COMPARE_BLOCK)
+    blocks = F.greatest(F.ceil(F.col("members") / COMPARE_BLOCK), F.ceil(F.col("weight") / COMPARE_HASHES))
     dealt = rows.withColumn("mine", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("key", "band", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "comp", "n_shingles", "sketch")
+    dealt = dealt.select("key", "band", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "comp", "n_shingles", "sketch", "hashes")
     least, rate = percent / 100 - SLACK, collision_rate()
 
     def run(rows: pa.Table) -> pa.Table:
@@ -289,8 +290,11 @@ def across_components(rows: DataFrame, percent: int) -> DataFrame:
         band, low, high = (rows.column(c)[0].as_py() for c in ("band", "low", "high"))
         registers = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
         packed = np.ascontiguousarray(registers).view(np.uint64)  # a band of four registers is one number
+        _, number = np.unique(rows.column("hashes").combine_chunks().flatten().to_numpy(), return_inverse=True)
+        sets = np.split(number, np.cumsum(size)[:-1])
+        flag = np.zeros(len(number), dtype=np.int64)
         left, right = np.flatnonzero(mine == low), np.flatnonzero(mine == high)
-        found = []
+        one, two = [], []
         for i in left:
             js = right[right > i] if low == high else right
             js = js[comp[js] != comp[i]]
@@ -299,13 +303,18 @@ def across_components(rows: DataFrame, percent: int) -> DataFrame:
                 js = js[~(packed[js, :band] == packed[i, :band]).any(axis=1)]
             same = (registers[js] == registers[i]).mean(axis=1)
             js = js[(same - rate) / (1 - rate) >= least]
-            found.append((np.full(len(js), i), js))
-        one = np.concatenate([x for x, _ in found]).astype(np.intp) if found else np.zeros(0, dtype=np.intp)
-        two = np.concatenate([x for _, x in found]).astype(np.intp) if found else np.zeros(0, dtype=np.intp)
-        one, two = np.where(node[one] < node[two], one, two), np.where(node[one] < node[two], two, one)
-        return pa.table({"a": node[one], "b": node[two], "na": size[one], "nb": size[two]})
+            if not len(js):
+                continue
+            flag[sets[i]] = 1
+            starts = np.cumsum(size[js]) - size[js]
+            shared = np.add.reduceat(flag[np.concatenate([sets[j] for j in js])], starts)
+            flag[sets[i]] = 0
+            js = js[100 * shared >= percent * (size[js] + size[i] - shared)]
+            one.extend([node[i]] * len(js))
+            two.extend(node[js])
+        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
 
-    return dealt.groupBy("key", "low", "high").applyInArrow(run, "a long, b long, na long, nb long")
+    return dealt.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -360,10 +369,11 @@ def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     labelled = with_component(keys, comp)
     open_keys = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    rest = labelled.join(open_keys, "key").join(nodes.select("node", "sketch"), "node")
-    near = scratch.keep(placed(across_components(rest, percent), home), "likely")
-    links = scratch.keep(confirmed(near, docs, percent), "links")
-    scratch.drop(keys, home, near)
+    rest = scratch.keep(labelled.join(open_keys, "key"), "open")
+    sets = full_sets(docs.join(rest.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    sets = sets.withColumn("n_shingles", F.size("hashes").cast("long")).join(nodes, ["node", "n_shingles"])
+    links = scratch.keep(across_components(rest.join(sets, ["node", "n_shingles"]), percent), "links")
+    scratch.drop(keys, home, rest)
     merged = links
     for end in ("a", "b"):
         merged = with_component(merged.withColumnRenamed(end, "node"), comp).drop("node").withColumnRenamed("comp", end)
