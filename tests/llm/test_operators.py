@@ -145,6 +145,35 @@ def test_line_runs_in_odd_cases(spark):
     assert dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_long_lines_between_different_neighbours(spark):
+    passage, half = " ".join(f"w{i}" for i in range(60)), " ".join(f"h{i}" for i in range(30))
+    short = " ".join(f"s{i}" for i in range(40))
+    docs = documents(spark, f"a\n{passage}\nb", f"c\n{passage}\nd\ne", f"f\n{half}\n{half} x\ng", f"i\n{half}\n\n{half} x\nj", f"k\n{short}\nl", f"m\n{short}\nn", passage)
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(docs).collect()}
+    want = {r["doc_id"]: r["text"] for r in docs.collect()} | {1: "c\nd\ne", 3: "i\n\nj", 6: ""}
+    assert got == want
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, "").collect()} == {i: t for i, t in want.items() if t}
+
+
+def test_line_runs_by_words_by_brute_force(spark, texts):
+    first, windows, gone = {}, [], collections.defaultdict(set)
+    for i in sorted(texts):
+        lines = [(k, x.strip(" ")) for k, x in enumerate(texts[i].split("\n")) if x.strip(" ")]
+        for j in range(len(lines)):
+            sizes = [n for n in (1, 2) if j + n <= len(lines) and sum(len(x.split()) for _, x in lines[j : j + n]) >= 50]
+            for n in {*sizes[:1], *([3] if j + 3 <= len(lines) or j == 0 else [])}:
+                part = lines[j : j + n]
+                key = tuple(x for _, x in part)
+                windows.append((key, (i, part[0][0]), [k for k, _ in part]))
+                first.setdefault(key, (i, part[0][0]))
+    for key, at, places in windows:
+        if at > first[key]:
+            gone[at[0]].update(places)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(docs).collect()}
+    assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in texts.items()}
+
+
 def test_packing_round_trip(spark, sf_dir, texts):
     whole = Tokenizer.from_file(VOCABULARY)
     want = {}

@@ -1,8 +1,7 @@
 """Line dedup: runs of lines that already stand in an earlier text are deleted.
 
-Winnowing over line hashes. Of each window of ``run`` consecutive lines the line
-with the smallest hash is a fingerprint, so any run of ``run`` equal lines shares
-one. Fingerprints seen once cannot be part of a repeated run and drop out; around
+Winnowing over line hashes. Of each window of consecutive lines the line
+with the smallest hash is a fingerprint, so equal windows share one. Fingerprints seen once cannot be part of a repeated run and drop out; around
 each of the others the windows it is the minimum of are extended both ways and
 compared whole (128 bits of hash over the lines). A window that occurs at an
 earlier place (smaller doc_id, then smaller line) is deleted with all its lines.
@@ -14,6 +13,8 @@ costs a row per task.
 Defined results
 * a line is what stands between line feeds; lines that are empty after trimming
   belong to no window and stay; blanks around a line don't count;
+* a run has ``run`` lines, or fewer with ``words`` words together: a document's line
+  is often a paragraph, and one of 50 words is a passage whatever stands around it;
 * a run is judged on the input, not on what is left of other texts;
 * texts of fewer than ``run`` lines are a single window of all their lines, if
   ``short`` is set (the default): a repeated short text loses all lines;
@@ -30,31 +31,42 @@ from pyspark.sql import functions as F
 from tillwise.llm.common import Scratch
 
 RUN = 3
+WORDS = 50
 
 
 def line_rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (doc_id, text_hash, place, h): the non-empty lines of each text."""
     text = F.col(f"`{text_col}`")
     docs = documents.where(text.isNotNull()).select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("lines"))
-    hashes = F.transform("lines", lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
+    hashes = F.transform("lines", lambda x: F.when(F.trim(x) != "", F.struct(F.xxhash64(F.trim(x)).alias("h"), F.size(F.split(F.trim(x), r"\s+")).alias("words"))))
     return docs.select("doc_id", "text_hash", hashes.alias("hashes"))
 
 
 def numbered(hashes: Column) -> Column:
-    """Array of (place, h) of the non-empty lines."""
-    return F.filter(F.transform(hashes, lambda h, i: F.struct(i.alias("place"), h.alias("h"))), lambda x: x["h"].isNotNull())
+    """Array of (place, h, words) of the non-empty lines."""
+    return F.filter(F.transform(hashes, lambda x, i: F.struct(i.alias("place"), x["h"].alias("h"), x["words"].alias("words"))), lambda x: x["h"].isNotNull())
 
 
-def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, short: bool = True) -> DataFrame:
+def windows_of(n: Column, run: int, short: bool, words: int | None) -> Column:
+    """Array of the windows of a text: ``run`` lines, or the fewest lines from a place that hold ``words`` words."""
+
+    def at(i: Column) -> Column:
+        whole = [F.when((i + run - 1 <= F.size(n)) | ((i == 1) & F.lit(short)), F.slice(n, i, run))]
+        counts = [F.lit(0)]
+        for k in range(run - 1 if words else 0):
+            counts.append(counts[-1] + F.coalesce(F.get(n, i + (k - 1))["words"], F.lit(0)))
+            whole.append(F.when((i + k <= F.size(n)) & (counts[-1] >= words) & (counts[-2] < words), F.slice(n, i, k + 1)))
+        return F.array_compact(F.array(*whole))
+
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(n)), at))
+
+
+def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, short: bool = True, words: int | None = WORDS) -> DataFrame:
     """Rows (doc_id, text_hash, places): the line numbers to delete of each text that loses lines."""
     scratch = Scratch(documents.sparkSession, "lines")
     rows = line_rows(documents, id_col, text_col)
     rows = rows.select("doc_id", "text_hash", numbered(F.col("hashes")).alias("n")).where(F.size("n") > 0)
-    if not short:
-        rows = rows.where(F.size("n") >= run)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("n") - run, F.lit(0)))
-    one = rows.select("doc_id", "text_hash", "n", F.explode(starts).alias("i"))
-    one = one.select("doc_id", "text_hash", F.slice("n", F.col("i") + 1, run).alias("w"))
+    one = rows.select("doc_id", "text_hash", F.explode(windows_of(F.col("n"), run, short, words)).alias("w"))
     lines = F.transform("w", lambda x: x["h"])
     one = one.select(
         "doc_id", "text_hash",
@@ -76,12 +88,13 @@ def without_lines(text: Column, places: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(places, i)), "\n")
 
 
-def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, short: bool = True, emptied: bool = True) -> DataFrame:
+def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, short: bool = True, emptied: bool = True, words: int | None = WORDS) -> DataFrame:
     """The documents, their texts without repeated runs of lines; columns as before.
 
-    ``emptied``: keep texts that lose all their lines, as empty ones, or leave them out.
+    ``emptied``: keep texts that lose all their lines, as empty ones, or leave them out;
+    ``words``: None counts runs of ``run`` lines only.
     """
-    gone = repeated_lines(documents, id_col, text_col, run, short)
+    gone = repeated_lines(documents, id_col, text_col, run, short, words)
     gone = gone.select(F.col("doc_id").alias("__own_id"), F.col("text_hash").alias("__own_hash"), F.col("places").alias("__own_places"))
     text = F.col(f"`{text_col}`")
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("__own_id")) & (F.xxhash64(text) == F.col("__own_hash"))

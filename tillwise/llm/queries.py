@@ -89,7 +89,7 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_line_dedup")
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = dedup_lines(docs.select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines")))
+    out = dedup_lines(docs.select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines")), words=None)
     return out.select("doc_id", "n_lines", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
 
 
