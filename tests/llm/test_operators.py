@@ -242,6 +242,23 @@ def test_main_text_in_odd_cases(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_with_markup_as_evidence(spark):
+    menu = "home about contact us and all the other things we have to offer"
+    quote = "to be or not to be that is the question asked by many"
+
+    def own(n):
+        return " ".join(f"p{n}w{i}" for i in range(30))
+
+    pages = [(n, f"http://a.org/{n}", f"<div>{menu}</div><article>{own(n)}</article>") for n in range(6)]
+    pages += [(6, "http://a.org/6", f"<div>{own(6)}</div><article>teaser card</article>")]
+    pages += [(n, f"http://b.org/{n}", f"<p>{own(n)}" + (f" {quote}</p><p>{quote}</p>" if n < 12 else "")) for n in range(10, 16)]
+    pages += [(n, f"http://c.org/{n}", f"<p>{own(20)}</p>") for n in (20, 21)]
+    pages += [(n, f"http://d.org/{n}", f"<article><p>{own(n)}</p><p>{menu}</p></article>") for n in range(30, 36)]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = {n: own(n) for n in (*range(6), *range(12, 16), *range(30, 36))}
+    assert got == want | {6: f"{own(6)} teaser card", 20: own(20), 21: own(20)} | {n: f"{own(n)} {quote} {quote}" for n in (10, 11)}
+
+
 def test_decontamination_in_odd_cases(spark):
     passage = " ".join(f"p{i}" for i in range(20))
     docs = documents(spark, None, "", f"a b {passage.upper()}. c", "short item here", f"{passage} {passage}", "x " * 500 + passage, " ".join(f"p{i}" for i in range(12)))

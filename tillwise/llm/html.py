@@ -1,32 +1,39 @@
-"""Main text of web pages: markup first, then the host's repeated passages.
-
-A page is cut into blocks of text. Blocks inside an article (or main) element that
-are no menu, header, footer, sidebar, notice, advert, form or comment are main
-text. A page without such an element is settled by its host: the token streams of
-the open blocks of all its pages form one array of suffixes, ordered by their first
-``RUN`` tokens; a run that starts on two pages or more is boilerplate, all tokens
-that such runs cover are removed, and the unique runs stay.
+"""Main text of web pages: the host's repeated passages, with the markup as evidence.
+
+A page is cut into blocks of text; menus, headers, footers, sidebars, notices,
+adverts, forms and comments are left out by their markup. The blocks of all
+distinct pages of a host form one array of suffixes, ordered by their first ``RUN``
+tokens; a run that starts on a ``SHARE`` of the host's distinct pages is repeated.
+A block ``COVER`` of whose tokens lie in repeated runs is boilerplate and goes
+whole; other blocks stay whole. Text inside an article (or main) element is held
+for main text: only runs on ``MAIN_SHARE`` of the pages, and ``MAIN_PAGES`` at
+least, count against it. On a page with such text, a block outside of it stays if
+it has ``RUN`` tokens.
 
 The order is Spark's: a suffix is a row (host, hash of its first tokens), its
-neighbours in the array are its group, and groups are only aggregated (smallest and
-largest page, with map-side combine), so a host with a third of all pages is spread
-over its passages and a passage on all pages is one row per task.
+neighbours in the array are its group, and groups are only counted (with map-side
+combine), so a host with a third of all pages is spread over its passages and a
+passage on all pages is one row per task. The runs of a host that reach the share
+are no more than its mean page has tokens, divided by the share; they are joined to
+the pages, and each page is judged by itself.
 
 Defined results
 * null or empty html: the empty text; null url: a host of its own, the empty one;
 * html that breaks off or never closes an element is read to its end;
-* passages repeated within one page only are not boilerplate; equal pages of a host
-  without an article boil each other down to nothing;
+* passages repeated within one page only are not boilerplate; pages of a host with
+  the same blocks count once and get the same text;
 * a block of fewer than ``RUN`` tokens counts whole, as a run by itself;
-* rows that share a page_id are told apart by their html; extra columns are ignored.
+* rows that share a page_id are judged one by one; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +41,9 @@ from pyspark.sql import functions as F
 from tillwise.llm.common import Scratch
 
 RUN = 8
+SHARE, COVER = 0.5, 0.75
+MAIN_SHARE, MAIN_PAGES = 0.9, 5
+FACTOR, KNOWN = np.uint64(0x9E3779B97F4A7C15), 1_000_000
 # Elements whose content is never shown or never text, elements around the text, elements that break it.
 RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "title", "select", "option", "button")
 CHROME = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "figure", "object", "label"}
@@ -97,50 +107,109 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
     return found
 
 
+def token_hash(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+
+
+def heads(text: str, run: int, known: dict[str, int]) -> np.ndarray:
+    """The suffixes of a block, in order: hashes of their first ``run`` tokens, of the whole block if it has fewer.
+
+    ``known`` holds the hashes of tokens met before, at most ``KNOWN`` of them.
+    """
+    tokens = text.split(" ")
+    if len(known) > KNOWN:
+        known.clear()
+    for t in tokens:
+        if t not in known:
+            known[t] = token_hash(t)
+    signs = np.array([known[t] for t in tokens], np.uint64)
+    size = min(run, len(tokens))
+    found = np.zeros(len(tokens) - size + 1, np.uint64)
+    for k in range(size):
+        found = found * FACTOR + signs[k : k + len(found)]
+    return found.view(np.int64)
+
+
+def covered(found: np.ndarray, repeated: set[int], n: int, run: int) -> int:
+    """How many of a block's ``n`` tokens lie in repeated runs."""
+    total = end = 0
+    for i, h in enumerate(found.tolist()):
+        if h in repeated:
+            stop = min(i + run, n)
+            total += stop - max(i, end)
+            end = stop
+    return total
+
+
 def cut(pages: DataFrame) -> DataFrame:
-    """(page_id, html_hash, url, html) to page_id, html_hash, url, main (text), open (array of blocks; empty if there is main text)."""
+    """(page_id, url, html) to page_id, url, blocks, inside (an article or main, one for each block)."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mains, opens = [], []
-            for page in batch.column(3).to_pylist():
-                got = blocks(page)
-                mains.append(" ".join(t for t, inside in got if inside))
-                opens.append([] if mains[-1] else [t for t, _ in got])
-            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(mains, pa.string()), pa.array(opens, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "html_hash", "url", "main", "open"])
-
-    return pages.mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, html_hash long, url string, main string, open array<string>")
-
-
-def unique_runs(opened: DataFrame, run: int = RUN) -> DataFrame:
-    """(page_id, html_hash, host, open) to page_id, html_hash, text: open blocks less what the host repeats."""
-    block = opened.select("page_id", "html_hash", "host", F.posexplode("open").alias("b", "block"))
-    block = block.select("page_id", "html_hash", "host", "b", F.split("block", " ").alias("t"))
-    last = F.greatest(F.size("t") - run, F.lit(0))
-    suffix = block.select("page_id", "html_hash", "host", "b", "t", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    suffix = suffix.select("page_id", "html_hash", "host", "b", "i", F.slice("t", F.col("i") + 1, run).alias("head"))
-    suffix = suffix.select("page_id", "html_hash", "host", "b", "i", F.size("head").alias("n"), F.xxhash64("head").alias("h1"), F.xxhash64(F.lit(7), "head").alias("h2"))
-    page = F.struct("page_id", "html_hash")
-    near = suffix.groupBy("host", "h1", "h2").agg(F.min(page).alias("one"), F.max(page).alias("two")).where("one <> two").drop("one", "two")
-    repeated = suffix.join(near, ["host", "h1", "h2"], "left_semi")
-    covered = repeated.select("page_id", "html_hash", "b", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)).alias("at"))
-    covered = covered.groupBy(F.col("page_id").alias("_id"), F.col("html_hash").alias("_hash"), F.col("b").alias("_b")).agg(F.collect_set("at").alias("gone"))
-    same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("html_hash") == F.col("_hash")) & (F.col("b") == F.col("_b"))
-    kept = F.array_join(F.filter("t", lambda w, i: F.col("gone").isNull() | ~F.array_contains("gone", i)), " ")
-    rows = block.join(covered, same, "left").select("page_id", "html_hash", "b", kept.alias("text")).where("text <> ''")
-    inside = F.transform(F.sort_array(F.collect_list(F.struct("b", "text"))), lambda s: s["text"])
-    return rows.groupBy("page_id", "html_hash").agg(F.array_join(inside, " ").alias("text"))
+            got = [blocks(page) for page in batch.column(2).to_pylist()]
+            texts = pa.array([[t for t, _ in page] for page in got], pa.list_(pa.string()))
+            inside = pa.array([[m for _, m in page] for page in got], pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts, inside], ["page_id", "url", "blocks", "inside"])
+
+    return pages.mapInArrow(work, f"page_id {dict(pages.dtypes)['page_id']}, url string, blocks array<string>, inside array<boolean>")
+
+
+def suffixes(pages: DataFrame, run: int) -> DataFrame:
+    """(host, blocks) to rows host, head: each head of a page once."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for host, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = np.unique(np.concatenate([heads(t, run, known) for t in texts]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), host)), pa.array(found)], ["host", "head"])
+
+    return pages.select("host", "blocks").mapInArrow(work, "host long, head long")
+
+
+def repeated_runs(parts: DataFrame, scratch: Scratch, run: int = RUN) -> DataFrame:
+    """Rows host, weak, strong: heads on enough of the host's distinct pages to count outside and inside of main text."""
+    some = parts.where(F.size("blocks") > 0)
+    distinct = scratch.keep(some.groupBy("host", "sig").agg(F.min("row").alias("kept"), F.count("*").alias("n")), "distinct")
+    copies = some.select("host", "sig", "row").join(distinct.where("n > 1"), ["host", "sig"]).where("row <> kept").select("row")
+    copies = scratch.keep(copies, "copies")
+    pages = distinct.groupBy("host").agg(F.count("*").alias("pages")).where("pages > 1")
+    met = suffixes(some.join(copies, "row", "left_anti"), run).groupBy("host", "head").agg(F.count("*").alias("n")).where("n > 1")
+    met = met.join(scratch.keep(pages, "hosts"), "host").where(F.col("n") >= F.col("pages") * SHARE)
+    strong = F.when((F.col("n") >= F.col("pages") * MAIN_SHARE) & (F.col("n") >= MAIN_PAGES), F.col("head"))
+    return met.groupBy("host").agg(F.collect_list("head").alias("weak"), F.collect_list(strong).alias("strong"))
+
+
+def judge(pages: DataFrame, run: int = RUN) -> DataFrame:
+    """(page_id, url, blocks, inside, weak, strong) to page_id, url, text."""
+
+    def text_of(texts: list[str], inside: list[bool], weak: set[int], strong: set[int], known: dict[str, int]) -> str:
+        kept = []
+        for text, main in zip(texts, inside):
+            n = text.count(" ") + 1
+            if not main and n < run and any(inside):
+                continue
+            repeated = strong if main else weak
+            if not repeated or covered(heads(text, run, known), repeated, n, run) < COVER * n:
+                kept.append(text)
+        return " ".join(kept)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)))
+            texts = [text_of(t, inside, set(weak or ()), set(strong or ()), known) for t, inside, weak, strong in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    pages = pages.select("page_id", "url", "blocks", "inside", "weak", "strong")
+    return pages.mapInArrow(work, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN) -> DataFrame:
     """Rows page_id, url, text: one for each page."""
     scratch = Scratch(pages.sparkSession, "html")
-    own = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.xxhash64(F.col(f"`{html_col}`")).alias("html_hash"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
-    parts = scratch.keep(cut(own), "blocks")
+    own = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    opened = parts.where(F.size("open") > 0).select("page_id", "html_hash", host.alias("host"), "open").dropDuplicates(["page_id", "html_hash"])
-    left = unique_runs(opened, run).select(F.col("page_id").alias("_id"), F.col("html_hash").alias("_hash"), F.col("text").alias("_text"))
-    same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("html_hash") == F.col("_hash"))
-    text = F.when(F.size("open") > 0, F.coalesce("_text", F.lit(""))).otherwise(F.col("main"))
-    return parts.join(left, same, "left").select("page_id", "url", text.alias("text"))
+    own = cut(own).withColumns({"host": F.xxhash64(host), "sig": F.xxhash64("blocks"), "row": F.monotonically_increasing_id()})
+    parts = scratch.keep(own, "blocks")
+    return judge(parts.join(scratch.keep(repeated_runs(parts, scratch, run), "runs"), "host", "left"), run)
