@@ -280,6 +280,51 @@ def test_licences_in_order(spark):
     assert license_scan(docs.limit(0)).count() == 0
 
 
+def test_licences_in_wrapped_texts(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+    bsd = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice, this
+ *    list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+"""
+    neither = """ * 3. Neither the name of the copyright holder nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission.
+"""
+    gpl = """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version 2 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+"""
+    isc = """// Permission to use, copy, modify, and/or distribute this software for any
+// purpose with or without fee is hereby granted, provided that the above
+// copyright notice and this permission notice appear in all copies."""
+    lines = "Some title\nAll rights reserved\nReleased under the MIT License\nmore words"
+    apart = "Released under the\n\nMIT License\nall rights reserved by us"
+    docs = documents(spark, mit, bsd, bsd + neither, gpl, isc, lines, apart, mit.replace("\n", "\r\n"))
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in license_scan(docs).collect()}
+    assert got == {
+        0: ([9, 10], ["MIT"]), 1: ([24, 25, 26], ["BSD-2-Clause"]), 2: ([24, 25, 26, 27], ["BSD-2-Clause", "BSD-3-Clause"]),
+        3: ([13, 14, 16, 17], ["GPL-2.0-or-later"]), 4: ([28], ["ISC"]), 5: ([31, 7], ["MIT"]), 6: ([], []), 7: ([9, 10], ["MIT"]),
+    }
+
+
 def test_top_k_ties_and_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (8, [-1.0, 0.5]), (None, [1.0, 1.0])]
     v = embedding_rows(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))

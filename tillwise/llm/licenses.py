@@ -13,7 +13,11 @@ Defined results
 * null, empty or sentence-free text: no identifiers, no licence;
 * a sentence that occurs twice is listed twice; each licence is listed once;
 * normal form: A-Z to a-z, each run of signs other than a-z and 0-9 one space, no
-  blanks at the ends; sentences end at . ! ? ; : followed by white space, or at a line's end;
+  blanks at the ends; sentences end at . ! ? ; : followed by white space, or at a blank line;
+* a single line break, with the comment signs around it, may stand for a blank or end a
+  sentence: a known sentence is found wrapped, and also as a line among lines without signs;
+* the SQL counterpart ends sentences at each line break, so it agrees on texts without
+  wrapped sentences only;
 * rows are judged one by one, so repeated rows give repeated results; extra columns are ignored.
 """
 
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tillwise.llm.common import ascii_lower
 
+# Of the SQL counterpart; HARD and SOFT below mark the ends in the code.
 SENTENCE_END = r"[.!?;:]+[ \t\r\n]+|[\r\n]+"
 # Sentences of public licences and their usual notices, in normal form.
 SENTENCES = {
@@ -84,16 +89,29 @@ RULES = [
 ]
 
 
-def normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
+HARD, SOFT = "\x01", "\x02"
+# In this order: signs and white space to words with blanks, hard ends and single line breaks between them.
+MARKS = [
+    (r"[.!?;:]+[ \t\r\n]+", HARD),
+    (r"\r\n?", "\n"),
+    (rf"\n[^a-z0-9{HARD}\n]*\n[^a-z0-9{HARD}]*", HARD),
+    (r"\n", SOFT),
+    (rf"[^a-z0-9{HARD}{SOFT}]+", " "),
+    (rf"[ {SOFT}]*{HARD}[ {HARD}{SOFT}]*", HARD),
+    (rf" *{SOFT}[ {SOFT}]*", SOFT),
+]
 
 
 def sentence_ids(text: Column, sentences: dict[int, str]) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    cut = F.split(F.coalesce(ascii_lower(text), F.lit("")), SENTENCE_END)
-    known = F.filter(F.transform(cut, normal), lambda s: s.isin(*sentences.values()))
+    marked = F.translate(F.coalesce(ascii_lower(text), F.lit("")), HARD + SOFT, "  ")
+    for pattern, mark in MARKS:
+        marked = F.regexp_replace(marked, pattern, mark)
+    longest = sorted(sentences.values(), key=len, reverse=True)
+    known = rf"(?<![a-z0-9 ])(?:{'|'.join(s.replace(' ', f'[ {SOFT}]') for s in longest)})(?![a-z0-9 ])"
     ids = F.create_map(*[x for i, s in sentences.items() for x in (F.lit(s), F.lit(i))])
-    return F.transform(known, lambda s: F.element_at(ids, s))
+    found = F.regexp_extract_all(F.trim(marked), F.lit(known), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(ids, F.translate(s, SOFT, " ")))
 
 
 def like_pattern(rule: list[int]) -> str:
