@@ -7,6 +7,7 @@ from tillwise.constants import RFM_FEATURES, SEGMENT_LABELS
 from tillwise.operators import clusters, naming, preprocess
 from tillwise.operators.model import SegmentModel, fit_segment_model
 from tillwise.plans.customer_features import LIVE_MODEL
+from tillwise.plans.registry import QUERIES
 from tillwise.sources import files
 from tillwise.sources.retail import customers
 from tillwise.session import new_shared_path
@@ -57,6 +58,32 @@ def test_assign_before_fit(rfm):
         clusters.ClusterSearch(rfm, rfm, RFM_FEATURES).assign()
 
 
+@pytest.mark.parametrize("name", ["kmeans_segments", "k_selection", "predict_segments", "model_roundtrip"])
+def test_registered_fits_try_all_k_and_restarts(spark, sf_dir, monkeypatch, name):
+    class Stop(Exception):
+        pass
+
+    def fit(search):
+        raise Stop(list(search.k_range), search.restarts)
+
+    monkeypatch.setattr(clusters.ClusterSearch, "fit", fit)
+    with pytest.raises(Stop) as stopped:
+        QUERIES[name](spark, sf_dir)
+    assert stopped.value.args == ([3, 4, 5, 6, 7, 8], 10)
+
+
+def test_fits_do_not_hang_on_how_rows_came(spark):
+    points = [(i, (i * 37 % 101) / 3.0, (i * 17 % 89) / 2.0) for i in range(400)]
+    rows = spark.createDataFrame(points, "id long, x double, y double")
+    found = []
+    for came in (rows.coalesce(1), rows.repartition(5).sortWithinPartitions(F.desc("x"))):
+        search = clusters.ClusterSearch(came, came, ["x", "y"], [4, 5], restarts=2).fit()
+        found.append([x for row in search.metrics for x in row])
+        assert search._train.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+        search.release()
+    assert found[0] == pytest.approx(found[1], rel=1e-12)
+
+
 def test_silhouette_against_all_pairs(spark):
     points = [((i * 37 % 11) / 3.0, (i * 17 % 7) / 2.0, i % 3) for i in range(40)] + [(50.0, 50.0, 3)]
     df = spark.createDataFrame(points, "x double, y double, Segment int")

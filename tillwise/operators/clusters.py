@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
@@ -19,7 +18,6 @@ from tillwise.session import cut_lineage
 
 VECTOR = "features"
 SEGMENT = "Segment"
-ROWS_PER_PART = 50_000
 
 Centres = Mapping[int, Sequence[float]]
 
@@ -44,9 +42,12 @@ def silhouette(labelled: DataFrame) -> float | None:
     return ClusteringEvaluator(featuresCol=VECTOR, predictionCol=SEGMENT).evaluate(labelled)
 
 
-def _fewer_parts(stored: DataFrame) -> DataFrame:
-    """Merge small partitions: each iteration runs one task for each of them."""
-    return stored.coalesce(max(1, math.ceil(stored.count() / ROWS_PER_PART)))
+def _dealt(part: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One partition per core of the session, dealt by key and in order: each iteration runs
+    one task for each of them, and first centres don't hang on how the rows came."""
+    keys = keys or columns
+    parts = part.sparkSession.sparkContext.defaultParallelism
+    return part.repartition(parts, *keys).sortWithinPartitions(*keys, *columns)
 
 
 @dataclass
@@ -69,7 +70,7 @@ class ClusterSearch:
         iteration of each fit reads them; fits run side by side."""
         keys = [c for c in self.train.columns if c not in self.columns]
         train, test = (
-            _fewer_parts(cut_lineage(assemble(part, self.columns).select(*keys, *self.columns, VECTOR))).persist()
+            cut_lineage(_dealt(assemble(part, self.columns).select(*keys, *self.columns, VECTOR), keys, self.columns)).persist()
             for part in (self.train, self.test)
         )
         self._train, self._test = train, test

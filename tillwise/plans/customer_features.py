@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillwise.constants import CAP_PERCENTILE, RFM_FEATURES, SEED
+from tillwise.constants import CAP_PERCENTILE, RFM_FEATURES
 from tillwise.functions.numbers import round_even
 from tillwise.operators import clusters, naming, preprocess, rfm
 from tillwise.operators.model import SegmentModel, fit_segment_model
@@ -15,10 +15,6 @@ from tillwise.session import new_shared_path, reused
 from tillwise.sources.retail import customers, lines, retail
 from tillwise.streaming.live import score_customers
 
-# Restarts and k of the registered K-Means fits; the library defaults are more.
-RESTARTS = 3
-SEGMENTS = 4
-
 SIX = ", ".join(f"{rounded(f, 6)} AS {f}" for f in FEATURES)
 EXACT = ", ".join(FEATURES)
 
@@ -221,7 +217,7 @@ def silhouette(spark, sf_dir):
 @register("kmeans_segments")
 def kmeans_segments(spark, sf_dir):
     data = preprocess.prepare_training(customers(spark, sf_dir))
-    search = clusters.ClusterSearch(data.train, data.test, RFM_FEATURES, [SEGMENTS], SEED, RESTARTS).fit()
+    search = clusters.ClusterSearch(data.train, data.test, RFM_FEATURES).fit()
     train, test = search.assign()
     return keyed(train, "Segment", F.lit("train").alias("part")).unionByName(
         keyed(test, "Segment", F.lit("test").alias("part"))
@@ -231,7 +227,7 @@ def kmeans_segments(spark, sf_dir):
 @register("k_selection")
 def k_selection(spark, sf_dir):
     data = preprocess.prepare_training(customers(spark, sf_dir))
-    search = clusters.ClusterSearch(data.train, data.test, RFM_FEATURES, restarts=RESTARTS).fit()
+    search = clusters.ClusterSearch(data.train, data.test, RFM_FEATURES).fit()
     return search.metrics_frame().withColumn("chosen", (F.col("k") == search.best_k).cast("bigint"))
 
 
@@ -266,14 +262,14 @@ def segment_customers(spark, sf_dir):
 @register("predict_segments")
 def predict_segments(spark, sf_dir):
     rfm_all = customers(spark, sf_dir)
-    model, _ = fit_segment_model(rfm_all, [SEGMENTS], restarts=RESTARTS)
+    model, _ = fit_segment_model(rfm_all)
     return model.predict(rfm_all)
 
 
 @register("model_roundtrip")
 def model_roundtrip(spark, sf_dir):
     rfm_all = customers(spark, sf_dir)
-    model, _ = fit_segment_model(rfm_all, [SEGMENTS], restarts=RESTARTS)
+    model, _ = fit_segment_model(rfm_all)
     path = new_shared_path(spark, "segment-model")
     model.save(spark, path)
     return SegmentModel.load(spark, path).predict(rfm_all, caps="fitted")
