@@ -271,6 +271,16 @@ def test_decontamination_in_odd_cases(spark):
     assert decontamination_report(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_compares_the_words_of_equal_hashes(spark, monkeypatch):
+    hashed = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *columns: F.pmod(hashed(*columns), F.lit(2)))
+    passage = " ".join(f"p{i}" for i in range(20))
+    docs = documents(spark, f"a b {passage} c", " ".join(f"q{i}" for i in range(40)), "one two three four")
+    bench = spark.createDataFrame([(1, passage), (2, "short item")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], sorted(r["item_ids"])) for r in decontamination_report(docs, bench).collect()}
+    assert got == {0: (20, [1]), 1: (0, []), 2: (0, [])}
+
+
 def test_licences_in_order(spark):
     grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
     notice = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."

@@ -62,9 +62,10 @@ def find_hits(docs: DataFrame, windows: DataFrame, lengths: list[int], rows: int
     known = windows.select("gram", "gram_hash", "m").distinct()
     found = None
     for m in lengths:
-        places = F.posexplode(grams(F.col("w"), m)).alias("at", "gram_hash")
-        at = cut.select("doc_id", "text_hash", places)
+        own = F.transform(grams(F.col("w"), m), lambda h, i: F.struct(h.alias("gram_hash"), F.array_join(F.slice("w", i + 1, m), " ").alias("own")))  # noqa: B023
+        at = cut.select("doc_id", "text_hash", F.posexplode(own).alias("at", "run")).select("doc_id", "text_hash", "at", "run.*")
         one = look_up(at, known.where(F.col("m") == m), ["gram_hash"], "inner", rows)
+        one = one.where(F.col("own") == F.col("gram")).drop("own")  # equal hashes may be of other words
         found = one if found is None else found.unionByName(one)
     return found
 
