@@ -1,10 +1,11 @@
 """Line dedup: runs of lines that already stand in an earlier text are deleted.
 
-Winnowing over line hashes. Of each window of consecutive lines the line
-with the smallest hash is a fingerprint, so equal windows share one. Fingerprints seen once cannot be part of a repeated run and drop out; around
-each of the others the windows it is the minimum of are extended both ways and
-compared whole (128 bits of hash over the lines). A window that occurs at an
-earlier place (smaller doc_id, then smaller line) is deleted with all its lines.
+Windows of line hashes. Of each window of consecutive lines the line with the
+smallest hash is a fingerprint, so equal windows share one. Fingerprints seen once
+cannot be part of a repeated run and their windows drop out; the others are compared
+whole (128 bits of hash over the lines). Unlike winnowing proper, every window is a
+row, and no match is extended. A window that occurs at an earlier place (smaller
+doc_id, then smaller line) is deleted with all its lines.
 
 Only hashes and places are shuffled; counting and the earliest place of a window
 are aggregates with map-side combine, so a line that a third of all texts carry
