@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from tillwise.llm.common import Scratch, table
 from tillwise.llm.decontaminate import decontamination_report
 from tillwise.llm.html import main_text
+from tillwise.llm.lexical import ranked_search
 from tillwise.llm.licenses import license_scan, license_sql
 from tillwise.llm.linededup import dedup_lines
 from tillwise.llm.nearcopies import near_copy_groups
 from tillwise.llm.packing import pack_documents
+from tillwise.llm.periodic import collapse_runs
 from tillwise.llm.quality import quality_scores, rejected
 from tillwise.llm.registry import ORACLES, QUERIES, register
 from tillwise.llm.repeats import remove_repeats
+from tillwise.llm.simhash import simhash_groups
 from tillwise.llm.tokenfile import read_token_files, write_token_files
 from tillwise.llm.topk import embedding_rows, top_k
 
@@ -110,3 +113,79 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "p_quality", "p_toxic", "rate_quality", "rate_toxic", (~rejected()).alias("kept"))
+
+
+def with_periodic_words(documents: DataFrame) -> DataFrame:
+    """The contract's input: about every tenth document goes on in a period of its own words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    docs = documents.withColumn("words", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    docs = docs.withColumn("n", F.size("words")).withColumn("a", F.pmod(g, F.col("n")).cast("int"))
+    docs = docs.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.pmod(g, F.lit(8))))).cast("int"))
+    period = F.slice("words", F.col("a") + 1, F.col("p"))
+    again = F.flatten(F.array_repeat(period, F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    made = F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), again), F.lit(1), F.col("n"))
+    return docs.select("doc_id", F.when((h % 10 == 0) & (F.col("n") > 0), F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+
+
+PERIODIC_RUNS_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') v,
+                  xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda crc, b:
+                      list_reduce(CAST(range(8) AS BIGINT[]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, b)),
+                      CAST(4294967295 AS BIGINT)), 4294967295) h FROM documents),
+e AS (SELECT doc_id, v, len(v) n, h, h // 10 g, CASE WHEN len(v) > 0 THEN (h // 10) % len(v) END a FROM d),
+f AS (SELECT *, 1 + (n - a) // (3 + g % 8) p FROM e),
+w AS (SELECT doc_id, i, CASE WHEN h % 10 = 0 AND i >= a THEN v[1 + a + (i - a) % p] ELSE v[1 + i] END s FROM (SELECT *, unnest(range(n)) i FROM f)),
+x AS (SELECT doc_id, i, string_agg(s, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) gram,
+             count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) m FROM w),
+y AS (SELECT doc_id, i, gram FROM x WHERE m = 6),
+z AS (SELECT b.doc_id, b.i, b.i - c.i q FROM y b JOIN y c ON b.doc_id = c.doc_id AND b.gram = c.gram AND b.i > c.i),
+s AS (SELECT doc_id, q, min(i) lo, max(i) + 6 hi FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) island FROM z) GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, lo - q AS start, hi - (lo - q) AS length, min(q) period FROM s WHERE hi - lo >= greatest(12 - q, q) GROUP BY doc_id, lo - q, hi - (lo - q)),
+t AS (SELECT doc_id, count(*) n_runs, first(struct_pack(a := start, b := length, c := period) ORDER BY length DESC, start, period) best,
+             string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) said FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) i FROM r),
+k AS (SELECT doc_id, string_agg(s, ' ' ORDER BY i) kept FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) n_runs, best.a AS start, best.b AS length, best.c AS period, 1000 * best.b // best.c exponent_milli,
+       sha256(coalesce(said, '')) runs_sha256, sha256(coalesce(kept, '')) collapsed_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+@register("op11_periodic_runs", PERIODIC_RUNS_SQL)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = collapse_runs(with_periodic_words(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    said = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(said, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+    length = -F.col("best.shorter")
+    milli = F.expr("(-1000 * best.shorter) div best.period")
+    return out.select("doc_id", "n_runs", "best.start", length.alias("length"), "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@register("op12_simhash")
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_groups(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("point"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+RANKED_SEARCH_SQL = r"""
+WITH d AS (SELECT row_number() OVER () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') t FROM documents),
+stats AS (SELECT CAST(count(*) AS BIGINT) n_docs, CAST(sum(len(t)) AS BIGINT) l FROM d WHERE len(t) > 0),
+tf AS (SELECT r, term, count(*) tf FROM (SELECT r, unnest(t) term FROM d) GROUP BY r, term),
+df AS (SELECT term, count(*) df FROM tf GROUP BY term),
+q AS (SELECT item_id, term, count(*) times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term FROM benchmark) GROUP BY item_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) w FROM df, stats),
+i AS (SELECT tf.r, term, w.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(d.t) * n_docs) // l))) impact
+      FROM tf JOIN w USING (term) JOIN d ON d.r = tf.r, stats),
+s AS (SELECT item_id, r, CAST(sum(times * impact) AS BIGINT) score FROM q JOIN i USING (term) GROUP BY item_id, r),
+o AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) rank FROM s JOIN d USING (r) WHERE score > 0 AND doc_id IS NOT NULL)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+
+@register("op13_ranked_search", RANKED_SEARCH_SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
