@@ -23,7 +23,8 @@ Defined results
 * rows are scored one by one, so repeated rows give repeated results; labels
   without document, with null, or given twice (unequal ones both count) do no harm;
 * without labels of both kinds a target has no evidence and the rate 1/2, no document is rejected for it;
-* an empty table gives no rows; extra columns are kept by ``keep_good``.
+* an empty table gives no rows; extra columns are kept by ``keep_good``;
+* texts of any length count whole; the words of one text are held at a time.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ WORDS = 300
 BINS = 10
 MIN_COUNT = 5
 BROADCAST_SITES = 100_000
+# Texts whose words are held in one piece of a batch.
+PIECE = 256
 MIN_RATIO = 1.5
 MIN_SURPRISE = 16.0
 PENALTY = 0.3
@@ -91,12 +94,14 @@ def with_features(documents: DataFrame) -> DataFrame:
     rest = [c for c in documents.columns if c != "text"]
 
     def terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, PIECE) for b in batches for at in range(0, b.num_rows, PIECE)):
             out = []
-            for text in batch.column("text").to_pylist():
-                words, bins = document_features(text)
-                out.append([*words, *(f"{s}={b}" for s, b in zip(SHAPES, bins))])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), *(batch.column(c) for c in rest)], ["terms", *rest])
+            for text in batch.column("text"):
+                words, bins = document_features(text.as_py())
+                out.append(pa.array([*words, *(f"{s}={b}" for s, b in zip(SHAPES, bins))], pa.string()))
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
+            terms = pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(out))
+            yield pa.RecordBatch.from_arrays([terms, *(batch.column(c) for c in rest)], ["terms", *rest])
 
     return documents.mapInArrow(terms, "terms array<string>, " + ", ".join(f"{c} {dict(documents.dtypes)[c]}" for c in rest))
 
@@ -107,9 +112,11 @@ def with_evidence(documents: DataFrame, models: dict[str, Evidence]) -> DataFram
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [document_features(text) for text in batch.column("text").to_pylist()]
-            scores = [pa.array([m.of(*f) for f in found], pa.float64()) for m in models.values()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *scores], [*rest, *(f"evidence_{t}" for t in models)])
+            scores = np.empty((len(models), batch.num_rows))
+            for row, text in enumerate(batch.column("text")):
+                found = document_features(text.as_py())  # of one text at a time
+                scores[:, row] = [m.of(*found) for m in models.values()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *map(pa.array, scores)], [*rest, *(f"evidence_{t}" for t in models)])
 
     schema = [f"{c} {dict(documents.dtypes)[c]}" for c in rest] + [f"evidence_{t} double" for t in models]
     return documents.mapInArrow(score, ", ".join(schema))
