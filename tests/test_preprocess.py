@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillwise.constants import RFM_FEATURES
-from tillwise.operators import cleaning, preprocess
+from tillwise.operators import cleaning, preprocess, selection
 from tillwise.operators.profile import column_info, describe, health_check, missing_pct
 
 
@@ -36,10 +36,10 @@ def test_split_sizes_order_and_no_overlap(spark, frame):
     assert test_ids == set(want)
 
 
-@pytest.mark.parametrize("short", [10_000, 0])
+@pytest.mark.parametrize("sample", [1 << 14, 2])
 @pytest.mark.parametrize("days,ratio", [([1] * 10, 0.2), ([1, 2, 3, 4], 0.5), ([1, 2], 0.2), ([1, 1, 2], 0.0), ([None, None, 1], 0.67), ([1, 2], 1.0)])
-def test_split_edges(spark, monkeypatch, days, ratio, short):
-    monkeypatch.setattr(preprocess, "SHORT_ORDER", short)
+def test_split_edges(spark, monkeypatch, days, ratio, sample):
+    monkeypatch.setattr(selection, "SAMPLE", sample)
     rows = list(enumerate(days))
     train, test = preprocess.time_split(spark.createDataFrame(rows, "CustomerID bigint, Recency bigint"), ratio)
     order = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
@@ -48,6 +48,31 @@ def test_split_edges(spark, monkeypatch, days, ratio, short):
     assert sorted(r.CustomerID for r in train.collect()) == sorted(i for i, _ in order[n:])
 
 
+SPLITS = {
+    "two without id on one day": [(1, 5.0, "a"), (None, 5.0, "b"), (2, 5.0, "c"), (None, 5.0, "d"), (3, 5.0, "e")],
+    "equal ids": [(7, 1.0, "a"), (7, 1.0, "b"), (7, 1.0, "c"), (8, 0.5, "d")],
+    "equal rows": [(7, 1.0, "a")] * 5 + [(8, 2.0, "b")],
+    "fractions of days": [(i, i * 0.25 % 3, "x") for i in range(40)],
+    "no recency": [(1, None, "a"), (2, float("nan"), "b"), (3, 1.0, "c")],
+}
+
+
+@pytest.mark.parametrize("name", SPLITS)
+@pytest.mark.parametrize("ratio", [0.2, 0.6, 0.9])
+def test_split_has_its_size_and_loses_no_row(spark, name, ratio):
+    rows = SPLITS[name]
+    train, test = preprocess.time_split(spark.createDataFrame(rows, "CustomerID bigint, Recency double, note string"), ratio)
+    train, test = train.collect(), test.collect()
+    assert len(test) == int(len(rows) * ratio)
+    missing = [tuple(None if v != v else v for v in r) for r in rows]
+    assert sorted(map(str, map(tuple, train + test))) == sorted(map(str, missing))
+
+    def place(r):
+        return r.Recency is None, r.Recency or 0.0, r.CustomerID is None, r.CustomerID or 0
+
+    assert not test or not train or max(map(place, test)) <= min(map(place, train))
+
+
 def test_train_is_scaled_and_a_constant_is_shifted(spark, frame):
     data = preprocess.prepare_training(spark.createDataFrame(frame).withColumn("FreeTransactionRatio", F.lit(0.25)))
     train = data.train.toPandas()

@@ -3,7 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tillwise.operators import quantiles
+from tillwise.functions.numbers import exact_sum
+from tillwise.operators import charts, quantiles, selection
 from tillwise.operators.ranking import global_rank
 
 PROBABILITIES = [0, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 1]
@@ -23,31 +24,89 @@ def skewed():
     )
 
 
-@pytest.mark.parametrize("small_rows", [100_000, 7_000, 3_000])
-def test_same_as_numpy_on_each_path(spark, monkeypatch, skewed, small_rows):
-    """Built-in aggregate, brackets for the long columns, brackets for all."""
-    monkeypatch.setattr(quantiles, "SMALL_ROWS", small_rows)
+@pytest.mark.parametrize("sample", [1 << 20, 4_000, 60])
+def test_same_as_numpy_however_few_are_sampled(spark, monkeypatch, skewed, sample):
+    """Read off at once, after a round or two, and after many."""
+    monkeypatch.setattr(selection, "SAMPLE", sample)
     df = spark.createDataFrame(skewed).repartition(5)
-    df = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in df.columns]).cache()
     targets = {f"{c}_{i}": (c, p) for c in df.columns for i, p in enumerate(PROBABILITIES)}
     got = quantiles.exact_quantiles(df, targets, {"n": F.count("*")})
     assert got.pop("n") == len(skewed)
     want = {a: skewed[c].quantile(p) for a, (c, p) in targets.items()}
     assert got == pytest.approx(want, rel=1e-12)
-    df.unpersist()
 
 
 def test_no_values(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert quantiles.exact_quantiles(df, {"m": ("x", 0.5)}) == {"m": None}
+    assert quantiles.exact_quantiles(df.limit(0), {"m": ("x", 0.5)}) == {"m": None}
 
 
-def test_missed_bracket_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "SMALL_ROWS", 10)
-    monkeypatch.setattr(quantiles, "_around", lambda p: (p + 0.1, p + 0.2))
-    df = spark.range(2000).select(F.col("id").cast("double").alias("x"))
-    with pytest.raises(ArithmeticError):
-        quantiles.exact_quantiles(df, {"m": ("x", 0.5)})
+def test_infinite_values_have_their_place(spark):
+    df = spark.createDataFrame([(float("inf"),), (float("-inf"),), (1.0,), (2.0,), (float("nan"),)], "x double")
+    found = quantiles.exact_quantiles(df, {"low": ("x", 0.0), "high": ("x", 1.0), "m": ("x", 0.5)})
+    assert found == {"low": float("-inf"), "high": float("inf"), "m": 1.5}
+
+
+def test_searches_leave_no_file_and_plan_no_sort(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(selection, "SAMPLE", 500)
+    before = set(_shared(spark))
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).cast("double").alias("x"))
+    assert quantiles.exact_quantiles(df, {"m": ("x", 0.5)}) == {"m": 9_999.5}
+    assert set(_shared(spark)) == before
+
+
+def _shared(spark):
+    import os
+
+    from tillwise.session import shared_dir
+
+    return os.listdir(shared_dir(spark).removeprefix("file:"))
+
+
+@pytest.mark.parametrize("sample", [1 << 14, 50])
+@pytest.mark.parametrize("kind", ["wide", "hot", "signed", "loss"])
+def test_customers_for_a_share(spark, monkeypatch, sample, kind):
+    monkeypatch.setattr(selection, "SAMPLE", sample)
+    rng = np.random.default_rng(5)
+    values = {
+        "wide": rng.lognormal(3, 2, 3000).round(2),
+        "hot": np.where(rng.random(3000) < 0.6, 7.5, rng.integers(0, 50, 3000)).astype(float),
+        "signed": rng.normal(1, 3, 3000).round(3),
+        "loss": rng.normal(-1, 3, 300).round(3),
+    }[kind]
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "CustomerID long, Monetary double")
+    for line in (10.0, 80.0, 100.0):
+        units = np.sort((values * 1000).round().astype(int))[::-1]
+        reached = np.flatnonzero(units.cumsum() * 100 >= units.sum() * line)
+        want = int(reached[0]) + 1 if units.sum() > 0 and len(reached) else None
+        assert charts.customers_for_share(df, line).first()[0] == want
+
+
+def test_share_agrees_with_the_ranked_table(spark):
+    df = spark.createDataFrame([(i, float((i * 37) % 101) / 4) for i in range(400)], "CustomerID long, Monetary double")
+    assert charts.customers_for_share(df).first()[0] == charts.pareto_line(charts.revenue_pareto(df)).first()[0]
+    assert charts.customers_for_share(df.limit(0)).first()[0] is None
+
+
+SUMS = [
+    ([0.00004] * 4, 0.00016),
+    ([0.1] * 3, 0.3),
+    ([1e18, 0.25, -1e18], 0.25),
+    ([1e18, 1.0, 1.0], 1e18 + 2),
+    ([1e30, 1e-15, -1e30], 1e-15),
+    ([9.5e15, 9.5e15, 0.5], 1.9e16),
+    ([-0.75, -0.5], -1.25),
+    ([float("nan"), None, 2.5], 2.5),
+    ([None], None),
+]
+
+
+@pytest.mark.parametrize("values, want", SUMS)
+def test_sums_are_exact_at_any_scale_and_partitioning(spark, values, want):
+    for parts in (1, 3):
+        df = spark.createDataFrame([(v,) for v in values], "x double").repartition(parts)
+        assert df.agg(exact_sum(F.col("x"))).first()[0] == want
 
 
 def test_rank_and_running_sum_with_a_hot_value(spark):

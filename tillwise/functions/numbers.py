@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-# Money is added as whole ten-thousandths in a DECIMAL of 38 digits. The sum is
-# then the same for any partitioning and has room for 10^34. NaN is no amount.
-MONEY_UNITS = 10_000
+# Amounts are added as decimal numbers (a double counts as the shortest decimal that
+# reads back as it) in two parts of 38 digits each: whole units, and the rest with 18
+# decimals. A sum is then exact and the same for any partitioning, from 10^-18 to 10^38.
+_WHOLE, _REST, _UNIT = "decimal(38,0)", "decimal(38,18)", "decimal(1,0)"
+# From here on a double is a whole number.
+_NO_REST = 1e16
 
 _INFINITY = float("inf")
 
@@ -38,13 +44,40 @@ def finite_or_zero(c: Column) -> Column:
     return F.when(F.abs(c) < F.lit(_INFINITY), c).otherwise(F.lit(0.0))
 
 
-def money_units(c: Column) -> Column:
-    return F.rint(nan_to_null(c.cast("double")) * MONEY_UNITS).cast("decimal(38,0)")
+def amount_parts(c: Column) -> tuple[Column, Column]:
+    """(whole units, rest in [0, 1)) of an amount; NaN is no amount, an infinite one raises."""
+    x = nan_to_null(c.cast("double"))
+    near = F.when(F.abs(x) < F.lit(_NO_REST), x).cast(_REST)
+    return F.coalesce(F.floor(near).cast(_WHOLE), x.cast(_WHOLE)), F.pmod(near, F.lit(1).cast(_UNIT)).cast(_REST)
+
+
+def amount_total(whole: Column, rest: Column) -> Column:
+    """The double next to the sum of both parts; null when there are no whole units."""
+    rest = F.coalesce(rest, F.lit(0).cast(_REST))
+    units = whole + F.floor(rest).cast(_WHOLE)
+    near = F.when(F.abs(units) < F.lit(10**17).cast(_WHOLE), units).cast("decimal(18,0)")
+    return F.coalesce((near + F.pmod(rest, F.lit(1).cast(_UNIT))).cast("double"), units.cast("double"))
 
 
 def exact_sum(c: Column) -> Column:
     """Sum of a money column; null when there is nothing to add."""
-    return F.sum(money_units(c)).cast("double") / F.lit(float(MONEY_UNITS))
+    whole, rest = amount_parts(c)
+    return amount_total(F.sum(whole), F.sum(rest))
+
+
+def exact_parts(c: Column) -> Column:
+    """The same sum as a pair for ``exact_number``."""
+    whole, rest = amount_parts(c)
+    return F.struct(F.sum(whole).alias("whole"), F.sum(rest).alias("rest"))
+
+
+def exact_number(parts: Row) -> Fraction:
+    return Fraction(parts["whole"] or 0) + Fraction(parts["rest"] or 0)
+
+
+def number_of(x: float) -> Fraction:
+    """The number that a double counts as."""
+    return Fraction(Decimal(repr(x))) if abs(x) >= 1 else Fraction(round(Fraction(Decimal(repr(x))) * 10**18), 10**18)
 
 
 def round_even(c: Column, digits: int) -> Column:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise import constants as K
 from tillwise.functions import scores as S
-from tillwise.functions.numbers import money_units, nan_to_null, pct, round_even
+from tillwise.functions.numbers import amount_parts, amount_total, exact_sum, nan_to_null, pct, round_even
 from tillwise.operators.ranking import global_rank
+from tillwise.operators.selection import rows_for_share
 from tillwise.schemas import existing_columns, require_columns
-from tillwise.session import one_row
+from tillwise.session import one_row, stored
 
 
 def risk_counts(df: DataFrame) -> DataFrame:
@@ -85,26 +87,35 @@ def histogram(df: DataFrame, column: str, bins: int | None = None, by: str | Non
 def revenue_pareto(df: DataFrame) -> DataFrame:
     """Customers by falling Monetary with rank and cumulative revenue share."""
     require_columns(df, [K.CUSTOMER_KEY, "Monetary"], "Pareto table")
-    units = money_units(F.col("Monetary"))
-    total = one_row(df.agg(F.sum(units)))[0]
+    whole, rest = amount_parts(F.col("Monetary"))
+    total = one_row(df.agg(exact_sum(F.col("Monetary"))))[0]
     ranked = global_rank(
         df.select(K.CUSTOMER_KEY, nan_to_null(F.col("Monetary").cast("double")).alias("Monetary")),
         [F.desc_nulls_last("Monetary"), F.asc(K.CUSTOMER_KEY)],
-        running={"_cumulative": units},
+        running={"_whole": whole, "_rest": rest},
     )
+    cumulative = amount_total(F.col("_whole"), F.col("_rest"))
     return ranked.select(
         K.CUSTOMER_KEY,
         "Monetary",
         "Rank",
-        (F.col("_cumulative").cast("double") / F.nullif(F.lit(total).cast("double"), F.lit(0.0)) * 100.0).alias("CumulativePct"),
+        (cumulative / F.nullif(F.lit(total).cast("double"), F.lit(0.0)) * 100.0).alias("CumulativePct"),
     )
 
 
 def pareto_line(pareto: DataFrame, line_pct: float = K.PARETO_LINE_PCT) -> DataFrame:
-    """How many of the largest customers it takes to reach a revenue share."""
+    """How many of the largest customers it takes to reach a revenue share, from a ranked table."""
     return pareto.filter(F.col("CumulativePct") >= line_pct).agg(F.min("Rank").alias("CustomersNeeded"))
 
 
+def customers_for_share(df: DataFrame, line_pct: float = K.PARETO_LINE_PCT) -> DataFrame:
+    """The same from the customers themselves, without ranking them: null without any revenue."""
+    require_columns(df, ["Monetary"], "Pareto line")
+    with stored(df.select(nan_to_null(F.col("Monetary").cast("double")).alias("Monetary"))) as money:
+        needed = rows_for_share(money, "Monetary", Fraction(str(line_pct)) / 100)
+    return df.sparkSession.createDataFrame([(needed,)], "CustomersNeeded bigint")
+
+
 def recency_buckets(df: DataFrame) -> DataFrame:
     """Customers per Recency bucket (lower, upper]; empty buckets stay, and a
     Recency of 0 is in none."""

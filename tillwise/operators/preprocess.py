@@ -5,20 +5,20 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise import constants as K
+from tillwise.functions.numbers import nan_to_null_columns
 from tillwise.operators.quantiles import exact_quantiles
-from tillwise.operators.ranking import global_rank
+from tillwise.operators.selection import key_literal, keys_at
 from tillwise.schemas import existing_columns, require_columns
-from tillwise.session import one_row
+from tillwise.session import one_row, stored
 
 Caps = Mapping[str, float]
 Scaler = Mapping[str, tuple[float, float]]
 
-# Up to this place the customers of the cut day are found by a plain top-k.
-SHORT_ORDER = 10_000
+_ROW_KEY = "_place_in_time"
 
 
 def upper_caps(df: DataFrame, columns: Sequence[str], percentile: float = K.CAP_PERCENTILE) -> Caps:
@@ -49,50 +49,35 @@ def log_skewed(df: DataFrame, columns: Sequence[str] = tuple(K.LOGGED_FEATURES))
 def time_split(rfm: DataFrame, test_ratio: float = K.TEST_RATIO) -> tuple[DataFrame, DataFrame]:
     """(train, test): the most recent ``int(n * ratio)`` customers are the test.
 
-    Equal Recency is ordered by CustomerID. Customers are counted per day, the
-    cut day is found on that small table, and only the customers of the cut day
-    are ordered; the rest is a filter. Fitting the cut runs jobs.
+    Ordered by Recency, then CustomerID, each with nulls (and NaN) last, then by a hash
+    of the whole row. The cut is one order statistic of that key, found by jobs; the
+    parts are filters. Rows that are equal in all columns are dealt by number.
     """
     require_columns(rfm, [K.CUSTOMER_KEY, "Recency"], "time split")
-    keys = rfm.select("Recency", K.CUSTOMER_KEY)
-    # One row per day, so one task can add them up.
-    by_day = Window.orderBy(F.asc_nulls_last("Recency"))
-    cut = (
-        keys.groupBy("Recency")
-        .count()
-        .select(
-            "Recency",
-            F.sum("count").over(by_day).alias("upto"),
-            F.col("count").alias("here"),
-            F.floor(F.sum("count").over(Window.partitionBy()) * test_ratio).alias("wanted"),
-        )
-        .filter(F.col("upto") > F.col("wanted"))
-        .orderBy("upto")
-        .first()
+    plain = nan_to_null_columns(rfm)
+    key = F.struct(
+        *[part.alias(f"{c}_{n}") for c in ("Recency", K.CUSTOMER_KEY) for n, part in enumerate((plain[c].isNull().cast("int"), plain[c]))],
+        F.xxhash64(*plain.columns).alias("row"),
     )
-    if cut is None:
-        return rfm.limit(0), rfm
-    recency, customer = F.col("Recency"), F.col(K.CUSTOMER_KEY)
-    if cut.Recency is None:
-        is_test, in_cut_day = recency.isNotNull(), recency.isNull()
-    else:
-        is_test, in_cut_day = recency < cut.Recency, recency == cut.Recency
-    from_cut_day = cut.wanted - (cut.upto - cut.here)
-    if from_cut_day > 0:
-        last = _customer_at(keys.filter(in_cut_day).select(K.CUSTOMER_KEY), from_cut_day)
-        is_test = is_test | (in_cut_day & (customer <= F.lit(last)))
-    is_test = F.coalesce(is_test, F.lit(False))
-    return rfm.filter(~is_test), rfm.filter(is_test)
-
-
-def _customer_at(customers: DataFrame, place: int) -> object:
-    """The id at a 1-based place in order of id."""
-    customer = F.col(K.CUSTOMER_KEY)
-    if place <= SHORT_ORDER:
-        # A top-k of checked size.
-        return one_row(customers.orderBy(customer).limit(place).agg(F.max(customer)))[0]
-    ranked = global_rank(customers, [customer.asc()])
-    return one_row(ranked.filter(F.col("Rank") == place).select(customer))[0]
+    with stored(plain.select(key.alias("key"))) as keys:
+        rows = keys.count()
+        wanted = int(rows * test_ratio)
+        if wanted <= 0 or wanted >= rows:
+            return (plain, plain.limit(0)) if wanted <= 0 else (plain.limit(0), plain)
+        cut = keys_at(keys, {"key": [wanted - 1]}, {"key": rows})["key", wanted - 1]
+        mark = key_literal(cut, keys.schema["key"].dataType)
+        same = one_row(keys.agg(F.count_if(F.col("key") < mark).alias("less"), F.count_if(F.col("key") == mark).alias("equal")))
+    whole = F.col(_ROW_KEY)
+    marked = plain.withColumn(_ROW_KEY, key)
+    in_test = wanted - same["less"]
+    if in_test == same["equal"]:
+        return marked.filter(whole > mark).drop(_ROW_KEY), marked.filter(whole <= mark).drop(_ROW_KEY)
+    parts = []
+    for side, copies in ((whole > mark, same["equal"] - in_test), (whole < mark, in_test)):
+        # as many copies of the one row that stands at the cut
+        again = marked.filter(whole == mark).limit(1).crossJoin(rfm.sparkSession.range(copies).select()).drop(_ROW_KEY)
+        parts.append(marked.filter(side).drop(_ROW_KEY).unionByName(again))
+    return tuple(parts)
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str]) -> Scaler:

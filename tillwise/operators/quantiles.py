@@ -1,41 +1,21 @@
-"""Exact interpolated quantiles without gathering a column in one task.
+"""Exact interpolated quantiles, on one path at every size.
 
-The built-in ``percentile`` keeps every distinct value in one aggregation
-buffer. That is fine for day counts and small tables, not for money over a
-billion customers. Beyond a checked number of rows, sketches bracket each wanted
-rank, and one more pass counts exactly: rows below the bracket as one number,
-rows inside it by value. Only the bracket (a few thousandths of the rows, fewer
-where values repeat) is ordered, so a value held by a third of all rows is one
-counted row.
-
-One sketch for a whole table would be merged from all its tasks by one reducer.
-So tasks are merged in groups, each group gives an even grid of its quantiles,
-and the grids, weighted by rows, give the bracket.
+A quantile is one or two order statistics, found by narrowing brackets (see
+``selection``): no column is gathered, sorted or windowed in one task, and a value
+held by a third of all rows is one count.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping
-from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.numbers import nan_to_null_columns
-from tillwise.session import one_row
-
-# A sketch is off by at most 1 / ACCURACY of the rows of its group, its grid by
-# 1 / GRID more. The bracket allows for more than that on each side, and a
-# bracket that misses raises an error.
-ACCURACY = 10_000
-GRID = 1_000
-GROUPS = 64
-MARGIN = 1.5 * (1 / ACCURACY + 1 / GRID)
-
-# Up to this many values the built-in exact aggregate is used. It has to stay
-# well above 2 / MARGIN, so that the margin of a bracket is at least two rows.
-SMALL_ROWS = 50_000
+from tillwise.operators.selection import keys_at
+from tillwise.session import one_row, stored
 
 Targets = Mapping[str, tuple[str, float]]
 
@@ -44,125 +24,27 @@ def exact_quantiles(df: DataFrame, targets: Targets, also: Mapping[str, Column]
     """Numbers for ``alias -> (column, probability)``, fitted by jobs.
 
     Interpolates linearly between neighbouring ranks; nulls and NaN are left out; a
-    column without values gives None. ``also`` are further aggregates over
-    ``df`` that ride along with the first count. Reads ``df`` twice, or three
-    times when it is large, so pass a reused or stored frame when it is costly
-    to compute.
+    column without values gives None. ``also`` are further aggregates over the
+    columns that are asked for. ``df`` is read once: these columns are written to the
+    shared folder, searched there, and deleted.
     """
-    df = nan_to_null_columns(df)
     columns = list(dict.fromkeys(column for column, _ in targets.values()))
-    first = one_row(
-        df.agg(
-            *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
-            *[c.alias(f"also_{n}") for n, c in (also or {}).items()],
-        )
-    )
-    sizes = {c: first[f"n_{i}"] for i, c in enumerate(columns)}
-    found: dict[str, object] = {a: None for a in targets}
-    wanted = {a: t for a, t in targets.items() if sizes[t[0]] > 0}
-    if wanted and max(sizes.values()) <= SMALL_ROWS:
-        found |= one_row(
-            df.agg(*[F.percentile(F.col(c).cast("double"), p).alias(a) for a, (c, p) in wanted.items()])
-        ).asDict()
-    elif wanted:
-        found |= _within_brackets(df, wanted, sizes, _brackets(df, wanted, sizes))
-    return found | {n: first[f"also_{n}"] for n in (also or {})}
-
-
-def _brackets(df: DataFrame, targets: Targets, sizes: Mapping[str, int]) -> dict[str, tuple[float, float]]:
-    """(low, high) around each wanted rank; a short column is taken whole."""
-    long = list(dict.fromkeys(c for c, _ in targets.values() if sizes[c] > SMALL_ROWS))
-    # One expression; as a list each point would be a call of its own.
-    even = F.expr("array(" + ", ".join(f"{i / GRID}D" for i in range(GRID + 1)) + ")")
-    grids = df.groupBy((F.spark_partition_id() % GROUPS).alias("_group")).agg(
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(long)],
-        *[F.percentile_approx(F.col(c).cast("double"), even, ACCURACY).alias(f"q_{i}") for i, c in enumerate(long)],
-    )
-    # At most GROUPS * GRID points for each column.
-    points = grids.select(
-        F.inline(
-            F.concat(
-                *[
-                    F.transform(
-                        F.coalesce(f"q_{i}", F.array().cast("array<double>")),
-                        partial(_point, i, F.col(f"n_{i}")),
-                    )
-                    for i in range(len(long))
-                ]
+    asked = nan_to_null_columns(df.select(*columns))
+    with stored(asked.select(*[F.col(c).cast("double").alias(c) for c in columns])) as narrow:
+        first = one_row(
+            narrow.agg(
+                *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
+                *[c.alias(f"also_{n}") for n, c in (also or {}).items()],
             )
         )
-    )
-    asked = {a: (long.index(c), b) for a, (c, p) in targets.items() if c in long for b in [_around(p)]}
-    row = one_row(
-        points.agg(
-            *[
-                F.percentile(F.when(F.col("column") == i, F.col("value")), list(b), F.col("weight")).alias(a)
-                for a, (i, b) in asked.items()
-            ]
-        )
-    )
-    return {a: tuple(row[a]) if a in asked else (-math.inf, math.inf) for a in targets}
-
-
-def _point(column: int, weight: Column, value: Column) -> Column:
-    return F.struct(F.lit(column).alias("column"), value.alias("value"), weight.alias("weight"))
-
-
-def _around(p: float) -> tuple[float, float]:
-    return max(p - MARGIN, 0.0), min(p + MARGIN, 1.0)
-
-
-def _within_brackets(df: DataFrame, targets: Targets, sizes, brackets) -> dict[str, float]:
-    inside, below, marks, picked = [], [], [], []
-    for i, (alias, (column, p)) in enumerate(targets.items()):
-        value = F.col(column).cast("double")
-        low, high = brackets[alias]
-        inside.append(F.coalesce((value >= F.lit(low)) & (value <= F.lit(high)), F.lit(False)))
-        below.append(F.when(value < F.lit(low), F.lit(1)))
-        marks.append(F.when(inside[i], _mark(i, value)))
-        position = p * (sizes[column] - 1)
-        mine = F.col("target") == i
-        for side, rank in (("lo", math.floor(position)), ("hi", math.ceil(position))):
-            picked.append(F.min(F.when(mine & (F.col("upto") > rank), F.col("value"))).alias(f"{alias}_{side}"))
-        under = F.max(F.when(mine & F.col("value").isNull(), F.col("upto")))
-        picked.append(F.coalesce(under, F.lit(0)).alias(f"{alias}_below"))
-
-    # Nearly all rows are outside every bracket: they form one group, combined
-    # before the shuffle, that carries their counts. A row with several marks
-    # is counted as below with its first mark only.
-    first_mark = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    any_inside = reduce(Column.__or__, inside)
-    grouped = (
-        df.select(
-            *[c.alias(f"below_{i}") for i, c in enumerate(below)],
-            F.posexplode_outer(F.when(any_inside, F.array_compact(F.array(*marks)))).alias("pos", "m"),
-        )
-        .groupBy("m.target", "m.value")
-        .agg(
-            F.count("*").alias("n"),
-            *[F.count(F.when(first_mark, F.col(f"below_{i}"))).alias(f"below_{i}") for i in range(len(below))],
-        )
-    )
-    # Counts below become the row without a value of their target.
-    entries = [F.struct("target", "value", "n")]
-    entries += [F.struct(F.lit(i), F.lit(None).cast("double"), F.col(f"below_{i}")) for i in range(len(below))]
-    counted = (
-        grouped.select(F.inline(F.array(*[e.cast("struct<target:int,value:double,n:bigint>") for e in entries])))
-        .filter(F.col("target").isNotNull() & (F.col("n") > 0))
-        .groupBy("target", "value")
-        .agg(F.sum("n").alias("n"))
-    )
-    upto = Window.partitionBy("target").orderBy(F.col("value").asc_nulls_first())
-    row = one_row(counted.withColumn("upto", F.sum("n").over(upto)).agg(*picked))
-    return {a: _interpolate(row, a, p * (sizes[c] - 1)) for a, (c, p) in targets.items()}
-
-
-def _mark(target: int, value: Column) -> Column:
-    return F.struct(F.lit(target).alias("target"), value.alias("value"))
-
-
-def _interpolate(row, alias: str, position: float) -> float:
-    low, high = row[f"{alias}_lo"], row[f"{alias}_hi"]
-    if low is None or high is None or row[f"{alias}_below"] > math.floor(position):
-        raise ArithmeticError(f"quantile bracket missed for {alias}")
-    return low + (high - low) * (position - math.floor(position))
+        sizes = {c: first[f"n_{i}"] for i, c in enumerate(columns)}
+        places = {a: p * (sizes[c] - 1) for a, (c, p) in targets.items() if sizes[c]}
+        ranks: dict[str, set[int]] = {}
+        for alias, place in places.items():
+            ranks.setdefault(targets[alias][0], set()).update((math.floor(place), math.ceil(place)))
+        keys = keys_at(narrow, {c: sorted(r) for c, r in ranks.items()}, sizes)
+    found: dict[str, object] = dict.fromkeys(targets)
+    for alias, place in places.items():
+        low, high = (keys[targets[alias][0], f(place)] for f in (math.floor, math.ceil))
+        found[alias] = low if low == high else low + (high - low) * (place - math.floor(place))
+    return found | {n: first[f"also_{n}"] for n in (also or {})}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tillwise.constants import CUSTOMER_KEY, RFM_FEATURES
 from tillwise.functions.dates import one_day, whole_days
-from tillwise.functions.numbers import MONEY_UNITS, finite_or_zero, is_infinite, money_units, nan_to_null, ratio
+from tillwise.functions.numbers import exact_sum, finite_or_zero, is_infinite, nan_to_null, ratio
 from tillwise.schemas import require_columns
 from tillwise.session import one_row, reused
 
@@ -39,8 +39,8 @@ def monetary_value() -> Column:
     whose total is not finite."""
     paid = F.when(nan_to_null(F.col("UnitPrice").cast("double")) > 0, nan_to_null(F.col("TotalPrice").cast("double")))
     endless = F.coalesce(F.bool_or(is_infinite(paid)), F.lit(False))
-    units = F.sum(F.when(~is_infinite(paid), money_units(paid)))
-    return F.when(endless, F.lit(0.0)).otherwise(F.coalesce(units.cast("double") / float(MONEY_UNITS), F.lit(0.0)))
+    total = exact_sum(F.when(~is_infinite(paid), paid))
+    return F.when(endless, F.lit(0.0)).otherwise(F.coalesce(total, F.lit(0.0)))
 
 
 # Aggregates behind each feature. One grouping serves them all, and columns

@@ -296,7 +296,7 @@ def revenue_pareto(spark, sf_dir):
 
 @register("pareto_80", sql(f'SELECT min("Rank") AS CustomersNeeded FROM ({_PARETO}) WHERE pct >= 80', "rfm"))
 def pareto_80(spark, sf_dir):
-    return charts.pareto_line(charts.revenue_pareto(customers(spark, sf_dir)))
+    return charts.customers_for_share(customers(spark, sf_dir))
 
 
 def _buckets_sql() -> str:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
@@ -88,3 +90,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and go on from there (a job)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """A frame as Parquet in the shared folder while a fit reads it again and again; then deleted."""
+    path = new_shared_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        delete_path(df.sparkSession, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
