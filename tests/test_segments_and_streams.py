@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,15 +74,63 @@ def test_registered_fits_try_all_k_and_restarts(spark, sf_dir, monkeypatch, name
 
 
 def test_fits_do_not_hang_on_how_rows_came(spark):
-    points = [(i, (i * 37 % 101) / 3.0, (i * 17 % 89) / 2.0) for i in range(400)]
+    """Equal centres, bit for bit, from 1, 2, 8 and 64 partitions, however ordered."""
+    points = [(i, (i * 37 % 101) / 3.0, (i * 17 % 89) / 7.0) for i in range(400)]
     rows = spark.createDataFrame(points, "id long, x double, y double")
     found = []
-    for came in (rows.coalesce(1), rows.repartition(5).sortWithinPartitions(F.desc("x"))):
+    for came in (rows.coalesce(1), rows.repartition(2), rows.repartition(8, "y"), rows.repartition(64).sortWithinPartitions(F.desc("x"))):
         search = clusters.ClusterSearch(came, came, ["x", "y"], [4, 5], restarts=2).fit()
-        found.append([x for row in search.metrics for x in row])
-        assert search._train.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-        search.release()
-    assert found[0] == pytest.approx(found[1], rel=1e-12)
+        found.append((clusters.centres_of(search.best_model), [m[3] for m in search.metrics]))
+    assert found[0] == found[1] == found[2] == found[3]
+
+
+def test_fits_are_lloyds(spark):
+    """Each centre is the mean of its points, the cost is their squared distances, and groups far apart are found."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(c, 1.0, (60, 2)) for c in ((0, 0), (40, 0), (0, 40))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, x double, y double")
+    search = clusters.ClusterSearch(df, df, ["x", "y"], [2, 3, 4], restarts=3).fit()
+    assert search.best_k == 3
+    label = np.argmin(clusters.distances(x, search.best_model.centres), axis=1)
+    assert sorted(np.bincount(label)) == [60, 60, 60]
+    for i, c in enumerate(search.best_model.centres):
+        assert c == pytest.approx(x[label == i].mean(axis=0), abs=1e-8)
+    assert search.best_model.cost == pytest.approx(clusters.distances(x, search.best_model.centres).min(axis=1).sum(), rel=1e-8)
+
+
+def test_draws_go_by_squared_distance():
+    """Waiting times of the seeding: the share of wins is the weight."""
+    draw = np.random.default_rng(8).integers(-(2**63), 2**63 - 1, 40_000)
+    wins = -np.log(clusters.chance(draw[::2], 1, 1)) / 1.0 < -np.log(clusters.chance(draw[1::2], 1, 1)) / 3.0
+    assert wins.mean() == pytest.approx(0.25, abs=0.02)
+
+
+def test_fits_of_few_points_and_of_none(spark):
+    few = spark.createDataFrame([(i, float(i % 2), 0.0) for i in range(10)], "id long, x double, y double")
+    search = clusters.ClusterSearch(few, few, ["x", "y"], [2, 3], restarts=1).fit()
+    assert search.best_k == 2 and len(search.best_model.centres) == 2
+    assert clusters.ClusterSearch(few.limit(0), few, ["x", "y"], [2], restarts=1).fit().best_model is None
+    with pytest.raises(ValueError, match="missing"):
+        clusters.ClusterSearch(few.withColumn("x", F.lit(None).cast("double")), few, ["x", "y"], [2], restarts=1).fit()
+
+
+def test_a_stopped_save_leaves_the_old_model(spark, fitted, monkeypatch):
+    model, _ = fitted
+    path = new_shared_path(spark, "model-versions")
+    first = model.save(spark, path)
+    other = SegmentModel(model.features, model.scaler, {"Monetary": None}, {0: [0.0] * 6}, {0: "x"})
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr("tillwise.operators.model.replace_file", stop)
+        with pytest.raises(RuntimeError):
+            other.save(spark, path)
+    assert SegmentModel.load(spark, path) == model
+    second = other.save(spark, path)
+    assert SegmentModel.load(spark, path) == other
+    assert SegmentModel.load(spark, path, first) == model and first != second
 
 
 def test_silhouette_against_all_pairs(spark):

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+import math
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise import constants as K
-from tillwise.session import cut_lineage
+from tillwise.session import one_row, stored
 
 VECTOR = "features"
 SEGMENT = "Segment"
+#: Lloyd's rounds end when no centre has moved further, or after so many.
+TOLERANCE, MAX_ROUNDS = 1e-4, 100
+_DRAW = "_draw"
+_FLUSH = 1 << 20
 
 Centres = Mapping[int, Sequence[float]]
 
@@ -26,10 +32,6 @@ def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol=VECTOR).transform(df)
 
 
-def fit_once(train: DataFrame, k: int, seed: int) -> KMeansModel:
-    return KMeans(k=k, seed=seed, featuresCol=VECTOR, predictionCol=SEGMENT).fit(train)
-
-
 def silhouette(labelled: DataFrame) -> float | None:
     """Mean silhouette in squared Euclidean distance.
 
@@ -42,12 +44,140 @@ def silhouette(labelled: DataFrame) -> float | None:
     return ClusteringEvaluator(featuresCol=VECTOR, predictionCol=SEGMENT).evaluate(labelled)
 
 
-def _dealt(part: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One partition per core of the session, dealt by key and in order: each iteration runs
-    one task for each of them, and first centres don't hang on how the rows came."""
-    keys = keys or columns
-    parts = part.sparkSession.sparkContext.defaultParallelism
-    return part.repartition(parts, *keys).sortWithinPartitions(*keys, *columns)
+@dataclass
+class Fit:
+    """One K-Means fit: its centres, and the sum of squared distances to them."""
+
+    k: int
+    seed: int
+    centres: np.ndarray
+    cost: float = math.inf
+    rounds: int = 0
+    done: bool = False
+
+
+def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances, rows x centres, added column by column: the same for any batch."""
+    total = np.zeros((len(x), len(centres)))
+    for j in range(x.shape[1]):
+        total += (x[:, j, None] - centres[None, :, j]) ** 2
+    return total
+
+
+def points_of(batch: pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+
+
+def chance(draw: np.ndarray, seed: int, step: int) -> np.ndarray:
+    """A number in (0, 1) per row, by a hash of the row's key, the seed and the step."""
+    x = draw.view(np.uint64) ^ np.uint64((seed * 1_000_003 + step + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
+def next_centres(points: DataFrame, columns: Sequence[str], fits: Sequence[Fit], step: int) -> dict[int, list[float]]:
+    """For each fit a row drawn by its squared distance to the nearest centre so far.
+
+    Each row has an exponential waiting time with that distance as its rate, from a hash of
+    its key; the first one wins. So the draw hangs on the rows only, not on how they are dealt.
+    """
+    state = [(f.seed, f.centres) for f in fits]
+    width = len(columns)
+
+    def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[float, ...]] = {}
+        for batch in batches:
+            x, draw = points_of(batch, columns), batch.column(_DRAW).to_numpy()
+            for i, (seed, centres) in enumerate(state if len(x) else []):
+                with np.errstate(divide="ignore"):
+                    wait = -np.log(chance(draw, seed, step)) / (distances(x, centres).min(axis=1) if len(centres) else 1.0)
+                for row in np.flatnonzero(wait == wait.min()) if np.isfinite(wait.min()) else []:
+                    best[i] = min(best.get(i, (math.inf,)), (float(wait[row]), *x[row].tolist()))
+        rows = pa.array([list(b) for b in best.values()], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), rows], ["fit", "row"])
+
+    drawn = points.mapInArrow(first, "fit int, row array<double>").groupBy("fit").agg(F.min("row").alias("row"))
+    return {r["fit"]: r["row"][1 : width + 1] for r in drawn.collect()}
+
+
+def cluster_sums(points: DataFrame, columns: Sequence[str], fits: Sequence[Fit], unit: float, cost_unit: float) -> list[tuple[np.ndarray, list[list[int]], int]]:
+    """For each fit the sizes and the sums of its clusters, and its cost, in whole units.
+
+    Features are counted in whole units, so sums are exact and the same in any order.
+    """
+    centres = [f.centres for f in fits]
+    width, most = len(columns), max(len(c) for c in centres)
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def empty():
+            return np.zeros((len(centres), most, width + 2), dtype=np.int64)
+
+        def out(total: np.ndarray) -> pa.RecordBatch:
+            which = np.flatnonzero(total[:, :, 0].ravel())
+            rows = total.reshape(-1, width + 2)[which]
+            sums = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * (width + 2), pa.int32()), pa.array(rows.ravel()))
+            return pa.RecordBatch.from_arrays([pa.array(which // most, pa.int32()), pa.array(which % most, pa.int32()), sums], ["fit", "cluster", "sums"])
+
+        total, held = empty(), 0
+        for batch in batches:
+            x = points_of(batch, columns)
+            whole = np.rint(x / unit)
+            for i, c in enumerate(centres if len(x) else []):
+                d = distances(x, c)
+                label = d.argmin(axis=1)  # the lower number on a tie
+                near = np.rint(d[np.arange(len(x)), label] / cost_unit)
+                for j, part in enumerate((None, *whole.T, near)):
+                    total[i, : len(c), j] += np.bincount(label, part, len(c)).astype(np.int64)
+            held += len(x)
+            if held >= _FLUSH:
+                yield out(total)
+                total, held = empty(), 0
+        yield out(total)
+
+    parts = points.mapInArrow(add, "fit int, cluster int, sums array<long>")
+    added = parts.groupBy("fit", "cluster").agg(*[F.sum(F.col("sums")[j].cast("decimal(38,0)")).alias(f"s{j}") for j in range(width + 2)])
+    found = [(np.zeros(len(c), dtype=np.int64), [[0] * width for _ in c], 0) for c in centres]
+    for r in added.collect():  # a row for each cluster of each fit
+        sizes, sums, cost = found[r["fit"]]
+        sizes[r["cluster"]] = int(r["s0"])
+        sums[r["cluster"]] = [int(r[f"s{j + 1}"]) for j in range(width)]
+        found[r["fit"]] = (sizes, sums, cost + int(r[f"s{width + 1}"]))
+    return found
+
+
+def fit_all(points: DataFrame, columns: Sequence[str], wanted: Sequence[tuple[int, int]]) -> list[Fit]:
+    """K-Means for each (k, seed). All fits share the passes over the points.
+
+    ``points``: the features and ``_draw``, a hash of each row's key. First centres are
+    drawn one after another (k-means++), then Lloyd's rounds run until every fit stands
+    still. Draws and sums are exact, so the same rows give the same centres, bit for
+    bit, however they are partitioned.
+    """
+    fits = [Fit(k, seed, np.zeros((0, len(columns)))) for k, seed in wanted]
+    largest = one_row(points.agg(F.max(F.greatest(F.lit(0.0), *[F.abs(c) for c in columns])), F.count_if(F.expr(" OR ".join(f"`{c}` IS NULL OR isnan(`{c}`)" for c in columns)))))
+    if largest[1]:
+        raise ValueError("features have missing values")
+    reach = max(math.ceil(math.log2(largest[0])) if largest[0] else 0, 0)
+    # a batch of 2^14 rows adds up below 2^53, and 2^20 rows below 2^63
+    unit = 2.0 ** (reach - 38)
+    cost_unit = 2.0 ** (2 * reach + 2 + math.ceil(math.log2(len(columns))) - 38)
+    for step in range(max((f.k for f in fits), default=0)):
+        growing = [f for f in fits if f.k > step and len(f.centres) == step]
+        for i, row in next_centres(points, columns, growing, step).items() if growing else []:
+            growing[i].centres = np.vstack([growing[i].centres, row])
+    for _ in range(MAX_ROUNDS):
+        moving = [f for f in fits if not f.done and len(f.centres)]
+        if not moving:
+            break
+        for f, (sizes, sums, cost) in zip(moving, cluster_sums(points, columns, moving, unit, cost_unit)):
+            new = [[s * unit / int(n) for s in row] if n else old.tolist() for n, row, old in zip(sizes, sums, f.centres)]
+            f.cost, f.rounds = cost * cost_unit, f.rounds + 1
+            f.done = bool((((np.array(new) - f.centres) ** 2).sum(axis=1) <= TOLERANCE**2).all()) or f.rounds == MAX_ROUNDS
+            if not f.done:
+                f.centres = np.array(new)
+    return fits
 
 
 @dataclass
@@ -62,46 +192,33 @@ class ClusterSearch:
     restarts: int = K.RESTARTS
     parallelism: int = 8
     best_k: int | None = None
-    best_model: KMeansModel | None = None
+    best_model: Fit | None = None
     metrics: list[tuple[int, float | None, float | None, float]] = field(default_factory=list)
 
     def fit(self) -> ClusterSearch:
-        """Features are written once to the shared folder and kept, as each
-        iteration of each fit reads them; fits run side by side."""
-        keys = [c for c in self.train.columns if c not in self.columns]
-        train, test = (
-            cut_lineage(_dealt(assemble(part, self.columns).select(*keys, *self.columns, VECTOR), keys, self.columns)).persist()
-            for part in (self.train, self.test)
-        )
-        self._train, self._test = train, test
-
-        def start(task: tuple[int, int]) -> KMeansModel:
-            return fit_once(train, *task)
-
-        def judge(model: KMeansModel):
-            return silhouette(model.transform(train)), silhouette(model.transform(test))
-
+        """Features are in the shared folder while every pass reads them."""
+        keys = [c for c in self.train.columns if c not in self.columns] or list(self.columns)
         ks = list(self.k_range)
         seeds = [self.seed + i for i in range(self.restarts)]
-        with_session = inheritable_thread_target(train.sparkSession)
-        with ThreadPool(self.parallelism) as pool:
-            models = pool.map(with_session(start), [(k, s) for k in ks for s in seeds])
+        ready = [part.select(*[F.col(c).cast("double").alias(c) for c in self.columns], F.xxhash64(*keys).alias(_DRAW)) for part in (self.train, self.test)]
+        with stored(ready[0]) as train, stored(ready[1]) as test:
+            models = fit_all(train, self.columns, [(k, s) for k in ks for s in seeds])
             # Of the restarts of one k the least training cost counts.
-            of_k = [models[i * len(seeds) : (i + 1) * len(seeds)] for i in range(len(ks))]
-            kept = [min(group, key=lambda m: m.summary.trainingCost) for group in of_k]
-            scores = pool.map(with_session(judge), kept)
+            kept = [min(models[i * len(seeds) : (i + 1) * len(seeds)], key=lambda m: (m.cost, m.seed)) for i in range(len(ks))]
+
+            def judge(model: Fit):
+                own = centres_of(model)
+                return [silhouette(assemble(part, self.columns).withColumn(SEGMENT, nearest_centre(self.columns, own))) if len(own) > 1 else None for part in (train, test)]
+
+            with ThreadPool(self.parallelism) as pool:
+                scores = pool.map(inheritable_thread_target(train.sparkSession)(judge), kept)
         best = -1.0
         for k, model, (on_train, on_test) in zip(ks, kept, scores):
-            self.metrics.append((k, on_train, on_test, float(model.summary.trainingCost)))
+            self.metrics.append((k, on_train, on_test, float(model.cost)))
             if on_train is not None and on_train > best:
                 best, self.best_k, self.best_model = on_train, k, model
         return self
 
-    def release(self) -> None:
-        """Give the kept features back; they can still be read from the folder."""
-        self._train.unpersist()
-        self._test.unpersist()
-
     def metrics_frame(self) -> DataFrame:
         return self.train.sparkSession.createDataFrame(
             self.metrics, "k bigint, train_silhouette double, test_silhouette double, inertia double"
@@ -111,7 +228,8 @@ class ClusterSearch:
         """(train, test) with Segment."""
         if self.best_model is None:
             raise ValueError("fit() has to run before segments are assigned")
-        return tuple(self.best_model.transform(part).drop(VECTOR) for part in (self._train, self._test))
+        segment = nearest_centre(self.columns, centres_of(self.best_model))
+        return tuple(part.withColumn(SEGMENT, segment) for part in (self.train, self.test))
 
 
 def squared_distance(columns: Sequence[str], centre: Sequence[float]) -> Column:
@@ -134,5 +252,17 @@ def nearest_centre(columns: Sequence[str], centres: Centres) -> Column:
     return F.array_min(F.array(*options)).getField("id")
 
 
-def centres_of(model: KMeansModel) -> dict[int, list[float]]:
-    return {i: [float(x) for x in c] for i, c in enumerate(model.clusterCenters())}
+def centres_of(model: Fit) -> dict[int, list[float]]:
+    return {i: [float(x) for x in c] for i, c in enumerate(model.centres)}
+
+
+def off_nearest(labelled: DataFrame, columns: Sequence[str], centres: Centres) -> Column:
+    """Condition on rows of ``labelled`` whose Segment is not (within rounding) at the least distance."""
+    place = F.array(*[F.col(c).cast("double") for c in columns])
+    ids = list(centres)
+    away = [
+        F.aggregate(F.zip_with(place, F.array(*[F.lit(float(v)) for v in centres[i]]), lambda a, b: F.pow(a - b, 2.0)), F.lit(0.0), lambda total, d: total + d)
+        for i in ids
+    ]
+    own = F.create_map(*[x for i, d in zip(ids, away) for x in (F.lit(int(i)).cast("bigint"), d)])[F.col(SEGMENT).cast("bigint")]
+    return own.isNull() | (own > F.least(*away) + 1e-9 if len(away) > 1 else F.lit(False))

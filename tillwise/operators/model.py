@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 
 from tillwise import constants as K
@@ -13,6 +13,9 @@ from tillwise.operators.clusters import SEGMENT, ClusterSearch, centres_of
 from tillwise.operators.naming import NAME, predict_segments, segment_names
 from tillwise.operators.preprocess import prepare_training, upper_caps
 from tillwise.schemas import existing_columns
+from tillwise.session import read_file, replace_file
+
+CURRENT = "CURRENT"
 
 
 @dataclass
@@ -25,41 +28,41 @@ class SegmentModel:
     caps: dict[str, float]
     centres: dict[int, list[float]]
     names: dict[int, str]
-    kmeans: KMeansModel | None = field(default=None, compare=False)
 
     def predict(self, rfm: DataFrame, caps: str = "batch") -> DataFrame:
         """Segment and name every row: caps of this batch, or the fitted ones."""
         stored = self.caps if caps == "fitted" else None
         return predict_segments(rfm, self.scaler, self.centres, self.features, stored)
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        """Small tables under one folder, and the K-Means model by its own writer."""
-        tables = {
-            "scaler": (
-                [(i, f, *self.scaler[f]) for i, f in enumerate(self.features)],
-                "place int, feature string, mean double, std double",
-            ),
-            "caps": (list(self.caps.items()), "feature string, cap double"),
-            "centres": (list(self.centres.items()), "segment int, centre array<double>"),
-            "names": (list(self.names.items()), "segment int, name string"),
-        }
-        for name, (rows, schema) in tables.items():
-            spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
-        if self.kmeans is not None:
-            self.kmeans.write().overwrite().save(f"{path}/kmeans")
+    def save(self, spark: SparkSession, path: str) -> str:
+        """Write a new version and then make it the current one; gives the version's name.
 
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> SegmentModel:
-        def rows(name: str, order: str):
-            return spark.read.parquet(f"{path}/{name}").orderBy(order).collect()
+        A version is a folder of its own that nothing changes later. The file ``CURRENT``
+        names one version and is swapped in by a rename, so a reader has the old model
+        or the new one, also if a save stops halfway.
+        """
+        version = f"version-{uuid.uuid4().hex}"
+        rows = [("scaler", i, f, [float(x) for x in self.scaler[f]]) for i, f in enumerate(self.features)]
+        rows += [("cap", i, f, [None if cap is None else float(cap)]) for i, (f, cap) in enumerate(self.caps.items())]
+        rows += [("centre", i, None, [float(x) for x in c]) for i, c in self.centres.items()]
+        rows += [("name", i, n, []) for i, n in self.names.items()]
+        table = spark.createDataFrame(rows, "kind string, place int, label string, numbers array<double>")
+        table.coalesce(1).write.parquet(f"{path}/{version}")
+        replace_file(spark, f"{path}/{CURRENT}", version)
+        return version
 
-        scaler = rows("scaler", "place")
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, version: str | None = None) -> SegmentModel:
+        """The current version, or the one that is named."""
+        version = version or read_file(spark, f"{path}/{CURRENT}")
+        kept = sorted(spark.read.parquet(f"{path}/{version}").collect(), key=lambda r: r.place)  # a few numbers a feature and centre
+        rows = {k: [r for r in kept if r.kind == k] for k in ("scaler", "cap", "centre", "name")}
         return cls(
-            features=[r.feature for r in scaler],
-            scaler={r.feature: (r.mean, r.std) for r in scaler},
-            caps={r.feature: r.cap for r in rows("caps", "feature")},
-            centres={r.segment: list(r.centre) for r in rows("centres", "segment")},
-            names={r.segment: r.name for r in rows("names", "segment")},
+            features=[r.label for r in rows["scaler"]],
+            scaler={r.label: tuple(r.numbers) for r in rows["scaler"]},
+            caps={r.label: r.numbers[0] for r in rows["cap"]},
+            centres={r.place: list(r.numbers) for r in rows["centre"]},
+            names={r.place: r.label for r in rows["name"]},
         )
 
 
@@ -85,7 +88,6 @@ def fit_segment_model(
     centres = centres_of(search.best_model)
     named = segment_names(predict_segments(rfm, data.scaler, centres, features))
     names = {r[SEGMENT]: r[NAME] for r in named.collect()}
-    search.release()
     # A cluster that got no customer still needs a name for later ones.
     names = {i: names.get(i, K.SEGMENT_LABEL_BEYOND) for i in centres}
-    return SegmentModel(features, dict(data.scaler), caps, centres, names, search.best_model), search
+    return SegmentModel(features, dict(data.scaler), caps, centres, names), search
