@@ -93,3 +93,22 @@ def test_one_pass_equals_aligned_aggregates(spark):
     ]
     aligned = sorted(map(tuple, rfm.align_by_customer(parts).select("CustomerID", "Frequency", "Monetary").collect()))
     assert aligned == sorted(map(tuple, rfm.rfm_features(frame, ["Frequency", "Monetary"]).collect()))
+
+
+def test_four_aggregates_aligned(spark):
+    """Customers without a paid line, without a date, and lines without a customer."""
+    rows = [
+        (1, "a", DAY, 2, 1.5), (1, "b", DAY - dt.timedelta(days=3), 1, 0.0), (2, "c", DAY, 1, 0.0), (3, "d", None, 1, 4.0),
+        (None, "e", DAY, 1, 9.0), (4, None, DAY, 1, 0.00004), (4, "f", DAY, 1, 0.00004),
+    ]
+    end = F.lit(str(DAY + dt.timedelta(days=1))).cast("timestamp")
+    frames = rfm.separate_features(rfm.customer_parts(tx(spark, rows), parts=2), end)
+    assert [f.count() for f in frames] == [3, 4, 3, 4]
+    got = {r.CustomerID: tuple(r)[1:] for r in rfm.align_by_customer(frames).collect()}
+    assert got == {1: (1, 4, 2, 3.0, 0.5), 2: (1, 1, 1, None, 1.0), 3: (None, None, 1, 4.0, 0.0), 4: (1, 1, 1, 0.00008, 0.0)}
+
+
+def test_alignment_leaves_out_rows_without_customer(spark):
+    a = spark.createDataFrame([(1, 10), (None, 20)], "CustomerID bigint, x int")
+    b = spark.createDataFrame([(None, 6)], "CustomerID bigint, y int")
+    assert [tuple(r) for r in rfm.align_by_customer([a, b]).collect()] == [(1, 10, None)]

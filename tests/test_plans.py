@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from tillwise.operators import rfm
@@ -53,3 +54,34 @@ def test_country_and_product_are_joined_only_when_asked(spark, sf_dir):
 def test_registered_queries_cover_whole_tables(sf_dir):
     text = " ".join(contract.oracle_sql().values()).lower()
     assert "tablesample" not in text and "using sample" not in text
+
+
+def test_names_and_countries_never_meet_the_lines(spark, sf_dir):
+    """Top products, the preview and country shares join names to few rows, and count no multiplied lines."""
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("product_revenue", "preview"):
+            text = plan(QUERIES[name](spark, sf_dir))
+            top = text[text.rindex("TakeOrderedAndProject") :]  # what the top rows are taken from comes first
+            scans = list(re.finditer(r"FileScan parquet \[([^\]]*)\]", top))
+            assert "l_orderkey" in scans[0][1] and "o_orderkey" in scans[1][1]
+            assert top[: scans[1].start()].count("SortMergeJoin") == 1
+        for name in ("country_revenue", "country_concentration", "monthly_trend"):
+            text = plan(QUERIES[name](spark, sf_dir))
+            # below the Expand (two counts) lines are already added up by order
+            if "Expand" in text:
+                assert re.search(r"Expand(.|\n)*HashAggregate\(keys=\[[^\]]*InvoiceNo[^\]]*\](.|\n)*l_orderkey", text)
+            lines_part = text[text.rindex("HashAggregate"):]
+            assert "n_name" not in lines_part or lines_part.index("n_name") > lines_part.index("l_orderkey")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_aligned_features_need_no_shuffle_above_the_stored_parts(spark, sf_dir):
+    parts = rfm.customer_parts(lines(spark, sf_dir))
+    end = F.lit("2020-01-01").cast("timestamp_ntz")
+    tables = spark.catalog.listTables()
+    text = plan(rfm.align_by_customer(rfm.separate_features(parts, end)))
+    assert "Exchange" not in text and "l_orderkey" not in text and "Union" in text
+    assert not [t for t in tables if t.name.startswith("bucketed")]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillwise.constants import RFM_FEATURES, SEGMENT_LABELS
-from tillwise.operators import clusters, naming, preprocess
+from tillwise.operators import clusters, naming, preprocess, sketches
 from tillwise.operators.model import SegmentModel, fit_segment_model
 from tillwise.plans.customer_features import LIVE_MODEL
 from tillwise.plans.registry import QUERIES
@@ -225,3 +225,32 @@ def test_csv_date_format(spark):
     spark.createDataFrame([("1", "01/02/2011 08:30")], "InvoiceNo string, InvoiceDate string").write.option("header", True).csv(path)
     row = files.read_csv(spark, path, "InvoiceNo string, InvoiceDate timestamp", "dd/MM/yyyy HH:mm").first()
     assert row.InvoiceDate == dt.datetime(2011, 2, 1, 8, 30)
+
+
+def test_rewriting_one_partition_leaves_the_others(spark):
+    path = new_shared_path(spark, "months")
+    rows = [(1, "2020-01"), (2, "2020-01"), (3, "2020-02")]
+    files.write_parquet(spark.createDataFrame(rows, "x int, month string"), path, ["month"])
+    files.write_parquet(spark.createDataFrame([(9, "2020-02"), (8, "2020-03")], "x int, month string"), path, ["month"])
+    got = spark.read.parquet(path).selectExpr("x", "cast(month AS string) AS month").collect()
+    assert sorted(map(tuple, got)) == [(1, "2020-01"), (2, "2020-01"), (8, "2020-03"), (9, "2020-02")]
+
+
+def test_sketches_of_any_range_are_near(spark):
+    """Ranges of merged days against exact counts and ranks, days without rows included."""
+    df = spark.range(60_000).select(
+        (F.col("id") * 7919 % 20_011).alias("CustomerID"),
+        (F.col("id") % 30_000).cast("string").alias("InvoiceNo"),
+        F.expr("timestamp'2020-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 40 as int))").alias("InvoiceDate"),
+        F.col("id").cast("double").alias("TotalPrice"),
+    )
+    days = sketches.daily_sketches(df).cache()
+    assert days.count() == 40
+    for first, last in (("2020-01-01", "2020-02-09"), ("2020-01-05", "2020-01-06")):
+        inside = df.filter(F.to_date("InvoiceDate").between(first, last))
+        exact = inside.agg(F.count("*").alias("n"), F.count_distinct("CustomerID").alias("c"), F.count_distinct("InvoiceNo").alias("o")).first()
+        got = sketches.answers(sketches.merged(days.filter(F.col("day").between(first, last))), 0.9).first()
+        assert got.n_rows == exact.n
+        assert got.customers == pytest.approx(exact.c, rel=sketches.COUNT_ERROR) and got.orders == pytest.approx(exact.o, rel=sketches.COUNT_ERROR)
+        assert inside.filter(F.col("TotalPrice") <= got.amount).count() / exact.n == pytest.approx(0.9, abs=sketches.RANK_ERROR)
+    days.unpersist()

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise import constants as K
 from tillwise.functions.dates import month_label, weekday_number
-from tillwise.functions.numbers import count_where, exact_sum, pct, ratio, round_even
+from tillwise.functions.numbers import amount_parts, amount_total, count_where, exact_sum, pct, ratio, round_even
 from tillwise.operators.profile import describe
 from tillwise.operators.quantiles import exact_quantiles
 from tillwise.operators.rfm import with_line_total
@@ -23,26 +23,51 @@ def _revenue():
     return F.coalesce(exact_sum(F.col("TotalPrice")), F.lit(0.0))
 
 
-def overview(tx: DataFrame) -> DataFrame:
-    """Size, distinct keys, date range, revenue and order values: one row."""
-    columns = len(tx.columns)
+def _by_order(tx: DataFrame, *keys: Column | str) -> DataFrame:
+    """Lines added up by the given keys, invoice and customer.
+
+    Distinct invoices and customers are counted on these rows; counting them on the
+    lines would first multiply every line by the number of counts.
+    """
+    whole, rest = amount_parts(F.col("TotalPrice"))
+    added = [F.sum(whole).alias("whole"), F.sum(rest).alias("rest")]
+    return with_line_total(tx).groupBy(*keys, "InvoiceNo", K.CUSTOMER_KEY).agg(*added)
+
+
+def _added() -> Column:
+    return F.coalesce(amount_total(F.sum("whole"), F.sum("rest")), F.lit(0.0))
+
+
+def overview(tx: DataFrame, places: DataFrame | None = None, columns: int | None = None) -> DataFrame:
+    """Size, distinct keys, date range, revenue and order values: one row.
+
+    ``places`` (CustomerID, Country) stands in for a Country column of the lines, and
+    ``columns`` for their number, so that neither names nor countries meet the lines.
+    """
+    columns = len(tx.columns) if columns is None else columns
     tx = with_line_total(tx)
-    orders = reused(
-        tx.filter(F.col("InvoiceNo").isNotNull()).groupBy("InvoiceNo").agg(_revenue().alias("order_value"))
-    )
-    found = exact_quantiles(orders, {"median": ("order_value", 0.5)}, {"invoices": F.count("*")})
+    whole, rest = amount_parts(F.col("TotalPrice"))
+    keys = ["InvoiceNo", K.CUSTOMER_KEY] + ["Country"] * (places is None)
+    facts = [F.count("*").alias("n"), F.min("InvoiceDate").alias("first"), F.max("InvoiceDate").alias("last"), F.sum(whole).alias("whole"), F.sum(rest).alias("rest")]
+    orders = reused(tx.groupBy(*keys).agg(*facts))
+    by_invoice = orders.filter(F.col("InvoiceNo").isNotNull()).groupBy("InvoiceNo").agg(_added().alias("order_value"))
+    found = exact_quantiles(by_invoice, {"median": ("order_value", 0.5)}, {"invoices": F.count("*")})
+    customers = orders.filter(F.col(K.CUSTOMER_KEY).isNotNull()).select(K.CUSTOMER_KEY).distinct()
+    countries = customers.join(places, K.CUSTOMER_KEY) if places is not None else orders
+    n_customers, n_products = customers.count(), tx.filter(F.col("StockCode").isNotNull()).select("StockCode").distinct().count()
+    n_countries = countries.filter(F.col("Country").isNotNull()).select("Country").distinct().count()
     invoices = F.lit(found["invoices"])
-    return tx.agg(
-        F.count("*").alias("n_rows"),
+    return orders.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
         F.lit(columns).cast("bigint").alias("n_columns"),
         invoices.alias("invoices"),
-        F.count_distinct("CustomerID").alias("customers"),
-        F.count_distinct("StockCode").alias("products"),
-        F.count_distinct("Country").alias("countries"),
-        F.min("InvoiceDate").alias("first_date"),
-        F.max("InvoiceDate").alias("last_date"),
-        round_even(_revenue(), 2).alias("total_revenue"),
-        round_even(ratio(_revenue(), invoices, None), 2).alias("avg_order_value"),
+        F.lit(n_customers).cast("bigint").alias("customers"),
+        F.lit(n_products).cast("bigint").alias("products"),
+        F.lit(n_countries).cast("bigint").alias("countries"),
+        F.min("first").alias("first_date"),
+        F.max("last").alias("last_date"),
+        round_even(_added(), 2).alias("total_revenue"),
+        round_even(ratio(_added(), invoices, None), 2).alias("avg_order_value"),
         round_even(F.lit(found["median"]).cast("double"), 2).alias("median_order_value"),
     )
 
@@ -77,14 +102,14 @@ def date_parts(tx: DataFrame) -> DataFrame:
 
 
 def monthly_trend(tx: DataFrame) -> DataFrame:
+    dated = tx.filter(F.col("InvoiceDate").isNotNull())
     return (
-        with_line_total(tx)
-        .filter(F.col("InvoiceDate").isNotNull())
-        .groupBy(month_label(F.col("InvoiceDate")).alias("period"))
+        _by_order(dated, month_label(F.col("InvoiceDate")).alias("period"))
+        .groupBy("period")
         .agg(
-            _revenue().alias("revenue"),
+            _added().alias("revenue"),
             F.count_distinct("InvoiceNo").alias("orders"),
-            F.count_distinct("CustomerID").alias("customers"),
+            F.count_distinct(K.CUSTOMER_KEY).alias("customers"),
         )
         .orderBy("period")
     )
@@ -119,17 +144,21 @@ def weekday_hour_wide(tx: DataFrame) -> DataFrame:
     return weekday_hour(tx).groupBy("weekday_no").pivot("hour", list(range(24))).agg(F.sum("revenue"))
 
 
-def _country_frame(tx: DataFrame) -> DataFrame:
-    return with_line_total(tx).filter(F.col("Country").isNotNull()).groupBy("Country")
+def _orders_by_country(tx: DataFrame, places: DataFrame | None) -> DataFrame:
+    """Orders with their Country: of the lines, or from ``places`` (CustomerID, Country) once lines are added up."""
+    if places is None:
+        return _by_order(tx.filter(F.col("Country").isNotNull()), "Country")
+    return _by_order(tx).join(places.filter(F.col("Country").isNotNull()), K.CUSTOMER_KEY)
 
 
-def country_revenue(tx: DataFrame, top: int = 10) -> DataFrame:
+def country_revenue(tx: DataFrame, top: int = 10, places: DataFrame | None = None) -> DataFrame:
     return (
-        _country_frame(tx)
+        _orders_by_country(tx, places)
+        .groupBy("Country")
         .agg(
-            _revenue().alias("revenue"),
+            _added().alias("revenue"),
             F.count_distinct("InvoiceNo").alias("orders"),
-            F.count_distinct("CustomerID").alias("customers"),
+            F.count_distinct(K.CUSTOMER_KEY).alias("customers"),
         )
         .withColumn("rev_per_customer", round_even(ratio(F.col("revenue"), F.col("customers"), None), 2))
         .orderBy(F.desc("revenue"), "Country")
@@ -137,19 +166,31 @@ def country_revenue(tx: DataFrame, top: int = 10) -> DataFrame:
     )
 
 
-def product_revenue(tx: DataFrame, top: int = 10) -> DataFrame:
-    return (
+def product_revenue(tx: DataFrame, top: int = 10, names: DataFrame | None = None) -> DataFrame:
+    """The products with most revenue. ``names`` (StockCode, Description, one row a code) joins
+    the top rows only; without it the lines carry the Description."""
+    keys = ["StockCode"] if names is not None else ["StockCode", "Description"]
+    first = [F.desc("revenue"), *keys]
+    best = (
         with_line_total(tx)
-        .filter(F.col("StockCode").isNotNull() & F.col("Description").isNotNull())
-        .groupBy("StockCode", "Description")
+        .filter(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+        .groupBy(*keys)
         .agg(
             _revenue().alias("revenue"),
             F.sum(F.col("Quantity").cast("bigint")).alias("qty"),
             F.count_distinct("InvoiceNo").alias("orders"),
         )
-        .orderBy(F.desc("revenue"), "StockCode", "Description")
+        .orderBy(*first)
         .limit(top)
     )
+    if names is not None:
+        best = with_names(best, names, "StockCode").orderBy(*first)
+    return best.select("StockCode", "Description", "revenue", "qty", "orders")
+
+
+def with_names(top: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Join names to a frame of a few rows (a limit): those rows are broadcast, the names stay where they are."""
+    return names.join(F.broadcast(top), key)
 
 
 def basket_shape(tx: DataFrame) -> DataFrame:
@@ -218,9 +259,9 @@ def rfm_correlation(rfm: DataFrame, columns: Sequence[str] = tuple(RFM)) -> Data
     )
 
 
-def country_concentration(tx: DataFrame) -> DataFrame:
+def country_concentration(tx: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """Revenue share of the largest and the five largest countries, per cent."""
-    countries = _country_frame(tx).agg(_revenue().alias("revenue"))
+    countries = _orders_by_country(tx, places).groupBy("Country").agg(_added().alias("revenue"))
     # One row per country.
     place = F.row_number().over(Window.orderBy(F.desc("revenue"), "Country"))
     ranked = countries.withColumn("place", place)

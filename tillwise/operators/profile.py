@@ -16,6 +16,14 @@ def preview(df: DataFrame, order_by: list[str], rows: int = 5) -> DataFrame:
     return df.orderBy(*order_by).limit(rows)
 
 
+def named_preview(df: DataFrame, order_by: list[str], names: dict[str, DataFrame], rows: int = 5) -> DataFrame:
+    """The first rows by key, then the names (key -> frame with that key) of those rows only."""
+    first = preview(df, order_by, rows)
+    for key, frame in names.items():
+        first = frame.join(F.broadcast(first), key)  # `rows` rows
+    return first.orderBy(*order_by)
+
+
 def _long_form(one_row: DataFrame, columns: list[str], value: str) -> DataFrame:
     return one_row.unpivot([], columns, "column_name", value)
 

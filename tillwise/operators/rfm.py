@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from tillwise.constants import CUSTOMER_KEY, RFM_FEATURES
 from tillwise.functions.dates import one_day, whole_days
-from tillwise.functions.numbers import exact_sum, finite_or_zero, is_infinite, nan_to_null, ratio
+from tillwise.functions.numbers import amount_parts, amount_total, exact_sum, finite_or_zero, is_infinite, nan_to_null, ratio
 from tillwise.schemas import require_columns
-from tillwise.session import one_row, reused
+from tillwise.session import bucketed, one_row, reused
 
 _DATED = ("Recency", "Tenure")
+#: Rows that a customer has at most when its facts meet.
+SPREAD = 64
 
 
 def with_line_total(tx: DataFrame) -> DataFrame:
@@ -123,7 +125,63 @@ def clean_nonfinite(df: DataFrame, columns: Sequence[str] = ("Monetary", "AvgOrd
     return df.withColumns({c: finite_or_zero(F.col(c)) for c in columns})
 
 
+def customer_parts(tx: DataFrame, parts: int = SPREAD) -> DataFrame:
+    """Facts of each customer in up to ``parts`` rows (by a hash of the invoice), stored in buckets by customer.
+
+    A customer with a third of all lines is grouped by invoice and by part before
+    anything meets by customer. Grouping the buckets by customer, and aligning such
+    groups, needs no further shuffle.
+    """
+    paid = F.when(nan_to_null(F.col("UnitPrice").cast("double")) > 0, nan_to_null(F.col("TotalPrice").cast("double")))
+    whole, rest = amount_parts(F.when(~is_infinite(paid), paid))
+    known = with_line_total(tx).filter(F.col(CUSTOMER_KEY).isNotNull())
+    by_invoice = known.groupBy(CUSTOMER_KEY, "InvoiceNo").agg(
+        F.max("InvoiceDate").alias("last"),
+        F.min("InvoiceDate").alias("first"),
+        F.sum(whole).alias("whole"),
+        F.sum(rest).alias("rest"),
+        F.coalesce(F.bool_or(is_infinite(paid)), F.lit(False)).alias("endless"),
+        F.count_if(F.col("UnitPrice") > 0).alias("paid"),
+        F.sum(is_free()).alias("free"),
+        F.count("*").alias("lines"),
+    )
+    by_part = by_invoice.groupBy(CUSTOMER_KEY, F.pmod(F.xxhash64("InvoiceNo"), F.lit(parts)).alias("part")).agg(
+        F.max("last").alias("last"),
+        F.min("first").alias("first"),
+        F.sum("whole").alias("whole"),
+        F.sum("rest").alias("rest"),
+        F.bool_or("endless").alias("endless"),
+        *[F.sum(c).alias(c) for c in ("paid", "free", "lines")],
+        F.count("InvoiceNo").alias("invoices"),
+    )
+    dealt = int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed(by_part, CUSTOMER_KEY, dealt)
+
+
+def separate_features(parts: DataFrame, end: Column) -> list[DataFrame]:
+    """Four frames over ``customer_parts``, each with the customers it has something on: Recency and
+    Tenure up to ``end``, Frequency, Monetary (customers with a paid line), FreeTransactionRatio."""
+    own = parts.groupBy(CUSTOMER_KEY)
+    dates = own.agg(F.max("last").alias("last"), F.min("first").alias("first"))
+    money = parts.filter("paid > 0").groupBy(CUSTOMER_KEY)
+    total = amount_total(F.sum("whole"), F.sum("rest"))
+    return [
+        dates.filter("last IS NOT NULL").select(CUSTOMER_KEY, whole_days(F.col("last"), end).alias("Recency"), whole_days(F.col("first"), end).alias("Tenure")),
+        own.agg(F.sum("invoices").alias("Frequency")),
+        money.agg(F.when(F.bool_or("endless"), F.lit(0.0)).otherwise(F.coalesce(total, F.lit(0.0))).alias("Monetary")),
+        own.agg((F.sum("free") / F.sum("lines")).alias("FreeTransactionRatio")),
+    ]
+
+
 def align_by_customer(frames: Sequence[DataFrame]) -> DataFrame:
-    """Outer alignment of per-customer frames made elsewhere. ``rfm_features``
-    does not need it; inputs grouped by customer join without a new shuffle."""
-    return reduce(lambda left, right: left.join(right, CUSTOMER_KEY, "full_outer"), frames)
+    """Outer alignment of frames of one row per customer: a row for each customer of any frame.
+
+    Rows are put under each other and grouped once, so many frames cost one shuffle,
+    and frames that are dealt alike by customer (see ``customer_parts``) cost none. A
+    row without customer belongs to nobody and is left out.
+    """
+    under = reduce(lambda upper, lower: upper.unionByName(lower, allowMissingColumns=True), frames)
+    columns = [c for c in under.columns if c != CUSTOMER_KEY]
+    aligned = under.groupBy(CUSTOMER_KEY).agg(*[F.max(c).alias(c) for c in columns], F.count(CUSTOMER_KEY).alias("_known"))
+    # not a filter on the key: below the union that would hide how the frames are dealt
+    return aligned.filter("_known > 0").drop("_known")

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from tillwise.constants import CAP_PERCENTILE, RFM_FEATURES
 from tillwise.functions.numbers import round_even
-from tillwise.operators import clusters, naming, preprocess, rfm
+from tillwise.operators import cleaning, clusters, naming, preprocess, rfm
 from tillwise.operators.model import SegmentModel, fit_segment_model
 from tillwise.plans.inputs import keyed, scaled_customers, segmented_customers
 from tillwise.plans.oracle_parts import FEATURES, FIXED_CENTRES, money, nearest, rounded, scaled, sql
 from tillwise.plans.registry import register
 from tillwise.session import new_shared_path, reused
-from tillwise.sources.retail import customers, lines, retail
-from tillwise.streaming.live import score_customers
+from tillwise.sources.retail import customers, lines, retail_dirty
+from tillwise.streaming.live import read_customer_stream, score_customers, start_scoring
 
 SIX = ", ".join(f"{rounded(f, 6)} AS {f}" for f in FEATURES)
 EXACT = ", ".join(FEATURES)
@@ -69,25 +69,23 @@ def rfm_features(spark, sf_dir):
 @register(
     "rfm_outer_align",
     sql(
-        f"""SELECT a.CustomerID, Frequency, Monetary, lines FROM
-(SELECT CustomerID, count(DISTINCT InvoiceNo) AS Frequency FROM retail GROUP BY 1) a
-LEFT JOIN (SELECT CustomerID, {money("TotalPrice")} AS Monetary FROM retail WHERE Country < 'NATION_2' GROUP BY 1) b
-ON a.CustomerID = b.CustomerID
-LEFT JOIN (SELECT CustomerID, count(*) AS lines FROM retail WHERE UnitPrice = 0 GROUP BY 1) c
-ON a.CustomerID = c.CustomerID""",
-        "retail",
+        f"""SELECT CustomerID, Recency, Tenure, Frequency, Monetary, FreeTransactionRatio FROM
+(SELECT CustomerID, date_sub('day', max(CAST(InvoiceDate AS TIMESTAMP)), any_value(snapshot)) AS Recency,
+  date_sub('day', min(CAST(InvoiceDate AS TIMESTAMP)), any_value(snapshot)) AS Tenure FROM dirty, snap WHERE CustomerID IS NOT NULL GROUP BY 1) a
+FULL JOIN (SELECT CustomerID, count(DISTINCT InvoiceNo) AS Frequency FROM dirty WHERE CustomerID IS NOT NULL GROUP BY 1) b USING (CustomerID)
+FULL JOIN (SELECT CustomerID, {money("TotalPrice")} AS Monetary FROM dirty WHERE UnitPrice > 0 AND CustomerID IS NOT NULL GROUP BY 1) c USING (CustomerID)
+FULL JOIN (SELECT CustomerID, avg(CASE WHEN UnitPrice = 0 THEN 1e0 ELSE 0e0 END) AS FreeTransactionRatio
+  FROM dirty WHERE CustomerID IS NOT NULL GROUP BY 1) d USING (CustomerID)""",
+        "dirty",
+        "snap",
     ),
 )
 def rfm_outer_align(spark, sf_dir):
-    tx = retail(spark, sf_dir, description=False)
-    some = tx.filter(F.col("Country") < "NATION_2")
-    return rfm.align_by_customer(
-        [
-            tx.groupBy("CustomerID").agg(F.count_distinct("InvoiceNo").alias("Frequency")),
-            some.groupBy("CustomerID").agg((F.sum(F.rint(F.col("TotalPrice") * 10000).cast("bigint")) / 10000.0).alias("Monetary")),
-            tx.filter(F.col("UnitPrice") == 0).groupBy("CustomerID").agg(F.count("*").alias("lines")),
-        ]
-    )
+    """The reference's four aggregates over all dirty lines, each on its own, then aligned."""
+    tx = cleaning.parse_invoice_dates(retail_dirty(spark, sf_dir))
+    end = rfm.snapshot_date(lines(spark, sf_dir)).first()[0]
+    parts = rfm.customer_parts(tx)
+    return rfm.align_by_customer(rfm.separate_features(parts, F.lit(str(end)).cast(dict(tx.dtypes)["InvoiceDate"])))
 
 
 @register(
@@ -259,6 +257,69 @@ def segment_customers(spark, sf_dir):
     return naming.with_segment_names(reused(segmented_customers(spark, sf_dir)))
 
 
+CHECKED_FIT = sql(
+    "SELECT count(*) AS customers, CAST(floor(count(*) * 0.2e0) AS BIGINT) AS test_customers, CAST(0 AS BIGINT) AS off_nearest FROM rfm", "rfm"
+)
+
+
+@register("kmeans_checked", CHECKED_FIT)
+def kmeans_checked(spark, sf_dir):
+    """Properties of the segments: all customers have one, the parts have their sizes, none is off its nearest centre."""
+    data = preprocess.prepare_training(customers(spark, sf_dir))
+    search = clusters.ClusterSearch(data.train, data.test, RFM_FEATURES).fit()
+    train, test = search.assign()
+    both = train.withColumn("in_test", F.lit(0)).unionByName(test.withColumn("in_test", F.lit(1)))
+    off = clusters.off_nearest(both, RFM_FEATURES, clusters.centres_of(search.best_model))
+    return both.agg(F.count("Segment").alias("customers"), F.sum("in_test").cast("bigint").alias("test_customers"), F.count_if(off).alias("off_nearest"))
+
+
+@register(
+    "k_selection_checked",
+    "SELECT k, CAST(1 AS BIGINT) AS found, CAST(0 AS BIGINT) AS better_than_chosen FROM (VALUES (3), (4), (5), (6), (7), (8)) AS t(k)",
+)
+def k_selection_checked(spark, sf_dir):
+    """Each k was fitted with k centres at a finite cost, and none has a better train silhouette than the chosen one."""
+    data = preprocess.prepare_training(customers(spark, sf_dir))
+    search = clusters.ClusterSearch(data.train, data.test, RFM_FEATURES).fit()
+    chosen = max(m[1] for m in search.metrics if m[0] == search.best_k)
+    better = F.coalesce((F.col("train_silhouette") > F.lit(chosen)).cast("bigint"), F.lit(0).cast("bigint"))
+    found = (F.col("inertia") < F.lit(float("inf"))).cast("bigint")
+    return search.metrics_frame().select("k", found.alias("found"), better.alias("better_than_chosen"))
+
+
+@register(
+    "predict_checked",
+    sql("SELECT count(*) AS customers, CAST(0 AS BIGINT) AS off_nearest, CAST(0 AS BIGINT) AS unnamed, CAST(0 AS BIGINT) AS out_of_order FROM rfm", "rfm"),
+)
+def predict_checked(spark, sf_dir):
+    """Properties of a prediction: nearest centre in the space of the batch, and names in order of mean Monetary."""
+    rfm_all = customers(spark, sf_dir)
+    model, _ = fit_segment_model(rfm_all)
+    predicted = reused(model.predict(rfm_all))
+    scaled = preprocess.scoring_features(rfm_all, model.scaler, model.features).join(keyed(predicted, "Segment", "Segment_Name"), "CustomerID")
+    off = clusters.off_nearest(scaled, model.features, model.centres)
+    means = {r["Segment_Name"]: r["m"] for r in predicted.groupBy("Segment_Name").agg(F.avg("Monetary").alias("m")).collect()}  # a row a name
+    ranked = [means[n] for n in ("High Value", "Frequent Buyer") if n in means]
+    wrong = sum(a < b for a, b in zip(ranked, ranked[1:])) + sum(means[n] > ranked[-1] for n in means if n not in ("High Value", "Frequent Buyer"))
+    return scaled.agg(
+        F.count("*").alias("customers"), F.count_if(off).alias("off_nearest"), F.count_if(F.col("Segment_Name").isNull()).alias("unnamed"), F.lit(wrong).cast("bigint").alias("out_of_order")
+    )
+
+
+@register("model_checked", sql("SELECT count(*) AS customers, CAST(0 AS BIGINT) AS differ FROM rfm", "rfm"))
+def model_checked(spark, sf_dir):
+    """The model that was saved over an older one and loaded predicts what the fitted one does."""
+    rfm_all = customers(spark, sf_dir)
+    model, _ = fit_segment_model(rfm_all)
+    path = new_shared_path(spark, "segment-model")
+    LIVE_MODEL.save(spark, path)
+    model.save(spark, path)
+    one = keyed(model.predict(rfm_all, caps="fitted"), "Segment", "Segment_Name")
+    two = keyed(SegmentModel.load(spark, path).predict(rfm_all, caps="fitted"), F.col("Segment").alias("s"), F.col("Segment_Name").alias("n"))
+    same = F.col("Segment").eqNullSafe(F.col("s")) & F.col("Segment_Name").eqNullSafe(F.col("n"))
+    return one.join(two, "CustomerID", "full_outer").agg(F.count("*").alias("customers"), F.count_if(~same).alias("differ"))
+
+
 @register("predict_segments")
 def predict_segments(spark, sf_dir):
     rfm_all = customers(spark, sf_dir)
@@ -315,3 +376,15 @@ ON rfm.CustomerID = a.CustomerID""",
 @register("score_customers", _live_sql())
 def live_scoring(spark, sf_dir):
     return score_customers(customers(spark, sf_dir), LIVE_MODEL)
+
+
+@register("score_stream", _live_sql())
+def stream_scoring(spark, sf_dir):
+    """The same by a stream over files that come in two lots, stopped and started again between them."""
+    source, sink, marks = (new_shared_path(spark, f"stream-{n}") for n in ("in", "out", "marks"))
+    rfm_all = customers(spark, sf_dir)
+    for lot in (0, 1):
+        rfm_all.filter(F.pmod(F.xxhash64("CustomerID"), F.lit(2)) == lot).write.mode("append").parquet(source)
+        run = start_scoring(read_customer_stream(spark, source), LIVE_MODEL, sink, marks)
+        run.awaitTermination()
+    return spark.read.parquet(sink)

@@ -8,12 +8,14 @@ from tillwise.constants import CHURN_WEIGHTS, HISTOGRAM_BINS, RECENCY_BUCKETS
 from tillwise.functions import scores as S
 from tillwise.functions.numbers import round_even
 from tillwise.operators import charts, churn, kpi
-from tillwise.plans.inputs import enriched_customers, keyed
-from tillwise.plans.oracle_parts import ABSOLUTE, BAND_F, BAND_M, BAND_R, money, risk, rounded, sql
+from tillwise.operators.cleaning import clean
+from tillwise.operators.rfm import rfm_features
+from tillwise.plans.inputs import enriched, enriched_customers, keyed
+from tillwise.plans.oracle_parts import ABSOLUTE, BAND_F, BAND_M, BAND_R, money, risk, rounded, sql, sql_after_cleaning
 from tillwise.plans.registry import register
 from tillwise.plans.transactions import histogram_sql, rounded_edges
 from tillwise.session import reused
-from tillwise.sources.retail import customers
+from tillwise.sources.retail import customers, retail_dirty
 
 DRIVERS = list(CHURN_WEIGHTS)
 FEATURES = "Recency, Tenure, Frequency, Monetary, FreeTransactionRatio, AvgOrderValue"
@@ -214,7 +216,7 @@ def segment_kpis(spark, sf_dir):
     return kpi.segment_kpis(enriched_customers(spark, sf_dir))
 
 
-def _all_kpis_sql() -> str:
+def _all_kpis_sql(build=sql) -> str:
     rows = [
         f"SELECT '{g}' AS kpi_group, CAST(NULL AS VARCHAR) AS item, '{m}' AS metric, CAST({e} AS DOUBLE) AS value FROM enriched"
         for g, metrics in KPI_SQL.items()
@@ -223,7 +225,7 @@ def _all_kpis_sql() -> str:
     rows += [
         f"SELECT 'segment', Segment, '{m}', CAST({m} AS DOUBLE) FROM ({_SEGMENT_KPIS})" for m in SEGMENT_MEASURES
     ]
-    return sql(" UNION ALL ".join(rows), "enriched")
+    return build(" UNION ALL ".join(rows), "enriched")
 
 
 @register("all_kpis", _all_kpis_sql())
@@ -231,6 +233,13 @@ def all_kpis(spark, sf_dir):
     return kpi.all_kpis(enriched_customers(spark, sf_dir))
 
 
+@register("end_to_end", _all_kpis_sql(sql_after_cleaning))
+def end_to_end(spark, sf_dir):
+    """From dirty lines to KPIs: clean, build features, segment, name, score churn, report."""
+    rfm = rfm_features(clean(retail_dirty(spark, sf_dir)))
+    return kpi.all_kpis(enriched(rfm))
+
+
 # --- chart tables ----------------------------------------------------------
 
 _CLASSES = "(VALUES ('High Risk'), ('Medium Risk'), ('Low Risk')) AS c(ChurnRisk)"

@@ -23,7 +23,10 @@ def scaled_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segmented_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw features and the nearest fixed centre."""
-    rfm = customers(spark, sf_dir)
+    return segmented(customers(spark, sf_dir))
+
+
+def segmented(rfm: DataFrame) -> DataFrame:
     logs = log_skewed(rfm.select(F.struct("*").alias("_raw"), *RFM_FEATURES))
     scaled = scale(logs, fit_scaler(logs, RFM_FEATURES), RFM_FEATURES)
     return scaled.select("_raw.*", nearest_centre(RFM_FEATURES, FIXED_CENTRES).alias(SEGMENT))
@@ -31,8 +34,11 @@ def segmented_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enriched_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features, segment, segment name, churn score and risk."""
-    named = with_segment_names(reused(segmented_customers(spark, sf_dir)))
-    return reused(add_churn(named))
+    return enriched(customers(spark, sf_dir))
+
+
+def enriched(rfm: DataFrame) -> DataFrame:
+    return reused(add_churn(with_segment_names(reused(segmented(rfm)))))
 
 
 def keyed(df: DataFrame, *columns: str) -> DataFrame:

@@ -197,3 +197,13 @@ def sql(final: str, *needs: str) -> str:
         return final
     ctes = ",\n".join(f"{name} AS MATERIALIZED (\n{_CTES[name][0]})" for name in order)
     return f"WITH {ctes}\n{final}"
+
+
+def sql_after_cleaning(final: str, *needs: str) -> str:
+    """The same, with the cleaned rows of ``dirty`` in the place of ``retail``."""
+    raw = f"AS MATERIALIZED (\n{_CTES['retail'][0]})"
+    once, both = _CTES["dirty_once"][0].replace("FROM retail", "FROM raw"), _CTES["dirty"][0]
+    cleaned = """SELECT DISTINCT InvoiceNo, StockCode, Quantity, CAST(InvoiceDate AS TIMESTAMP) AS InvoiceDate, UnitPrice,
+CustomerID, Country, TotalPrice FROM dirty WHERE CustomerID IS NOT NULL AND Quantity > 0"""
+    before = f"raw {raw},\ndirty_once AS MATERIALIZED (\n{once}),\ndirty AS MATERIALIZED (\n{both}),\n"
+    return sql(final, *needs).replace(f"retail {raw}", f"{before}retail AS MATERIALIZED (\n{cleaned})", 1)

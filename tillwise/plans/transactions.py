@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tillwise.functions.dates import month_label
 from tillwise.functions.numbers import round_even
-from tillwise.operators import charts, cleaning, explore, profile
+from tillwise.operators import charts, cleaning, explore, profile, sketches
 from tillwise.plans.oracle_parts import money, rounded, sql
 from tillwise.plans.registry import register
 from tillwise.session import new_shared_path
 from tillwise.sources import files
-from tillwise.sources.retail import customers, lines, purchases, retail, retail_dirty
+from tillwise.sources.retail import customer_places, customers, lines, product_names, purchases, retail, retail_dirty
 
 LABEL = "'%Y-%m-%d %H:%M:%S'"
 RETAIL_COLUMNS = {
@@ -33,22 +33,31 @@ def _each(template: str, columns) -> str:
 
 # --- files -----------------------------------------------------------------
 
-CSV_COLUMNS = ["InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "CustomerID", "Country", "TotalPrice"]
+ALL_NINE = sql(
+    f"""SELECT InvoiceNo, StockCode, Description, CAST(Quantity AS BIGINT) AS Quantity,
+strftime(InvoiceDate, {LABEL}) AS InvoiceDate, UnitPrice, CustomerID, Country, TotalPrice FROM retail""",
+    "retail",
+)
 
 
-@register(
-    "csv_roundtrip",
-    sql(
-        f"""SELECT InvoiceNo, StockCode, Description, CAST(Quantity AS BIGINT) AS Quantity,
-strftime(InvoiceDate, {LABEL}) AS InvoiceDate, CustomerID, Country, TotalPrice FROM retail""",
-        "retail",
-    ),
-)
+@register("csv_roundtrip", ALL_NINE)
 def csv_roundtrip(spark, sf_dir):
     path = new_shared_path(spark, "retail-csv")
-    table = retail(spark, sf_dir).select(*CSV_COLUMNS)
+    table = retail(spark, sf_dir)
     files.write_csv(table, path)
-    return files.read_csv(spark, path, T.StructType([table.schema[c] for c in CSV_COLUMNS]))
+    return files.read_csv(spark, path, table.schema)
+
+
+@register("parquet_months", ALL_NINE)
+def parquet_months(spark, sf_dir):
+    """Written by month with one month spoilt, then that month alone is written again."""
+    path = new_shared_path(spark, "retail-months")
+    table = retail(spark, sf_dir).withColumn("month", month_label(F.col("InvoiceDate")))
+    last = table.agg(F.max("month")).first()[0]
+    spoilt = table.withColumn("TotalPrice", F.when(F.col("month") != last, F.col("TotalPrice")))
+    files.write_parquet(spoilt, path, ["month"])
+    files.write_parquet(table.filter(F.col("month") == last), path, ["month"])
+    return files.read_parquet(spark, path).drop("month")
 
 
 # --- profile ---------------------------------------------------------------
@@ -64,8 +73,9 @@ FROM retail ORDER BY InvoiceNo, StockCode, Quantity, TotalPrice LIMIT 5""",
     ),
 )
 def preview(spark, sf_dir):
-    tx = retail(spark, sf_dir).withColumn("UnitPrice", round_even(F.col("UnitPrice"), 4))
-    return profile.preview(tx, ["InvoiceNo", "StockCode", "Quantity", "TotalPrice"])
+    tx = lines(spark, sf_dir).withColumn("UnitPrice", round_even(F.col("UnitPrice"), 4))
+    names = {"StockCode": product_names(spark, sf_dir), "CustomerID": customer_places(spark, sf_dir)}
+    return profile.named_preview(tx, ["InvoiceNo", "StockCode", "Quantity", "TotalPrice"], names)
 
 
 @register(
@@ -122,9 +132,12 @@ def _rounded_describe(df):
     return df.withColumns({c: round_even(F.col(c), 4) for c in parts})
 
 
-@register("describe", sql(_describe_sql("retail", ["Quantity", "UnitPrice", "TotalPrice"]), "retail"))
+NUMBERS = ["Quantity", "UnitPrice", "CustomerID", "TotalPrice"]
+
+
+@register("describe", sql(_describe_sql("retail", NUMBERS), "retail"))
 def describe(spark, sf_dir):
-    return _rounded_describe(profile.describe(lines(spark, sf_dir), ["Quantity", "UnitPrice", "TotalPrice"]))
+    return _rounded_describe(profile.describe(lines(spark, sf_dir)))
 
 
 # --- cleaning --------------------------------------------------------------
@@ -201,7 +214,7 @@ FROM retail""",
     ),
 )
 def eda_overview(spark, sf_dir):
-    return explore.overview(retail(spark, sf_dir))
+    return explore.overview(lines(spark, sf_dir), customer_places(spark, sf_dir), columns=len(RETAIL_COLUMNS))
 
 
 @register(
@@ -247,6 +260,39 @@ def monthly_trend(spark, sf_dir):
     return explore.monthly_trend(lines(spark, sf_dir))
 
 
+@register(
+    "sketch_months",
+    sql(
+        """SELECT strftime(InvoiceDate, '%Y-%m') AS period, count(*) AS n_rows, count(DISTINCT CustomerID) AS customers,
+count(DISTINCT InvoiceNo) AS orders, CAST(1 AS BIGINT) AS customers_near, CAST(1 AS BIGINT) AS orders_near,
+CAST(1 AS BIGINT) AS median_near FROM retail GROUP BY 1""",
+        "retail",
+    ),
+)
+def sketch_months(spark, sf_dir):
+    """Months merged from stored days: whether each estimate is within its bound of the exact number beside it."""
+    tx = lines(spark, sf_dir)
+    path = new_shared_path(spark, "sketches")
+    files.write_parquet(sketches.daily_sketches(tx), path)
+    merged = sketches.merged(files.read_parquet(spark, path), month_label(F.col("day")).alias("period"))
+    near = sketches.answers(merged).select("period", F.col("customers").alias("c"), F.col("orders").alias("o"), "amount")
+    exact = explore.monthly_trend(tx).select("period", "customers", "orders")
+    ranks = (
+        tx.withColumn("period", month_label(F.col("InvoiceDate")))
+        .join(F.broadcast(near.select("period", "amount")), "period")  # a row a month
+        .groupBy("period")
+        .agg(F.count("*").alias("n_rows"), F.avg((F.col("TotalPrice") < F.col("amount")).cast("int")).alias("under"), F.avg((F.col("TotalPrice") <= F.col("amount")).cast("int")).alias("upto"))
+    )
+
+    def within(estimate, true):
+        return (F.abs(F.col(estimate) - F.col(true)) <= F.greatest(F.lit(0.5), sketches.COUNT_ERROR * F.col(true))).cast("bigint")
+
+    median = ((F.col("under") <= 0.5 + sketches.RANK_ERROR) & (F.col("upto") >= 0.5 - sketches.RANK_ERROR)).cast("bigint")
+    return exact.join(near, "period").join(ranks, "period").select(
+        "period", "n_rows", "customers", "orders", within("c", "customers").alias("customers_near"), within("o", "orders").alias("orders_near"), median.alias("median_near")
+    )
+
+
 WEEKDAY = "CASE isodow({d}) WHEN 1 THEN 'Mon' WHEN 2 THEN 'Tue' WHEN 3 THEN 'Wed' WHEN 4 THEN 'Thu' WHEN 5 THEN 'Fri' WHEN 6 THEN 'Sat' ELSE 'Sun' END"
 
 
@@ -297,7 +343,7 @@ count(DISTINCT CustomerID) AS customers FROM retail GROUP BY Country) ORDER BY r
     ),
 )
 def country_revenue(spark, sf_dir):
-    return explore.country_revenue(retail(spark, sf_dir, description=False))
+    return explore.country_revenue(lines(spark, sf_dir), places=customer_places(spark, sf_dir))
 
 
 @register(
@@ -310,7 +356,7 @@ ORDER BY revenue DESC, StockCode, Description LIMIT 10""",
     ),
 )
 def product_revenue(spark, sf_dir):
-    return explore.product_revenue(retail(spark, sf_dir, country=False))
+    return explore.product_revenue(lines(spark, sf_dir), names=product_names(spark, sf_dir))
 
 
 @register(
@@ -391,7 +437,7 @@ FROM (SELECT Country, {money("TotalPrice")} AS revenue FROM retail GROUP BY Coun
     ),
 )
 def country_concentration(spark, sf_dir):
-    return explore.country_concentration(retail(spark, sf_dir, description=False))
+    return explore.country_concentration(lines(spark, sf_dir), customer_places(spark, sf_dir))
 
 
 @register(

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -103,6 +104,22 @@ def stored(df: DataFrame) -> Iterator[DataFrame]:
         delete_path(df.sparkSession, path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """A frame as Parquet in the shared folder, in buckets by ``key``: groupings by it read it without a shuffle.
+
+    Spark takes the layout from its catalog, so the files are a table for as long as
+    the frame is made; the catalog is left as it was, and the files stay.
+    """
+    spark, path = df.sparkSession, new_shared_path(df.sparkSession, "bucketed")
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    try:
+        # fresh names: a union compares columns together with the table they came from
+        return spark.table(name).select(*[F.col(f"`{c}`").alias(c) for c in df.columns])
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

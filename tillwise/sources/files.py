@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -32,5 +34,13 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null_columns(spark.read.parquet(path))
 
 
-def write_parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Parquet, by partitions if asked for.
+
+    With ``partition_by`` only the partitions that ``df`` has rows of are replaced; the
+    others stay. Files are staged, and the old ones go when the job commits.
+    """
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
+    writer.parquet(path)

@@ -64,6 +64,18 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retail(spark, sf_dir, country=False, description=False)
 
 
+def customer_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(CustomerID, Country) of every customer."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    place = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return place.select(F.col("c_custkey").alias(CUSTOMER_KEY), F.col("n_name").alias("Country"))
+
+
+def product_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(StockCode, Description) of every product."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("StockCode"), F.col("p_name").alias("Description"))
+
+
 def retail_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``retail`` with dirt put in by rule: text dates, missing customers,
     quantities at or below zero, repeated rows."""
