@@ -7,23 +7,28 @@
 3. Four registers make a band, 40 bands; classes that agree in a band are
    candidates. At a similarity of 0.75 a pair agrees in none with a probability of
    (1 - 0.75^4)^40 = 2.5e-7; higher ones are missed still less.
-4. Pairs are tested in two rounds. First every band key names up to 8 pivots (the
-   smallest class of each residue) and its classes are paired with them: a group of
-   thousands of near copies is linked by few pairs a member. Then the keys that
-   still hold classes of different components are compared in full, block of rows
-   against block of rows; classes of one component are passed over.
+4. Pairs are tested in rounds. In each, every key that still holds classes of different
+   components names one pivot (the first by a hash of the round, so that the keys of a
+   group name the same one) and its classes of other components are paired with it: a
+   group of thousands of near copies is linked by few pairs a member. After ``ROUNDS`` the
+   keys that are still open are compared in full, block of rows against block of rows:
+   on sketches first, then on the full sets of those that have a likely partner there.
+   Classes of one component are passed over.
 5. A pair's similarity is first estimated from registers, less the share that
    agrees by collision; pairs over a bound six deviations below the limit are
    confirmed on the full sets.
 
-A key's blocks and a unit of confirmation are of bounded size, so a hot key or group
-is spread over tasks; minima and counts have map-side combine. Sketches and links
-are written to the shared folder between rounds.
+Only texts of classes that share a key are read again: they are a table of their own, and
+a full set goes once to each unit that compares it. Blocks and units are of bounded size,
+so a hot key or group is spread over tasks; small keys share tasks. Minima and counts have
+map-side combine. Sketches, links and labels are tables in the shared folder.
 
 Defined results
 * null or wordless text: no shingles, linked with nothing, kept;
 * fewer than five words: the whole sequence is the one shingle;
-* ids must not be null; rows that share an id are one node with the union of their links (each row comes back);
+* rows that share an id are one node with the union of their links (each row comes back);
+* a row without id is linked with nothing: its component is null and it is kept;
+* a text of any length counts whole, hashed in pieces of CHUNK bytes;
 * an empty table gives no rows; extra columns are kept by ``keep_one_of_each``.
 """
 
@@ -46,7 +51,11 @@ BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 CHUNK = 1 << 20
-PIVOTS = 8
+ROUNDS = 3
+# Up to so many ids are broadcast to the texts; beyond it the texts are dealt by id.
+BROADCAST_IDS = 1_000_000
+# Rows of small keys that are compared in one task.
+UNIT = 4096
 # Rows and hashes of a key compared with one another at a time; nodes and hashes of one home.
 COMPARE_BLOCK, COMPARE_HASHES = 256, 1 << 20
 CHECK_BLOCK, BLOCK_HASHES = 128, 1 << 15
@@ -169,21 +178,32 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to doc_id, n_shingles, set_key, sketch, bands; the bands are null for an empty set."""
+    """(doc_id, text) to doc_id, n_shingles, set_key, sketch; the sketch is null for an empty set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, registers, bands = [], [], [], []
+            sizes, keys, registers = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist()):
                 sizes.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                r = sketch(s) if len(s) else None
-                registers.append(None if r is None else r.tobytes())
-                bands.append(None if r is None else band_keys(r).view(np.int64))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "sketch", "bands"])
+                registers.append(sketch(s).tobytes() if len(s) else None)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(registers, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary")
+
+
+def banded(nodes: DataFrame) -> DataFrame:
+    """(node, n_shingles, sketch) to a row for each band: key, band, node, n_shingles."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.concatenate([np.zeros(0, np.uint64), *(band_keys(np.frombuffer(x.as_py(), np.uint16)) for x in batch.column(2))])
+            band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+            own = [pa.array(np.repeat(batch.column(c).to_numpy(), BANDS)) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(band), *own], ["key", "band", "node", "n_shingles"])
+
+    return nodes.mapInArrow(run, "key long, band int, node long, n_shingles long")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -257,7 +277,7 @@ def placed(pairs: DataFrame, home: DataFrame) -> DataFrame:
     return pairs
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of the placed pairs that reach the limit on the full sets.
 
     A unit is the pairs between two homes, with one copy of the sets they need: a
@@ -266,45 +286,62 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     ends = F.explode(F.array("a", "b")).alias("node")
     needs = pairs.select(F.col("ha").alias("ua"), F.col("hb").alias("ub"), ends).distinct()
     wanted = pairs.select(ends).distinct().withColumnRenamed("node", "doc_id")
-    sets = full_sets(docs.join(wanted, "doc_id", "left_semi"))
+    sets = full_sets(texts.join(wanted, "doc_id", "left_semi"))
     units = pairs.groupBy("ha", "hb").cogroup(needs.join(sets, "node").groupBy("ua", "ub"))
     counted = units.applyInArrow(shared_counts, "a long, b long, na long, nb long, shared long")
     return counted.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
-def across_components(rows: DataFrame, percent: int) -> DataFrame:
-    """All links (a, b) between nodes of different components that share a key.
+def cross_pairs(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """For each row of a unit its likely partners: (rows of the key, row, partners).
 
-    ``rows``: key, band, members, weight, node, comp, n_shingles, sketch, hashes. A
-    key's rows are dealt to blocks of bounded size, and each two blocks are compared
-    in one task, so a hot key is spread over tasks and only links leave them. A pair
-    is looked at in its first common band: first its estimate, then the full sets.
+    Partners are of another component, agree in no earlier band, and may reach the limit by
+    their sizes and sketches. ``rows``: key, band, low, high, mine, node, comp, n_shingles, sketch.
     """
-    blocks = F.greatest(F.ceil(F.col("members") / COMPARE_BLOCK), F.ceil(F.col("weight") / COMPARE_HASHES))
-    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("key", "band", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "comp", "n_shingles", "sketch", "hashes")
     least, rate = percent / 100 - SLACK, collision_rate()
+    key, band, low, high, mine, comp, size = (rows.column(c).to_numpy() for c in ("key", "band", "low", "high", "mine", "comp", "n_shingles"))
+    registers = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+    packed = np.ascontiguousarray(registers).view(np.uint64)  # a band of four registers is one number
+    order = np.argsort(key, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        first, b = group[0], band[group[0]]
+        left, right = group[mine[group] == low[first]], group[mine[group] == high[first]]
+        for at, i in enumerate(left):
+            js = right[at + 1 :] if low[first] == high[first] else right
+            js = js[comp[js] != comp[i]]
+            js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
+            if b and len(js):
+                js = js[~(packed[js, :b] == packed[i, :b]).any(axis=1)]
+            if len(js):
+                same = (registers[js] == registers[i]).mean(axis=1)
+                js = js[(same - rate) / (1 - rate) >= least]
+            if len(js):
+                yield group, i, js
+
+
+def likely_rows(percent: int):
+    """The rows of a unit that have a likely partner."""
 
     def run(rows: pa.Table) -> pa.Table:
-        node, comp, size, mine = (rows.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "mine"))
-        band, low, high = (rows.column(c)[0].as_py() for c in ("band", "low", "high"))
-        registers = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-        packed = np.ascontiguousarray(registers).view(np.uint64)  # a band of four registers is one number
+        kept = np.zeros(len(rows), dtype=bool)
+        for _, i, js in cross_pairs(rows, percent):
+            kept[i] = True
+            kept[js] = True
+        return rows.filter(pa.array(kept))
+
+    return run
+
+
+def linked_rows(percent: int):
+    """The links of a unit, on the full sets."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, size = rows.column("node").to_numpy(), rows.column("n_shingles").to_numpy()
         _, number = np.unique(rows.column("hashes").combine_chunks().flatten().to_numpy(), return_inverse=True)
         sets = np.split(number, np.cumsum(size)[:-1])
         flag = np.zeros(len(number), dtype=np.int64)
-        left, right = np.flatnonzero(mine == low), np.flatnonzero(mine == high)
         one, two = [], []
-        for i in left:
-            js = right[right > i] if low == high else right
-            js = js[comp[js] != comp[i]]
-            js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
-            if band:
-                js = js[~(packed[js, :band] == packed[i, :band]).any(axis=1)]
-            same = (registers[js] == registers[i]).mean(axis=1)
-            js = js[(same - rate) / (1 - rate) >= least]
-            if not len(js):
-                continue
+        for _, i, js in cross_pairs(rows, percent):
             flag[sets[i]] = 1
             starts = np.cumsum(size[js]) - size[js]
             shared = np.add.reduceat(flag[np.concatenate([sets[j] for j in js])], starts)
@@ -314,7 +351,30 @@ def across_components(rows: DataFrame, percent: int) -> DataFrame:
             two.extend(node[js])
         return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
 
-    return dealt.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
+    return run
+
+
+def across_components(rows: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """All links (a, b) between nodes of different components that share a key.
+
+    ``rows``: key, band, members, weight, node, n_shingles, comp. A key's rows are dealt to
+    blocks of bounded size, and each two blocks are compared in one task, so a hot key is
+    spread over tasks; small keys share a task. Only rows go on, and at last links.
+    """
+    blocks = F.greatest(F.ceil(F.col("members") / COMPARE_BLOCK), F.ceil(F.col("weight") / COMPARE_HASHES))
+    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    units = 1 + rows.count() // UNIT
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    unit = F.when(blocks > 1, F.xxhash64("key", low, high)).otherwise(F.pmod(F.xxhash64("key"), F.lit(units)))
+    dealt = dealt.select("key", "band", low.alias("low"), high.alias("high"), "mine", "node", "comp", "n_shingles", unit.alias("unit"), F.when(blocks > 1, F.col("key")).alias("own"))
+    known = dealt.join(nodes.select("node", "n_shingles", "sketch"), ["node", "n_shingles"])
+    schema = "key long, band int, low long, high long, mine long, node long, comp long, n_shingles long, unit long, own long, sketch binary"
+    known = known.select(*[c.split()[0] for c in schema.split(", ")])
+    likely_there = scratch.keep(known.groupBy("unit", "own", "low", "high").applyInArrow(likely_rows(percent), schema), "likely")
+    wanted = likely_there.select(F.col("node").alias("doc_id")).distinct()
+    sets = full_sets(texts.join(wanted, "doc_id", "left_semi")).withColumn("n_shingles", F.size("hashes").cast("long"))
+    with_sets = likely_there.join(sets, ["node", "n_shingles"])
+    return with_sets.groupBy("unit", "own", "low", "high").applyInArrow(linked_rows(percent), "a long, b long")
 
 
 def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -342,49 +402,63 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataF
             return labels
 
 
+def merged(spark: SparkSession, comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components (node, comp) after the links (a, b) between nodes."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(comp.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}")), end)
+    joined = components(spark, ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch)
+    top = joined.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    new = scratch.keep(comp.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "components")
+    scratch.drop(comp, joined)
+    return new
+
+
+def open_rows(keys: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of the keys that hold nodes of different components, with ``comp``."""
+    labelled = keys.drop("comp").join(comp, "node")
+    several = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    return scratch.keep(labelled.join(several, "key"), "open")
+
+
 def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Rows doc_id, n_shingles, component_id, kept."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "nearcopies")
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     every = scratch.keep(sketched(docs), "sketches")
-    full = every.where("n_shingles > 0")
-    best = F.min_by(F.struct("doc_id", "n_shingles", "sketch", "bands"), "doc_id").alias("x")
-    classes = full.groupBy("set_key").agg(best).select("set_key", F.col("x.doc_id").alias("node"), "x.n_shingles", "x.sketch", "x.bands")
+    full = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    best = F.min_by(F.struct("doc_id", "n_shingles", "sketch"), "doc_id").alias("x")
+    classes = full.groupBy("set_key").agg(best).select("set_key", F.col("x.doc_id").alias("node"), "x.n_shingles", "x.sketch")
     classes = scratch.keep(classes, "classes")
     nodes = classes.select("node", "n_shingles", "sketch")
-    keyed = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    keyed = banded(nodes)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("weight")).where("members > 1")
     keys = scratch.keep(keyed.join(sizes, "key"), "keys")
     home = scratch.keep(homes(keys), "homes")
-
-    residue = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
-    pivots = keys.groupBy("key", residue.alias("residue")).agg(F.min("node").alias("pivot")).select("key", "pivot")
-    met = keys.join(pivots, "key").where("node <> pivot")
-    pairs = met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-    near = scratch.keep(placed(likely(pairs, nodes, percent), home), "likely")
-    links = scratch.keep(confirmed(near, docs, percent), "links")
-    comp = components(spark, links, scratch)
-    scratch.drop(near, links)
-
-    labelled = with_component(keys, comp)
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    rest = scratch.keep(labelled.join(open_keys, "key"), "open")
-    sets = full_sets(docs.join(rest.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    sets = sets.withColumn("n_shingles", F.size("hashes").cast("long")).join(nodes, ["node", "n_shingles"])
-    links = scratch.keep(across_components(rest.join(sets, ["node", "n_shingles"]), percent), "links")
-    scratch.drop(keys, home, rest)
-    merged = links
-    for end in ("a", "b"):
-        merged = with_component(merged.withColumnRenamed(end, "node"), comp).drop("node").withColumnRenamed("comp", end)
-    joined = components(spark, merged, scratch)
-    top = joined.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-
-    by_class = with_component(classes.select("set_key", "node"), comp).join(top, "comp", "left")
-    by_class = by_class.select("set_key", F.coalesce("top", "comp").alias("comp"))
+    ids = home.select(F.col("node").alias("doc_id")).distinct()
+    texts = scratch.keep(docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi"), "texts")
+
+    comp = scratch.keep(ids.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("comp")), "components")
+    rows = open_rows(keys, comp, scratch)
+    for number in range(ROUNDS):
+        first = F.min_by(F.struct("node", "comp"), F.struct(F.xxhash64("node", F.lit(number)), "node")).alias("p")
+        pivots = rows.groupBy("key").agg(first).select("key", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
+        met = rows.join(pivots, "key").where("comp <> pivot_comp")
+        pairs = met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+        near = scratch.keep(placed(likely(pairs, nodes, percent), home), "likely")
+        links = scratch.keep(confirmed(near, texts, percent), "links")
+        comp = merged(spark, comp, links, scratch)
+        scratch.drop(rows, near, links)
+        rows = open_rows(keys, comp, scratch)
+    links = scratch.keep(across_components(rows, nodes, texts, percent, scratch), "links")
+    comp = merged(spark, comp, links, scratch)
+    scratch.drop(keys, home, rows, texts)
+
+    by_class = with_component(classes.select("set_key", "node"), comp).select("set_key", "comp")
     out = every.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
