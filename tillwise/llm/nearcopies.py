@@ -57,7 +57,7 @@ BROADCAST_IDS = 1_000_000
 # Rows of small keys that are compared in one task.
 UNIT = 4096
 # Rows and hashes of a key compared with one another at a time; nodes and hashes of one home.
-COMPARE_BLOCK, COMPARE_HASHES = 256, 1 << 20
+COMPARE_BLOCK, COMPARE_HASHES = 2048, 1 << 20
 CHECK_BLOCK, BLOCK_HASHES = 128, 1 << 15
 BASE = 0x9E3779B97F4A7C15
 FACTORS = np.random.Generator(np.random.PCG64(21)).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
