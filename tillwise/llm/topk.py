@@ -12,15 +12,20 @@ score is the limit, and all rows whose bound reaches it are possible members. Th
 search stops on proof only: when every possible member has been scored exactly.
 Blocks answer for themselves; the k best of a query over all blocks follow.
 
-Queries are held in blocks too, so a task sees one block of each, however many
-there are; nothing is broadcast or collected.
+Bounds and the search use float64 with a margin for its rounding. Possible members are
+rescored as integers: by float64 where no sum can reach 2^53, by 64-bit numbers where none
+can reach 2^63, and beyond by numbers of any length.
+
+Queries are held in blocks too. A block of rows meets the query blocks in parts of
+``QUERY_BLOCKS``: the join's key is the block and the part, so no key holds more than one block
+of rows and those query blocks; nothing is broadcast or collected.
 
 Defined results
 * vectors that are null, empty or hold null or non-finite numbers take no part, nor do null ids;
 * vectors of another length than the query's are not compared with it;
 * a query is not compared with rows of its own id; repeated rows are listed once each;
 * ties go to the smaller id; fewer than k rows: all; an empty table: no rows;
-* |1024 x| must stay under 2^31.
+* scores are exact 64-bit integers; a component or a score beyond 64 bits raises an error.
 """
 
 from __future__ import annotations
@@ -37,13 +42,18 @@ from tillwise.llm.common import Scratch
 SCALE = 1024
 BLOCK = 4096
 QUERY_BLOCK = 512
+QUERY_BLOCKS = 32
 SEGMENTS = 16
 #: Shares of the posting segments that are processed when a round ends.
 ROUNDS = (0.25, 0.5, 1.0)
 
 
 def integers(vector: Column, scale: int = SCALE) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    def whole(x: Column) -> Column:
+        scaled = x.cast("double") * scale
+        return F.when(F.abs(scaled) < 2.0**63, F.floor(scaled).cast("long")).otherwise(F.raise_error(F.lit("a component is beyond 64 bits")).cast("long"))
+
+    return F.transform(vector, whole)
 
 
 def usable(vector: Column) -> Column:
@@ -51,41 +61,55 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(sound, F.lit(False))
 
 
-def in_blocks(rows: DataFrame, size: int, per: str) -> DataFrame:
-    """Rows (id, v) as blocks (dim, block, ids, values) of about ``size`` rows of one length."""
+def in_blocks(rows: DataFrame, size: int, per: str) -> tuple[DataFrame, int]:
+    """Rows (id, v) as blocks (dim, block, ids, values) of about ``size`` rows of one length; and how many there may be."""
     count = rows.count()
     number = max(1, -(-count // size))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
-        values = np.stack(frame["v"].to_numpy()).astype("<i4")
+        values = np.stack(frame["v"].to_numpy()).astype("<i8")
         ids = frame["id"].to_numpy().astype("<i8")
         return pd.DataFrame({"dim": [values.shape[1]], per: [frame[per].iloc[0]], f"{per}_ids": [ids.tobytes()], f"{per}_values": [values.tobytes()]})
 
     dealt = rows.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(number)).alias(per))
-    return dealt.groupBy("dim", per).applyInPandas(pack, f"dim int, {per} long, {per}_ids binary, {per}_values binary")
+    return dealt.groupBy("dim", per).applyInPandas(pack, f"dim int, {per} long, {per}_ids binary, {per}_values binary"), number
 
 
 class Index:
     """Posting segments of one block."""
 
     def __init__(self, values: np.ndarray) -> None:
-        self.values = values.astype(np.float64)  # exact: scores stay far below 2^53
+        self.whole, self.values = values, values.astype(np.float64)
         n, self.dim = values.shape
+        self.most = np.abs(self.values).max(axis=0)
         self.segments = min(SEGMENTS, n)
         order = np.argsort(-values, axis=0, kind="stable")
         edges = np.linspace(0, n, self.segments + 1).astype(int)
-        sorted_values = np.take_along_axis(self.values, order, axis=0)
+        sorted_values = np.take_along_axis(self.values, order, axis=0)  # the same order, as float64 is monotone
         self.high = sorted_values[edges[:-1]].T  # dim x segments
         self.low = sorted_values[edges[1:] - 1].T
         run = np.repeat(np.arange(self.segments), np.diff(edges))
         self.segment = np.empty((self.dim, n), dtype=np.intp)
         np.put_along_axis(self.segment, order.T, np.broadcast_to(run, (self.dim, n)), axis=1)
 
+    def exact(self, rows: np.ndarray, query: np.ndarray, reach: float) -> np.ndarray:
+        """Integer scores; ``reach``: no sum of products of this block and query is larger."""
+        if reach < 2.0**52:
+            return (self.values[rows] @ query.astype(np.float64)).astype(np.int64)
+        if reach < 2.0**62:
+            return self.whole[rows] @ query
+        scores = self.whole[rows].astype(object) @ query.astype(object)
+        if any(abs(x) >= 1 << 63 for x in scores):
+            raise OverflowError("a score is beyond 64 bits")
+        return scores.astype(np.int64)
+
     def search(self, query: np.ndarray, k: int, barred: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows that may be among the k best, with their exact scores; the k best are among them."""
         n = len(self.values)
         q = query.astype(np.float64)
+        reach = float(np.abs(q) @ self.most)
+        margin = 0.0 if reach < 2.0**52 else reach * (self.dim + 2) * 2.0**-52  # of a sum in float64
         impact = np.where(q[:, None] >= 0, q[:, None] * self.high, q[:, None] * self.low)
         gain = impact - impact.min(axis=1, keepdims=True)
         ranked = np.argsort(-gain, axis=None, kind="stable")
@@ -109,14 +133,14 @@ class Index:
                 done[first] = True
             scored = score[done & ~barred]
             if len(scored) >= k:
-                limit = np.partition(scored, len(scored) - k)[len(scored) - k]
+                limit = np.partition(scored, len(scored) - k)[len(scored) - k] - 2 * margin
             possible = np.flatnonzero((most >= limit) & ~done)
             if len(possible) <= n // 16 or share == ROUNDS[-1]:
                 score[possible] = self.values[possible] @ q
                 done[possible] = True
                 break
-        members = np.flatnonzero(done & ~barred)
-        return members, score[members].astype(np.int64)
+        members = np.flatnonzero(done & ~barred & (score >= limit - 2 * margin))
+        return members, self.exact(members, query, reach)
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -126,9 +150,13 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """Rows query_id, rank, vec_id, score. ``vectors`` and ``queries``: id (long) and v (array of long)."""
     scratch = Scratch(vectors.sparkSession, "topk")
-    held = scratch.keep(in_blocks(vectors, block, "block"), "index")
-    asked = scratch.keep(in_blocks(queries, query_block, "query"), "queries")
-    pairs = held.join(asked, "dim")
+    held, blocks = in_blocks(vectors, block, "block")
+    asked, query_blocks = in_blocks(queries, query_block, "query")
+    parts = -(-query_blocks // QUERY_BLOCKS)
+    held = scratch.keep(held, "index").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = scratch.keep(asked, "queries").withColumn("part", F.pmod("query", F.lit(parts)).cast("int"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    pairs = held.join(asked, ["dim", "block", "part"])
 
     def search(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, index = None, None
@@ -136,18 +164,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOC
             for row in frame.itertuples():
                 ids = np.frombuffer(row.block_ids, "<i8")
                 if last != (row.dim, row.block):
-                    last, index = (row.dim, row.block), Index(np.frombuffer(row.block_values, "<i4").reshape(-1, row.dim))
+                    last, index = (row.dim, row.block), Index(np.frombuffer(row.block_values, "<i8").reshape(-1, row.dim))
                 query_ids = np.frombuffer(row.query_ids, "<i8")
                 found = []
-                for query_id, q in zip(query_ids.tolist(), np.frombuffer(row.query_values, "<i4").reshape(-1, row.dim)):
+                for query_id, q in zip(query_ids.tolist(), np.frombuffer(row.query_values, "<i8").reshape(-1, row.dim)):
                     members, scores = index.search(q, k, ids == query_id)
                     top = best(ids[members], scores, k)
                     found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[members][top], "score": scores[top]}))
                 yield pd.concat(found)
 
-    # one row is one block against one block of queries: its own task's work
-    work = pairs.repartition(F.col("dim"), F.col("block"), F.col("query"))
-    found = work.mapInPandas(search, "query_id long, vec_id long, score long")
+    found = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
