@@ -21,8 +21,8 @@ import unicodedata
 import numpy as np
 from tokenizers import Tokenizer
 
-BATCH_CHARS = 2_000_000
-PIECES = 1_500_000
+BATCH_CHARS = 500_000
+PIECES = 500_000
 # The endings which the vocabulary's pattern cuts off after an apostrophe, in its order.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
