@@ -2,6 +2,14 @@
 
 Each stage reads what the one before it kept, written as Parquet in the shared
 folder; all but the last return the columns of ``documents``.
+
+Defined results, of every stage
+* null texts are empty ones: never poor, toxic, repeated, near or contaminated by
+  themselves, they are judged like other texts without words; packing gives them one piece;
+* a null id is an id of its own; near copies never drop a row without id;
+* repeated rows fall together as far as a stage compares texts, and each is its own
+  document where it does not; an empty table goes through all stages to no rows;
+* extra columns go through the first four stages as they are.
 """
 
 from __future__ import annotations
@@ -51,6 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table ``documents``: the packed pieces of the documents that are left."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:

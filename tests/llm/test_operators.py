@@ -118,7 +118,7 @@ def test_near_copies_in_odd_cases(spark):
     assert near_copy_groups(docs.limit(0)).count() == 0
 
 
-def test_line_runs_by_brute_force(spark, sf_dir, texts):
+def test_line_runs_by_brute_force(spark, texts):
     windows, first, gone = [], {}, collections.defaultdict(set)
     for i in sorted(texts):
         lines = [(k, x.strip(" ")) for k, x in enumerate(texts[i].split("\n")) if x.strip(" ")]
@@ -130,10 +130,9 @@ def test_line_runs_by_brute_force(spark, sf_dir, texts):
     for key, at, places in windows:
         if at > first[key]:
             gone[at[0]].update(places)
-    got = {r["doc_id"]: r["kept_sha256"] for r in QUERIES["op7_line_dedup"](spark, sf_dir).collect()}
-    for i, t in texts.items():
-        kept = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
-        assert got[i] == hashlib.sha256(kept.encode()).hexdigest()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(docs, words=None).collect()}
+    assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in texts.items()}
 
 
 def test_line_runs_in_odd_cases(spark):
@@ -155,7 +154,7 @@ def test_long_lines_between_different_neighbours(spark):
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, "").collect()} == {i: t for i, t in want.items() if t}
 
 
-def test_line_runs_by_words_by_brute_force(spark, texts):
+def test_line_runs_by_words_by_brute_force(spark, sf_dir, texts):
     first, windows, gone = {}, [], collections.defaultdict(set)
     for i in sorted(texts):
         lines = [(k, x.strip(" ")) for k, x in enumerate(texts[i].split("\n")) if x.strip(" ")]
@@ -171,7 +170,10 @@ def test_line_runs_by_words_by_brute_force(spark, texts):
             gone[at[0]].update(places)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in dedup_lines(docs).collect()}
-    assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in texts.items()}
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in texts.items()}
+    assert got == want
+    registered = {r["doc_id"]: r["kept_sha256"] for r in QUERIES["op7_line_dedup"](spark, sf_dir).collect()}
+    assert registered == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
 
 
 def test_packing_round_trip(spark, sf_dir, texts):

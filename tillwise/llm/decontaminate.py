@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.common import Scratch, ascii_lower
+from tillwise.llm.common import ascii_lower, fresh, Scratch
 
 WINDOW = 13
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -148,6 +148,7 @@ def decontamination_report(
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Take whole documents out that the rule of ``decontamination_report`` calls contaminated; the rest as it was."""
     bad = decontamination_report(documents, benchmark, id_col, text_col, **options).where("contaminated")
-    bad = bad.select(F.col("doc_id").alias("__own_id"), F.col("text_hash").alias("__own_hash"))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__own_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__own_hash"))
+    own_id, own_hash = fresh(documents, "__own_id"), fresh(documents, "__own_hash")
+    bad = bad.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(own_hash))
     return documents.join(bad, same, "left_anti")

@@ -21,7 +21,7 @@ Defined results
   ``short`` is set (the default): a repeated short text loses all lines;
 * null text stays null; a text all of whose lines go becomes the empty text;
 * null ids come last in the order; rows with equal id and text count as one text;
-  extra columns are kept.
+  extra columns are kept, whatever their names; a text of any length counts whole.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.common import Scratch
+from tillwise.llm.common import Scratch, fresh
 
 RUN = 3
 WORDS = 50
@@ -84,9 +84,10 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     return later.select("doc_id", "text_hash", F.explode("places").alias("place")).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
-def without_lines(text: Column, places: Column) -> Column:
-    """The text without the numbered lines."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(places, i)), "\n")
+def without_lines(lines: Column, places: Column) -> Column:
+    """The text of the lines whose numbers are not among the places."""
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)  # by a hash set: places may be many
+    return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
 
 def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, short: bool = True, emptied: bool = True, words: int | None = WORDS) -> DataFrame:
@@ -95,12 +96,13 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``emptied``: keep texts that lose all their lines, as empty ones, or leave them out;
     ``words``: None counts runs of ``run`` lines only.
     """
+    own_id, own_hash, own_places, own_lines, own_text = (fresh(documents, f"__own_{n}") for n in ("id", "hash", "places", "lines", "text"))
     gone = repeated_lines(documents, id_col, text_col, run, short, words)
-    gone = gone.select(F.col("doc_id").alias("__own_id"), F.col("text_hash").alias("__own_hash"), F.col("places").alias("__own_places"))
-    text = F.col(f"`{text_col}`")
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__own_id")) & (F.xxhash64(text) == F.col("__own_hash"))
-    joined = documents.join(gone, same, "left")
-    new = F.when(F.col("__own_places").isNull(), text).otherwise(without_lines(text, F.col("__own_places")))
+    gone = gone.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("places").alias(own_places))
+    text, places = F.col(f"`{text_col}`"), F.col(own_places)
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_hash))
+    joined = documents.join(gone, same, "left").withColumn(own_lines, F.when(places.isNotNull(), F.split(text, "\n")))
+    joined = joined.withColumn(own_text, F.when(places.isNull(), text).otherwise(without_lines(F.col(own_lines), places)))
     if not emptied:
-        joined = joined.where(F.col("__own_places").isNull() | (F.trim(without_lines(text, F.col("__own_places"))) != ""))
-    return joined.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in documents.columns])
+        joined = joined.where(places.isNull() | (F.trim(own_text) != ""))
+    return joined.select(*[F.col(own_text).alias(c) if c == text_col else F.col(f"`{c}`") for c in documents.columns])

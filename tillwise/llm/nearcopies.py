@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm.common import Scratch
+from tillwise.llm.common import Scratch, fresh
 
 SHINGLE = 5
 PERCENT = 75
@@ -468,5 +468,6 @@ def with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
 
 def keep_one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents, of each group of near copies the one with the smallest id."""
-    gone = near_copy_groups(documents, id_col, text_col, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__own_id"))
-    return documents.join(gone, F.col(f"`{id_col}`") == F.col("__own_id"), "left_anti")
+    own_id = fresh(documents, "__own_id")
+    gone = near_copy_groups(documents, id_col, text_col, percent).where(~F.col("kept")).select(F.col("doc_id").alias(own_id))
+    return documents.join(gone, F.col(f"`{id_col}`") == F.col(own_id), "left_anti")

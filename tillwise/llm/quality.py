@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.common import Scratch
+from tillwise.llm.common import Scratch, fresh
 
 SAMPLE = 20_000
 WORDS = 300
@@ -239,9 +239,10 @@ def quality_scores(
 def keep_good(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that are likely good (p_quality over 1/2) and not toxic (p_toxic up to 1/2); columns as they are."""
     scores = quality_scores(documents, labels, id_col, text_col, **options)
-    bad = scores.where(rejected()).select(F.col("doc_id").alias("__own_id"), F.col("text_hash").alias("__own_hash"))
+    own_id, own_hash = fresh(documents, "__own_id"), fresh(documents, "__own_hash")
+    bad = scores.where(rejected()).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash))
     text = F.col(f"`{text_col}`")
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__own_id")) & (F.xxhash64(text) == F.col("__own_hash"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_hash))
     return documents.join(bad, same, "left_anti")
 
 
