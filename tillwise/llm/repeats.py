@@ -5,18 +5,23 @@ smallest 20-byte hash is the same form a segment, and the segment stands in the
 index by that hash. Equal windows have equal smallest hashes, so a window can only
 be repeated where its segment's hash is.
 
+A text that a smaller document has as a whole is removed at once (128 bits of hash)
+and neither stored nor indexed: what it could repeat stands in that document too.
+
 1. Each batch of documents becomes a run: its hashes, dealt to buckets. In a bucket
    runs are put in order and go into a logarithmic family: a new run is merge-scanned
    against the sorted levels there are, and levels of equal size merge, so each hash
    is moved a logarithmic number of times. Hashes that met go back to their documents.
    A passage on a third of all documents is one entry per run.
 2. Documents list their segments with such a hash. A segment whose whole text begins
-   in a smaller document is removed.
+   in a smaller document is removed: at once where that lies in the same batch,
+   as intervals, the others by one grouping of all batches.
 3. Hashes with several segment texts (a repeat that begins or ends inside) are
    settled window by window, for the first document of each text only.
 
-Texts are held once as a table bucketed by document, so the steps join what they
-found to the texts without moving these again.
+Texts are held once, bucketed by document, so the steps join what they found to the
+texts without moving these again. Buckets hold ``BUCKET`` bytes of text on average,
+one for each shuffle partition at least; a task sorts the hashes of a fourth of one.
 
 The order of the levels is that of the hashes of the suffixes' leading strings, not
 of the bytes: equal strings are neighbours either way, and hashes are dealt evenly.
@@ -24,7 +29,10 @@ of the bytes: equal strings are neighbours either way, and hashes are dealt even
 Defined results
 * null or short text (under 50 bytes): nothing removed, nothing found in it;
 * rows that share an id never repeat each other, and each keeps its own result;
-* null ids are left out; an empty table gives no rows; extra columns are ignored.
+* rows with a null id are no earlier and no later than others: they keep all their
+  bytes and nothing is removed for them;
+* texts of over ``CHUNK`` bytes are cut in overlapping parts, with the same result;
+* an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,6 +53,8 @@ from tillwise.llm.common import Scratch, partitions
 LENGTH = 50
 GRAM = 20
 CHUNK = 1 << 20
+BUCKET = 64 << 20
+SETTLE = 1 << 18
 BASE = 0xD6E8FEB86659FD93
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -210,13 +220,32 @@ def local_marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def segments(marked: DataFrame) -> DataFrame:
-    """Step 2. (doc_id, text, hashes, h) to rows (doc_id, h, hash, lo, count, whole): the segments with such a hash."""
+    """Step 2. (doc_id, text, hashes, h) to rows (doc_id, h, hash, lo, count, whole): the segments with such a hash.
+
+    Segments that a smaller document of the batch has too come as intervals, with a null hash.
+    """
+    names = ["doc_id", "h", "hash", "lo", "count", "whole"]
+
+    def settled(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        doc, own, h, lo, count, whole = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((doc, count, whole, h))
+        doc, own, h, lo, count, whole = (x[order] for x in (doc, own, h, lo, count, whole))
+        head = np.ones(len(h), dtype=bool)
+        head[1:] = (h[1:] != h[:-1]) | (whole[1:] != whole[:-1]) | (count[1:] != count[:-1])
+        least = doc[np.flatnonzero(head)][np.cumsum(head) - 1]
+        later = doc > least
+        yield pa.RecordBatch.from_arrays([pa.array(x[~later]) for x in (doc, own, h, lo, count, whole)], names)
+        gone = spans(doc[later], own[later], lo[later], lo[later] + count[later] + LENGTH - 1)
+        nothing = pa.nulls(len(gone), pa.int64())
+        count = gone["end"] - gone["start"] - LENGTH + 1
+        yield pa.RecordBatch.from_arrays([pa.array(gone["doc_id"]), pa.array(gone["h"]), nothing, pa.array(gone["start"]), pa.array(count), nothing], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
             own = np.array(batch.column(3).to_pylist(), dtype=np.int64)
             marks = [np.sort(np.array(m, dtype=np.int64).view(np.uint64)) for m in batch.column(2).to_pylist()]
+            parts, total = [], 0
             for first, c in cuts(batch.column(1).to_pylist()):
                 keep = np.zeros(len(c.hash), dtype=bool)
                 edge = np.searchsorted(c.doc, np.arange(len(c.ends) + 1))
@@ -227,8 +256,13 @@ def segments(marked: DataFrame) -> DataFrame:
                 if keep.any():
                     whole = c.strings(c.place[keep], c.count[keep] + LENGTH - 1)
                     doc = c.doc[keep] + first
-                    columns = [ids[doc], own[doc], c.hash[keep].view(np.int64), c.lo[keep], c.count[keep], whole.view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "h", "hash", "lo", "count", "whole"])
+                    parts.append((ids[doc], own[doc], c.hash[keep].view(np.int64), c.lo[keep], c.count[keep], whole.view(np.int64)))
+                    total += len(doc)
+                if total >= SETTLE:
+                    yield from settled(parts)
+                    parts, total = [], 0
+            if parts:
+                yield from settled(parts)
 
     return marked.mapInArrow(run, "doc_id long, h long, hash long, lo long, count long, whole long")
 
@@ -291,15 +325,20 @@ def later_windows(one: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def spans(doc: np.ndarray, own: np.ndarray, start: np.ndarray, end: np.ndarray) -> pd.DataFrame:
+    """Intervals as rows (doc_id, h, start, end), those that touch put together; ends are in the order of starts."""
+    order = np.lexsort((start, own, doc))
+    doc, own, start, end = doc[order], own[order], start[order], end[order]
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]) | (start[1:] > end[:-1])
+    begin = np.flatnonzero(new)
+    last = np.append(begin[1:], len(start))[: len(begin)] - 1
+    return pd.DataFrame({"doc_id": doc[begin], "h": own[begin], "start": start[begin], "end": end[last]})
+
+
 def intervals(doc: np.ndarray, own: np.ndarray, at: np.ndarray) -> pd.DataFrame:
     """Windows as rows (doc_id, h, start, end), neighbours put together."""
-    order = np.lexsort((at, own, doc))
-    doc, own, at = doc[order], own[order], at[order]
-    new = np.ones(len(at), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]) | (at[1:] > at[:-1] + LENGTH)
-    begin = np.flatnonzero(new)
-    last = np.append(begin[1:], len(at))[: len(begin)] - 1
-    return pd.DataFrame({"doc_id": doc[begin], "h": own[begin], "start": at[begin], "end": at[last] + LENGTH})
+    return spans(doc, own, at, at + LENGTH)
 
 
 def numbers(frame: pd.DataFrame, *names: str) -> list[np.ndarray]:
@@ -344,34 +383,64 @@ def digest(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+def whole_copies(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Rows doc_id, h, size whose whole text a smaller document has; how many bytes all texts have."""
+    text = F.col("text")
+    sizes = scratch.keep(docs.select("doc_id", "h", F.xxhash64(F.lit(1), text).alias("g"), F.octet_length(text).cast("long").alias("size")), "sizes")
+    groups = sizes.where(F.col("size") >= LENGTH).groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    copies = sizes.join(groups, ["h", "g"]).where("doc_id > least").select("doc_id", "h", "size")
+    return scratch.keep(copies, "copies"), sizes.agg(F.sum("size")).first()[0] or 0
+
+
+def bucketed(docs: DataFrame, scratch: Scratch, n: int) -> DataFrame:
+    """The rows in ``n`` buckets by doc_id, in files that no table of the catalog names any more."""
+    name = f"repeats_{uuid.uuid4().hex}"
+    docs.write.option("compression", "zstd").option("path", scratch.path("texts")).bucketBy(n, "doc_id").sortBy("doc_id").saveAsTable(name)
+    held = docs.sparkSession.table(name)
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    return held
+
+
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes)."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "repeats")
-    parts = partitions(spark)
-    name = f"repeats_{uuid.uuid4().hex}"
     text = F.col(f"`{text_col}`")
-    docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).where("doc_id is not null")
-    docs.repartition(parts, "doc_id").write.option("compression", "zstd").bucketBy(parts, "doc_id").sortBy("doc_id").saveAsTable(name)
-    texts = spark.table(name)
-    held = scratch.keep(runs(texts.select("doc_id", "text"), 4 * parts), "runs")
-    met = held.where("bucket >= 0").groupBy("bucket").applyInPandas(meet, "doc_id long, hash long")
+    every = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    docs = every.where("doc_id is not null")
+    copies, total = whole_copies(docs, scratch)
+    n = max(partitions(spark), -(-total // BUCKET))
+
+    def by(df: DataFrame, key: str) -> DataFrame:
+        return df.repartition(n, key)
+
+    left_out = copies.groupBy("doc_id").agg(F.collect_set("h").alias("copied"))
+    docs = by(docs, "doc_id").join(left_out, "doc_id", "left").where("copied is null or not array_contains(copied, h)")
+    texts = bucketed(docs.select("doc_id", "text", "h"), scratch, n)
+    held = scratch.keep(runs(texts.select("doc_id", "text"), 4 * n), "runs")
+    met = by(held.where("bucket >= 0"), "bucket").groupBy("bucket").applyInPandas(meet, "doc_id long, hash long")
     local = held.where("bucket < 0").select("hashes", "local").mapInArrow(local_marks, "doc_id long, hash long")
-    marks = met.union(local).groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
+    marks = by(met.union(local), "doc_id").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
     found = scratch.keep(segments(texts.join(marks, "doc_id").select("doc_id", "text", "hashes", "h")), "segments")
     scratch.drop(held)
     key = ["hash", "whole", "count"]
-    first = scratch.keep(found.groupBy(*key).agg(F.min("doc_id").alias("least")), "first")
-    later = found.join(first, key)
+    open_ = found.where("hash is not null")
+    first = scratch.keep(open_.groupBy(*key).agg(F.min("doc_id").alias("least")), "first")
+    later = open_.join(first, key)
     several = first.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", F.lit(True).alias("several"))
     # a segment is either whole in a smaller document, or the first with its text: then it matters whether the hash has others
-    judged = scratch.keep(later.join(several, "hash", "left").where("doc_id > least or several").select("doc_id", "h", "lo", "count", (F.col("doc_id") > F.col("least")).alias("whole")), "judged")
+    judged = later.join(several, "hash", "left").where("doc_id > least or several").select("doc_id", "h", "lo", "count", (F.col("doc_id") > F.col("least")).alias("whole"))
+    judged = scratch.keep(judged.union(found.where("hash is null").select("doc_id", "h", "lo", "count", F.lit(True))), "judged")
     scratch.drop(found, first)
     gone = judged.where("whole").select("doc_id", "h", F.col("lo").alias("start"), (F.col("lo") + F.col("count") + LENGTH - 1).alias("end"))
-    asked = judged.where("not whole").groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "count")).alias("places"))
-    each = scratch.keep(windows(texts.join(asked, "doc_id").select("doc_id", "text", "h", "places"), 4 * parts), "windows")
-    spans = "doc_id long, h long, start long, end long"
-    gone = gone.union(each.where("bucket >= 0").groupBy("bucket").applyInPandas(compare, spans))
-    gone = gone.union(each.where("bucket < 0").mapInPandas(known_windows, spans))
-    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "end")).alias("gone"))
-    return digest(texts.join(gone, "doc_id", "left").select("doc_id", "text", "h", "gone"))
+    asked = by(judged.where("not whole"), "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "count")).alias("places"))
+    each = scratch.keep(windows(texts.join(asked, "doc_id").select("doc_id", "text", "h", "places"), 4 * n), "windows")
+    kind = "doc_id long, h long, start long, end long"
+    gone = gone.union(by(each.where("bucket >= 0"), "bucket").groupBy("bucket").applyInPandas(compare, kind))
+    gone = gone.union(each.where("bucket < 0").mapInPandas(known_windows, kind))
+    gone = by(gone, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "end")).alias("gone"))
+    judged_texts = texts.join(gone, "doc_id", "left").select("doc_id", "text", "h", "gone")
+    without_id = every.where("doc_id is null").select("doc_id", "text", "h", F.lit(None).cast(judged_texts.schema["gone"].dataType).alias("gone"))
+    empty = F.lit(b"")
+    whole = copies.select("doc_id", F.col("size").alias("n_bytes"), F.col("size").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(empty, 256).alias("kept_sha256"), empty.alias("kept"))
+    return digest(judged_texts.union(without_id)).union(whole)
