@@ -15,7 +15,7 @@ and neither stored nor indexed: what it could repeat stands in that document too
    A passage on a third of all documents is one entry per run.
 2. Documents list their segments with such a hash. A segment whose whole text begins
    in a smaller document is removed: at once where that lies in the same batch,
-   as intervals, the others by one grouping of all batches.
+   as intervals, the others by one grouping of all batches by hash.
 3. Hashes with several segment texts (a repeat that begins or ends inside) are
    settled window by window, for the first document of each text only.
 
@@ -45,7 +45,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise.llm.common import Scratch, partitions
@@ -423,15 +423,15 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     marks = by(met.union(local), "doc_id").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
     found = scratch.keep(segments(texts.join(marks, "doc_id").select("doc_id", "text", "hashes", "h")), "segments")
     scratch.drop(held)
-    key = ["hash", "whole", "count"]
-    open_ = found.where("hash is not null")
-    first = scratch.keep(open_.groupBy(*key).agg(F.min("doc_id").alias("least")), "first")
-    later = open_.join(first, key)
-    several = first.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", F.lit(True).alias("several"))
-    # a segment is either whole in a smaller document, or the first with its text: then it matters whether the hash has others
-    judged = later.join(several, "hash", "left").where("doc_id > least or several").select("doc_id", "h", "lo", "count", (F.col("doc_id") > F.col("least")).alias("whole"))
+    # a segment is either whole in a smaller document, or the first with its text: then it matters whether the hash has others;
+    # batches have settled what they hold, so a hot hash has a few rows of each batch
+    text_of = F.struct("whole", "count")
+    each_hash, each_text = Window.partitionBy("hash"), Window.partitionBy("hash", "whole", "count")
+    judged = by(found.where("hash is not null"), "hash").withColumn("least", F.min("doc_id").over(each_text))
+    judged = judged.withColumn("several", F.min(text_of).over(each_hash) < F.max(text_of).over(each_hash)).where("doc_id > least or several")
+    judged = judged.select("doc_id", "h", "lo", "count", (F.col("doc_id") > F.col("least")).alias("whole"))
     judged = scratch.keep(judged.union(found.where("hash is null").select("doc_id", "h", "lo", "count", F.lit(True))), "judged")
-    scratch.drop(found, first)
+    scratch.drop(found)
     gone = judged.where("whole").select("doc_id", "h", F.col("lo").alias("start"), (F.col("lo") + F.col("count") + LENGTH - 1).alias("end"))
     asked = by(judged.where("not whole"), "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "count")).alias("places"))
     each = scratch.keep(windows(texts.join(asked, "doc_id").select("doc_id", "text", "h", "places"), 4 * n), "windows")
