@@ -388,7 +388,7 @@ def whole_copies(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     text = F.col("text")
     sizes = scratch.keep(docs.select("doc_id", "h", F.xxhash64(F.lit(1), text).alias("g"), F.octet_length(text).cast("long").alias("size")), "sizes")
     groups = sizes.where(F.col("size") >= LENGTH).groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = sizes.join(groups, ["h", "g"]).where("doc_id > least").select("doc_id", "h", "size")
+    copies = sizes.join(scratch.keep(groups, "groups"), ["h", "g"]).where("doc_id > least").select("doc_id", "h", "size")
     return scratch.keep(copies, "copies"), sizes.agg(F.sum("size")).first()[0] or 0
 
 
