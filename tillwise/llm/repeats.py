@@ -270,8 +270,9 @@ def segments(marked: DataFrame) -> DataFrame:
 def windows(asked: DataFrame, buckets: int) -> DataFrame:
     """Step 3, batch side. (doc_id, text, h, places) to rows (bucket, one, doc, h, at), as bytes.
 
-    Bucket -1 holds windows that a smaller document of the batch has too; of the
-    others each window's smallest document goes on to be compared with other batches.
+    Windows that a smaller document of the batch has too are put together to intervals in
+    bucket -1 (one: end, at: start); each window's smallest document of the batch goes on
+    to be compared with other batches.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +296,11 @@ def windows(asked: DataFrame, buckets: int) -> DataFrame:
                 continue
             one, doc, h, at = (np.concatenate(x) for x in (ones, docs, own, places))
             later = later_windows(one, doc)
-            bucket = np.where(later, -1, (one % np.uint64(buckets)).astype(np.int64))
+            gone = spans(doc[later], h[later], at[later], at[later] + LENGTH)
+            blobs = [pa.array([gone[c].to_numpy().tobytes()], pa.binary()) for c in ("end", "doc_id", "h", "start")]
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), *blobs], ["bucket", "one", "doc", "own", "at"])
+            one, doc, h, at = (x[~later] for x in (one, doc, h, at))
+            bucket = (one % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             names, edge = np.unique(bucket[order], return_index=True)
             edge = np.append(edge, len(order))
@@ -352,10 +357,11 @@ def compare(frame: pd.DataFrame) -> pd.DataFrame:
     return intervals(doc[later], own[later], at[later])
 
 
-def known_windows(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def known_spans(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for i in range(len(frame)):
-            yield intervals(*numbers(frame.iloc[i : i + 1], "doc", "own", "at"))
+            end, doc, own, start = numbers(frame.iloc[i : i + 1], "one", "doc", "own", "at")
+            yield pd.DataFrame({"doc_id": doc, "h": own, "start": start, "end": end.view(np.int64)})
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -437,7 +443,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     each = scratch.keep(windows(texts.join(asked, "doc_id").select("doc_id", "text", "h", "places"), 4 * n), "windows")
     kind = "doc_id long, h long, start long, end long"
     gone = gone.union(by(each.where("bucket >= 0"), "bucket").groupBy("bucket").applyInPandas(compare, kind))
-    gone = gone.union(each.where("bucket < 0").mapInPandas(known_windows, kind))
+    gone = gone.union(each.where("bucket < 0").mapInPandas(known_spans, kind))
     gone = by(gone, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "end")).alias("gone"))
     judged_texts = texts.join(gone, "doc_id", "left").select("doc_id", "text", "h", "gone")
     without_id = every.where("doc_id is null").select("doc_id", "text", "h", F.lit(None).cast(judged_texts.schema["gone"].dataType).alias("gone"))
