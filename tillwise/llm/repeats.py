@@ -268,12 +268,13 @@ def segments(marked: DataFrame) -> DataFrame:
 
 
 def windows(asked: DataFrame, buckets: int) -> DataFrame:
-    """Step 3, batch side. (doc_id, text, h, places) to rows (bucket, one, doc, h, at), as bytes.
+    """Step 3, batch side. (doc_id, text, h, places) to rows (bucket, known, one, doc, own, at), as bytes, all but one packed.
 
-    Windows that a smaller document of the batch has too are put together to intervals in
-    bucket -1 (one: end, at: start); each window's smallest document of the batch goes on
+    Windows that a smaller document of the batch has too are put together to known intervals
+    (one: end, at: start), in any bucket; each window's smallest document of the batch goes on
     to be compared with other batches.
     """
+    names = ["bucket", "known", "one", "doc", "own", "at"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,18 +298,18 @@ def windows(asked: DataFrame, buckets: int) -> DataFrame:
             one, doc, h, at = (np.concatenate(x) for x in (ones, docs, own, places))
             later = later_windows(one, doc)
             gone = spans(doc[later], h[later], at[later], at[later] + LENGTH)
-            blobs = [pa.array([gone[c].to_numpy().tobytes()], pa.binary()) for c in ("end", "doc_id", "h", "start")]
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), *blobs], ["bucket", "one", "doc", "own", "at"])
+            if len(gone):
+                blobs = [pa.array([x], pa.binary()) for x in (gone["end"].to_numpy().tobytes(), *(packed(gone[c].to_numpy()) for c in ("doc_id", "h", "start")))]
+                yield pa.RecordBatch.from_arrays([pa.array([int(gone["doc_id"][0]) % buckets], pa.int64()), pa.array([True]), *blobs], names)
             one, doc, h, at = (x[~later] for x in (one, doc, h, at))
             bucket = (one % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            names, edge = np.unique(bucket[order], return_index=True)
-            edge = np.append(edge, len(order))
-            parts = [order[edge[k] : edge[k + 1]] for k in range(len(names))]
-            blobs = [pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (one, doc, h, at)]
-            yield pa.RecordBatch.from_arrays([pa.array(names), *blobs], ["bucket", "one", "doc", "own", "at"])
+            found, edge = np.unique(bucket[order], return_index=True)
+            parts = np.split(order, edge[1:])
+            blobs = [pa.array([one[p].tobytes() for p in parts], pa.binary()), *(pa.array([packed(x[p]) for p in parts], pa.binary()) for x in (doc, h, at))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([False] * len(found)), *blobs], names)
 
-    return asked.mapInArrow(run, "bucket long, one binary, doc binary, own binary, at binary")
+    return asked.mapInArrow(run, "bucket long, known boolean, one binary, doc binary, own binary, at binary")
 
 
 def window_hashes(data: bytes, at: np.ndarray) -> np.ndarray:
@@ -346,22 +347,33 @@ def intervals(doc: np.ndarray, own: np.ndarray, at: np.ndarray) -> pd.DataFrame:
     return spans(doc, own, at, at + LENGTH)
 
 
-def numbers(frame: pd.DataFrame, *names: str) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(frame[n]), np.uint64 if n == "one" else np.int64) for n in names]
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers as their steps, byte by byte: runs of one document and of neighbouring places become short."""
+    steps = np.diff(x, prepend=np.int64(0)).astype("<i8")
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
-def compare(frame: pd.DataFrame) -> pd.DataFrame:
-    """Step 3, bucket side: the windows of a bucket that a smaller document has too."""
-    one, doc, own, at = numbers(frame, "one", "doc", "own", "at")
-    later = later_windows(one, doc)
-    return intervals(doc[later], own[later], at[later])
+def unpacked(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view("<i8").ravel())
+
 
+def numbers(frame: pd.DataFrame) -> list[np.ndarray]:
+    """Rows of packed windows or intervals as arrays one, doc, own, at."""
+    others = [np.concatenate([np.zeros(0, np.int64), *map(unpacked, frame[n])]) for n in ("doc", "own", "at")]
+    return [np.frombuffer(b"".join(frame["one"]), np.uint64), *others]
 
-def known_spans(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for i in range(len(frame)):
-            end, doc, own, start = numbers(frame.iloc[i : i + 1], "one", "doc", "own", "at")
-            yield pd.DataFrame({"doc_id": doc, "h": own, "start": start, "end": end.view(np.int64)})
+
+def compare(frame: pd.DataFrame) -> pd.DataFrame:
+    """Step 3, bucket side: the windows of a bucket that a smaller document has too, and the known intervals."""
+    known = frame["known"].to_numpy(dtype=bool)
+    end, doc, own, start = numbers(frame[known])
+    settled = pd.DataFrame({"doc_id": doc, "h": own, "start": start, "end": end.view(np.int64)})
+    one, doc, own, at = numbers(frame[~known])
+    if not len(one):
+        return settled
+    later = later_windows(one, doc)
+    return pd.concat([settled, intervals(doc[later], own[later], at[later])])
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -422,6 +434,8 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     left_out = copies.groupBy("doc_id").agg(F.collect_set("h").alias("copied"))
     docs = by(docs, "doc_id").join(left_out, "doc_id", "left").where("copied is null or not array_contains(copied, h)")
+    # from here on h only tells apart the texts of one id: a small number, nearly always 1
+    docs = docs.withColumn("h", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("h")).cast("long"))
     texts = bucketed(docs.select("doc_id", "text", "h"), scratch, n)
     held = scratch.keep(runs(texts.select("doc_id", "text"), 4 * n), "runs")
     met = by(held.where("bucket >= 0"), "bucket").groupBy("bucket").applyInPandas(meet, "doc_id long, hash long")
@@ -440,10 +454,9 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch.drop(found)
     gone = judged.where("whole").select("doc_id", "h", F.col("lo").alias("start"), (F.col("lo") + F.col("count") + LENGTH - 1).alias("end"))
     asked = by(judged.where("not whole"), "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "count")).alias("places"))
-    each = scratch.keep(windows(texts.join(asked, "doc_id").select("doc_id", "text", "h", "places"), 4 * n), "windows")
-    kind = "doc_id long, h long, start long, end long"
-    gone = gone.union(by(each.where("bucket >= 0"), "bucket").groupBy("bucket").applyInPandas(compare, kind))
-    gone = gone.union(each.where("bucket < 0").mapInPandas(known_spans, kind))
+    each = windows(texts.join(asked, "doc_id").select("doc_id", "text", "h", "places"), 4 * n)
+    each = by(each, "bucket").groupBy("bucket").applyInPandas(compare, "doc_id long, h long, start long, end long")
+    gone = gone.union(scratch.keep(each, "spans"))
     gone = by(gone, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "end")).alias("gone"))
     judged_texts = texts.join(gone, "doc_id", "left").select("doc_id", "text", "h", "gone")
     without_id = every.where("doc_id is null").select("doc_id", "text", "h", F.lit(None).cast(judged_texts.schema["gone"].dataType).alias("gone"))
