@@ -98,6 +98,49 @@ def test_fits_are_lloyds(spark):
     assert search.best_model.cost == pytest.approx(clusters.distances(x, search.best_model.centres).min(axis=1).sum(), rel=1e-8)
 
 
+def summed_plainly(x, values, centres):
+    label = clusters.distances(x, centres).argmin(axis=1)
+    return [values[label == i].sum(axis=0).tolist() for i in range(len(centres))]
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 8])
+@pytest.mark.parametrize("far", [0.0, 1e6])
+def test_sums_by_nearest_centre_are_those_of_the_distances(k, far):
+    """Also with rows halfway between centres, equal centres and features far from zero."""
+    rng = np.random.default_rng(k)
+    x = far + rng.integers(-4, 5, (700, 3)) / 2.0
+    values = np.column_stack([np.ones(700), np.rint(rng.normal(0, 2.0**37, (700, 3)))])
+    centres = far + rng.integers(-2, 3, (6, k, 3)) / 2.0
+    centres[0] = centres[0, 0]
+    centres[1] += rng.normal(0, 1e-9, (k, 3))
+    got = clusters.block_sums(x, values, centres)
+    assert [c.tolist() for c in got] == [summed_plainly(x, values, c) for c in centres]
+
+
+def test_rows_meet_all_centres_in_one_product(monkeypatch):
+    """Distances are taken one by one only for rows with two centres within rounding."""
+    rng = np.random.default_rng(3)
+    x, centres = rng.normal(size=(500, 4)), rng.normal(size=(7, 5, 4))
+    values = np.column_stack([np.ones(500), np.rint(x * 2.0**30)])
+    x[9], centres[2, :2], centres[2, 2:] = 0.0, [[1, 0, 0, 0], [-1, 0, 0, 0]], 9.0
+    want, asked, plain = [summed_plainly(x, values, c) for c in centres], [], clusters.distances
+    monkeypatch.setattr(clusters, "distances", lambda rows, own: asked.append(len(rows)) or plain(rows, own))
+    assert [c.tolist() for c in clusters.block_sums(x, values, centres)] == want
+    assert asked == [1]
+
+
+def test_rounds_add_sums_only_and_costs_come_once(spark, monkeypatch):
+    rounds, asked, sums, costs = [], [], clusters.cluster_sums, clusters.costs
+    monkeypatch.setattr(clusters, "cluster_sums", lambda *a: rounds.append(1) or sums(*a))
+    monkeypatch.setattr(clusters, "costs", lambda *a: asked.append(len(a[2])) or costs(*a))
+    x = np.random.default_rng(6).normal(size=(300, 2))
+    points = spark.createDataFrame([(float(a), float(b), i * 0x9E3779B1) for i, (a, b) in enumerate(x)], "x double, y double, _draw long")
+    fits = clusters.fit_all(points, ["x", "y"], [(2, 1), (3, 1), (3, 2)])
+    assert asked == [3] and len(rounds) == max(f.rounds for f in fits) > 1
+    for f in fits:
+        assert f.done and f.cost == pytest.approx(clusters.distances(x, f.centres).min(axis=1).sum(), rel=1e-8)
+
+
 def test_draws_go_by_squared_distance():
     """Waiting times of the seeding: the share of wins is the weight."""
     draw = np.random.default_rng(8).integers(-(2**63), 2**63 - 1, 40_000)

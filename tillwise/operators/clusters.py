@@ -24,6 +24,8 @@ SEGMENT = "Segment"
 TOLERANCE, MAX_ROUNDS = 1e-4, 100
 _DRAW = "_draw"
 _FLUSH = 1 << 20
+#: Rows that meet all centres at once: sums of so many are exact, and the work stays in the processor's cache.
+_BLOCK = 1 << 10
 
 Centres = Mapping[int, Sequence[float]]
 
@@ -102,51 +104,98 @@ def next_centres(points: DataFrame, columns: Sequence[str], fits: Sequence[Fit],
     return {r["fit"]: r["row"][1 : width + 1] for r in drawn.collect()}
 
 
-def cluster_sums(points: DataFrame, columns: Sequence[str], fits: Sequence[Fit], unit: float, cost_unit: float) -> list[tuple[np.ndarray, list[list[int]], int]]:
-    """For each fit the sizes and the sums of its clusters, and its cost, in whole units.
+def block_sums(x: np.ndarray, values: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` (rows x values) over the rows nearest to each centre; ``centres`` is fits x k x columns.
+
+    The first value of each row is 1. Nearest by ``distances``, the lower number on a tie. Half a centre's squared length less its
+    product with the row orders the centres alike, but for rounding: one matrix product for all
+    fits. Rows with two centres within its error are settled by ``distances`` itself.
+    """
+    fits, k, width = centres.shape
+    flat = centres.reshape(-1, width)
+    square = (flat**2).sum(axis=1)
+    apart = (np.column_stack([square / 2, -flat]) @ np.vstack([np.ones(len(x)), x.T])).reshape(fits, k, len(x))
+    # over eight times what rounding can do here and in distances
+    slack = 2.0**-44 * ((x**2).sum(axis=1).max() + square.max()) + np.finfo(float).tiny
+    near = apart <= apart.min(axis=1, keepdims=True) + slack
+    sums = (near.reshape(-1, len(x)).astype(np.float64) @ values).reshape(fits, k, -1)
+    for i in np.flatnonzero(sums[:, :, 0].sum(axis=1) != len(x)):
+        label = near[i].argmax(axis=0)
+        open_ = np.flatnonzero(np.count_nonzero(near[i], axis=0) != 1)
+        label[open_] = distances(x[open_], centres[i]).argmin(axis=1)
+        sums[i] = (label == np.arange(k)[:, None]).astype(np.float64) @ values
+    return sums
+
+
+def cluster_sums(points: DataFrame, columns: Sequence[str], fits: Sequence[Fit], unit: float) -> list[tuple[np.ndarray, list[list[int]]]]:
+    """For each fit the sizes and the sums of its clusters, in whole units.
 
     Features are counted in whole units, so sums are exact and the same in any order.
     """
     centres = [f.centres for f in fits]
     width, most = len(columns), max(len(c) for c in centres)
+    groups = [[i for i, c in enumerate(centres) if len(c) == k] for k in sorted({len(c) for c in centres})]
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alike = [(which, np.array([centres[i] for i in which])) for which in groups]
+
         def empty():
-            return np.zeros((len(centres), most, width + 2), dtype=np.int64)
+            return np.zeros((len(centres), most, width + 1), dtype=np.int64)
 
         def out(total: np.ndarray) -> pa.RecordBatch:
             which = np.flatnonzero(total[:, :, 0].ravel())
-            rows = total.reshape(-1, width + 2)[which]
-            sums = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * (width + 2), pa.int32()), pa.array(rows.ravel()))
+            rows = total.reshape(-1, width + 1)[which]
+            sums = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * (width + 1), pa.int32()), pa.array(rows.ravel()))
             return pa.RecordBatch.from_arrays([pa.array(which // most, pa.int32()), pa.array(which % most, pa.int32()), sums], ["fit", "cluster", "sums"])
 
         total, held = empty(), 0
         for batch in batches:
-            x = points_of(batch, columns)
-            whole = np.rint(x / unit)
-            for i, c in enumerate(centres if len(x) else []):
-                d = distances(x, c)
-                label = d.argmin(axis=1)  # the lower number on a tie
-                near = np.rint(d[np.arange(len(x)), label] / cost_unit)
-                for j, part in enumerate((None, *whole.T, near)):
-                    total[i, : len(c), j] += np.bincount(label, part, len(c)).astype(np.int64)
-            held += len(x)
+            every = points_of(batch, columns)
+            for start in range(0, len(every), _BLOCK):
+                x = every[start : start + _BLOCK]
+                values = np.column_stack([np.ones(len(x)), np.rint(x / unit)])
+                for which, own in alike:
+                    total[which, : own.shape[1]] += block_sums(x, values, own).astype(np.int64)
+            held += len(every)
             if held >= _FLUSH:
                 yield out(total)
                 total, held = empty(), 0
         yield out(total)
 
     parts = points.mapInArrow(add, "fit int, cluster int, sums array<long>")
-    added = parts.groupBy("fit", "cluster").agg(*[F.sum(F.col("sums")[j].cast("decimal(38,0)")).alias(f"s{j}") for j in range(width + 2)])
-    found = [(np.zeros(len(c), dtype=np.int64), [[0] * width for _ in c], 0) for c in centres]
+    added = parts.groupBy("fit", "cluster").agg(*[F.sum(F.col("sums")[j].cast("decimal(38,0)")).alias(f"s{j}") for j in range(width + 1)])
+    found = [(np.zeros(len(c), dtype=np.int64), [[0] * width for _ in c]) for c in centres]
     for r in added.collect():  # a row for each cluster of each fit
-        sizes, sums, cost = found[r["fit"]]
+        sizes, sums = found[r["fit"]]
         sizes[r["cluster"]] = int(r["s0"])
         sums[r["cluster"]] = [int(r[f"s{j + 1}"]) for j in range(width)]
-        found[r["fit"]] = (sizes, sums, cost + int(r[f"s{width + 1}"]))
     return found
 
 
+def costs(points: DataFrame, columns: Sequence[str], fits: Sequence[Fit], unit: float) -> list[int]:
+    """For each fit the sum of squared distances to the nearest centres, in whole units."""
+    centres = [f.centres for f in fits]
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(total: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["fit", "cost"])
+
+        total, held = np.zeros(len(centres), dtype=np.int64), 0
+        for batch in batches:
+            x = points_of(batch, columns)
+            for i, c in enumerate(centres if len(x) else []):
+                total[i] += np.rint(distances(x, c).min(axis=1) / unit).astype(np.int64).sum()
+            held += len(x)
+            if held >= _FLUSH:
+                yield out(total)
+                total, held = np.zeros(len(centres), dtype=np.int64), 0
+        yield out(total)
+
+    added = points.mapInArrow(add, "fit int, cost long").groupBy("fit").agg(F.sum(F.col("cost").cast("decimal(38,0)")).alias("cost"))
+    found = {r["fit"]: int(r["cost"]) for r in added.collect()}  # a row a fit
+    return [found.get(i, 0) for i in range(len(centres))]
+
+
 def fit_all(points: DataFrame, columns: Sequence[str], wanted: Sequence[tuple[int, int]]) -> list[Fit]:
     """K-Means for each (k, seed). All fits share the passes over the points.
 
@@ -160,7 +209,7 @@ def fit_all(points: DataFrame, columns: Sequence[str], wanted: Sequence[tuple[in
     if largest[1]:
         raise ValueError("features have missing values")
     reach = max(math.ceil(math.log2(largest[0])) if largest[0] else 0, 0)
-    # a batch of 2^14 rows adds up below 2^53, and 2^20 rows below 2^63
+    # a block of 2^10 rows adds up below 2^53, and 2^20 rows below 2^63
     unit = 2.0 ** (reach - 38)
     cost_unit = 2.0 ** (2 * reach + 2 + math.ceil(math.log2(len(columns))) - 38)
     for step in range(max((f.k for f in fits), default=0)):
@@ -171,12 +220,15 @@ def fit_all(points: DataFrame, columns: Sequence[str], wanted: Sequence[tuple[in
         moving = [f for f in fits if not f.done and len(f.centres)]
         if not moving:
             break
-        for f, (sizes, sums, cost) in zip(moving, cluster_sums(points, columns, moving, unit, cost_unit)):
+        for f, (sizes, sums) in zip(moving, cluster_sums(points, columns, moving, unit)):
             new = [[s * unit / int(n) for s in row] if n else old.tolist() for n, row, old in zip(sizes, sums, f.centres)]
-            f.cost, f.rounds = cost * cost_unit, f.rounds + 1
+            f.rounds += 1
             f.done = bool((((np.array(new) - f.centres) ** 2).sum(axis=1) <= TOLERANCE**2).all()) or f.rounds == MAX_ROUNDS
             if not f.done:
                 f.centres = np.array(new)
+    standing = [f for f in fits if len(f.centres)]
+    for f, cost in zip(standing, costs(points, columns, standing, cost_unit) if standing else []):
+        f.cost = cost * cost_unit
     return fits
 
 
