@@ -1,9 +1,12 @@
+import random
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tillwise.functions.numbers import exact_sum
+from tillwise.functions.numbers import amount_parts, exact_sum
 from tillwise.operators import charts, quantiles, selection
 from tillwise.operators.ranking import global_rank
 
@@ -109,6 +112,26 @@ def test_sums_are_exact_at_any_scale_and_partitioning(spark, values, want):
         assert df.agg(exact_sum(F.col("x"))).first()[0] == want
 
 
+def test_common_amounts_are_added_with_others(spark):
+    """Amounts of four decimals at most, finer, tiny and large ones: the total of their shortest decimals."""
+    rng = random.Random(3)
+    draws = [lambda: round(rng.uniform(-1e5, 1e5), 2), lambda: round(rng.uniform(-1e9, 1e9), 4), lambda: 7.82e-16, lambda: -0.0, lambda: 999_999_999.9999, lambda: round(rng.uniform(-1, 1), 6)]
+    groups = {g: [rng.choice(draws[: 1 + g % 6])() for _ in range(1 + g % 9)] for g in range(200)}
+    df = spark.createDataFrame([(g, v) for g, own in groups.items() for v in own], "g int, v double")
+    got = {r.g: r.s for r in df.groupBy("g").agg(exact_sum(F.col("v")).alias("s")).collect()}
+    assert got == {g: float(sum(Decimal(repr(v)) for v in own)) for g, own in groups.items()}
+
+
+def test_common_amounts_take_no_decimal(spark):
+    """Amounts of four decimals at most never reach the slow path."""
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr("tillwise.functions.numbers.amount_parts", lambda c: seen.append(c) or amount_parts(c))
+        df = spark.createDataFrame([(0.1, False), (-12.3456, False), (1e8 + 0.25, False), (0.00001, True), (2e9, True)], "v double, slow boolean")
+        df.agg(exact_sum(F.col("v"))).collect()
+    assert df.select(seen[0].isNotNull().alias("s"), "slow").filter("s <> slow").count() == 0
+
+
 def test_rank_and_running_sum_with_a_hot_value(spark):
     """A third of the rows share one value; they spread over several ranges."""
     n = 3000
