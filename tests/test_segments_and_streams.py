@@ -141,6 +141,57 @@ def test_rounds_add_sums_only_and_costs_come_once(spark, monkeypatch):
         assert f.done and f.cost == pytest.approx(clusters.distances(x, f.centres).min(axis=1).sum(), rel=1e-8)
 
 
+def as_points(spark, x):
+    draw = np.random.default_rng(len(x)).integers(-(2**63), 2**63 - 1, len(x)).tolist()
+    return spark.createDataFrame([(float(a), float(b), d) for (a, b), d in zip(x, draw)], "x double, y double, _draw long"), np.array(draw)
+
+
+def test_passes_read_blocks_of_points(spark):
+    """Passes get a field for each block, not for each feature of each row, and no row is lost."""
+    x = np.random.default_rng(2).normal(size=(12_000, 2))
+    points, _ = as_points(spark, x)
+    blocks = clusters.packed(points.coalesce(1), ["x", "y"]).cache()
+    assert blocks.count() <= 4
+    got = np.vstack([np.frombuffer(r["rows"], np.float64).reshape(-1, 2) for r in blocks.collect()])
+    assert sorted(got.tolist()) == sorted(x.tolist()) and clusters.reach_of(blocks) == np.abs(x).max()
+    blocks.unpersist()
+
+
+def test_all_fits_are_judged_in_two_passes(spark, monkeypatch):
+    """The silhouettes of Spark's evaluator, also with a cluster of one row, and none for a single cluster."""
+    x = np.vstack([np.random.default_rng(5).normal(c, 1.0, (40, 2)) for c in ((0, 0), (9, 0))] + [[[50.0, 50.0]]])
+    points, _ = as_points(spark, x)
+    fits = [clusters.Fit(len(c), 1, np.array(c, float)) for c in ([[0, 0], [9, 0]], [[0, 0], [9, 0], [50, 50]], [[0, 0], [900, 900]], [[0, 0], [0, 0], [9, 1]])]
+    want = [clusters.silhouette(clusters.assemble(points, ["x", "y"]).withColumn("Segment", clusters.nearest_centre(["x", "y"], clusters.centres_of(f)))) for f in fits]
+    passes, plain = [], type(points).mapInArrow
+    blocks = clusters.packed(points, ["x", "y"])
+    monkeypatch.setattr(type(points), "mapInArrow", lambda *a: passes.append(1) or plain(*a))
+    got = clusters.silhouettes(blocks, ["x", "y"], fits)
+    assert len(passes) == 2 and got[2] is None and want[2] is None
+    assert [g for g in got if g is not None] == pytest.approx([w for w in want if w is not None], rel=1e-9)
+
+
+def test_first_centres_are_drawn_from_all_rows(spark):
+    """The rows passed over are none that wins: the draw is the least wait of all rows."""
+    x = np.random.default_rng(9).normal(size=(20_000, 2)) ** 3
+    points, draw = as_points(spark, x)
+    blocks = clusters.packed(points.coalesce(1), ["x", "y"]).cache()
+    for step, centres in enumerate([np.zeros((0, 2)), x[:1], x[:2], x[:3]]):
+        fits = [clusters.Fit(4, seed, centres) for seed in range(5)]
+        got = clusters.next_centres(blocks, ["x", "y"], fits, step)
+        for i, f in enumerate(fits):
+            with np.errstate(divide="ignore"):
+                wait = -np.log(clusters.chance(draw, f.seed, step)) / (clusters.distances(x, centres).min(axis=1) if step else 1.0)
+            assert got[i] == x[wait.argmin()].tolist()
+    blocks.unpersist()
+
+
+def test_a_test_part_with_missing_features_is_an_error(spark):
+    rows = spark.createDataFrame([(i, float(i % 7), float(i % 3)) for i in range(50)], "id long, x double, y double")
+    with pytest.raises(ValueError, match="missing"):
+        clusters.ClusterSearch(rows, rows.withColumn("x", F.lit(float("nan"))), ["x", "y"], [2], restarts=1).fit()
+
+
 def test_draws_go_by_squared_distance():
     """Waiting times of the seeding: the share of wins is the weight."""
     draw = np.random.default_rng(8).integers(-(2**63), 2**63 - 1, 40_000)
