@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from tillwise.operators import rfm
-from tillwise.sources.retail import lines, retail
+from tillwise.sources.retail import customers, lines, retail
 
 QUERIES = contract.queries()
 
@@ -85,3 +85,26 @@ def test_aligned_features_need_no_shuffle_above_the_stored_parts(spark, sf_dir):
     text = plan(rfm.align_by_customer(rfm.separate_features(parts, end)))
     assert "Exchange" not in text and "l_orderkey" not in text and "Union" in text
     assert not [t for t in tables if t.name.startswith("bucketed")]
+
+
+def test_features_group_invoices_where_the_join_put_them(spark, tmp_path, monkeypatch):
+    """One shuffle of each table by order, one of the grouped rows by customer, none of the lines by invoice."""
+    t = "2024-01-0%d 00:00:00"
+    tables = {
+        "lineitem": ("l_orderkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, l_discount double", [(1, 1, 2.0, 10.5, 0.0), (1, 1, 2.0, 10.5, 0.0), (2, 1, 1.0, 4.0, 0.1), (3, 2, 4.0, 8.0, 0.0), (None, 2, 4.0, 8.0, 0.0)]),
+        "orders": ("o_orderkey bigint, o_custkey bigint, o_orderdate string", [(1, 7, t % 1), (2, 7, t % 3), (3, 8, t % 2), (3, None, t % 5), (None, 8, t % 4)]),
+    }
+    for name, (schema, rows) in tables.items():
+        df = spark.createDataFrame(rows, schema)
+        df.select(*[F.col(c).cast("timestamp_ntz") if c == "o_orderdate" else F.col(c) for c in df.columns]).write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(rfm, "reused", lambda df: df)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = customers(spark, str(tmp_path))
+        text = plan(got)
+        assert sorted(re.sub(r"#\d+L?", "", e).split(",")[0] for e in re.findall(r"hashpartitioning\(([^)]*)\)", text)) == ["CustomerID", "l_orderkey", "o_orderkey"]
+        want = rfm.rfm_features(lines(spark, str(tmp_path)))
+        assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect()) and got.count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)

@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def retail(
-    spark: SparkSession, sf_dir: str, country: bool = True, description: bool = True
+    spark: SparkSession, sf_dir: str, country: bool = True, description: bool = True, numbered: bool = False
 ) -> DataFrame:
     """One row per invoice line. A discount of 0.10 stands for a give-away.
 
@@ -34,6 +34,8 @@ def retail(
     country goes to the orders first, so that the far more numerous lines are
     shuffled by order once and not again by customer. No join is hinted: Spark
     broadcasts a side by its file size and shuffles it once it has grown.
+    ``numbered``: an invoice keeps the number of its order, so that Spark groups by
+    invoice where the join has put the lines, and shuffles them no second time.
     """
     line, order = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     if country:
@@ -46,7 +48,7 @@ def retail(
     free = F.col("l_discount") == 0.1
     price = F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0))
     columns = {
-        "InvoiceNo": F.col("l_orderkey").cast("string"),
+        "InvoiceNo": F.col("l_orderkey") if numbered else F.col("l_orderkey").cast("string"),
         "StockCode": F.col("l_partkey").cast("string"),
         "Description": F.col("p_name") if description else None,
         "Quantity": F.col("l_quantity").cast("int"),
@@ -115,4 +117,4 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RFM features of every customer of ``retail``."""
-    return rfm_features(lines(spark, sf_dir))
+    return rfm_features(retail(spark, sf_dir, country=False, description=False, numbered=True))
