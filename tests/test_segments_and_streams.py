@@ -186,6 +186,15 @@ def test_first_centres_are_drawn_from_all_rows(spark):
     blocks.unpersist()
 
 
+def test_points_are_dealt_evenly(spark, monkeypatch):
+    """Rows that lie in one part are spread over all cores before the passes read them."""
+    rows = spark.range(4_000, numPartitions=1).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("y"))
+    sizes, plain = [], clusters.fit_blocks
+    monkeypatch.setattr(clusters, "fit_blocks", lambda blocks, *a: sizes.extend(len(r["rows"]) // 16 for r in blocks.collect()) or plain(blocks, *a))
+    clusters.ClusterSearch(rows, rows.limit(10), ["x", "y"], [2], restarts=1).fit()
+    assert sum(sizes) == 4_000 and len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) - min(sizes) <= 16
+
+
 def test_a_test_part_with_missing_features_is_an_error(spark):
     rows = spark.createDataFrame([(i, float(i % 7), float(i % 3)) for i in range(50)], "id long, x double, y double")
     with pytest.raises(ValueError, match="missing"):

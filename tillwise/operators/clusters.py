@@ -95,6 +95,11 @@ def packed(points: DataFrame, columns: Sequence[str]) -> DataFrame:
     return points.select(*columns, _DRAW).mapInArrow(pack, "rows binary, draw binary, reach double, missing long")
 
 
+def dealt(points: DataFrame) -> DataFrame:
+    """Rows dealt evenly, one part a core: a pass ends on all cores at once, and no core takes a second part meanwhile."""
+    return points.repartition(points.sparkSession.sparkContext.defaultParallelism)
+
+
 def unpacked(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows x features, draws) of each block."""
     for batch in batches:
@@ -346,7 +351,7 @@ class ClusterSearch:
         ks = list(self.k_range)
         seeds = [self.seed + i for i in range(self.restarts)]
         ready = [part.select(*[F.col(c).cast("double").alias(c) for c in self.columns], F.xxhash64(*keys).alias(_DRAW)) for part in (self.train, self.test)]
-        with stored(packed(ready[0], self.columns)) as train, stored(packed(ready[1], self.columns)) as test:
+        with stored(packed(dealt(ready[0]), self.columns)) as train, stored(packed(dealt(ready[1]), self.columns)) as test:
             models = fit_blocks(train, self.columns, [(k, s) for k in ks for s in seeds])
             # Of the restarts of one k the least training cost counts.
             kept = [min(models[i * len(seeds) : (i + 1) * len(seeds)], key=lambda m: (m.cost, m.seed)) for i in range(len(ks))]
