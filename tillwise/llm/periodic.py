@@ -27,6 +27,7 @@ compared themselves.
 Defined results
 * words are what stands between blanks (space, tab to carriage return), case kept;
 * null, empty or blank text: no words, no runs, empty collapsed text;
+* words are compared by their bytes and handed on as they are, also bytes that are no UTF-8;
 * rows are handled one by one, so repeated rows or ids give repeated results and a
   null id is kept; an empty table gives no rows; extra columns are not looked at;
 * a text of any length is one unit: runs are found across its whole length.
@@ -182,7 +183,7 @@ def collapsed(texts: list[bytes | None], least: int) -> tuple[pa.Array, pa.Array
     out = [b" ".join(compress(w, kept[b : b + len(w)].tolist()) if k in with_runs else w) for k, (w, b) in enumerate(zip(split, begins.tolist()))]
     places = np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32)
     found = pa.StructArray.from_arrays([pa.array(start - begins[of]), pa.array(length), pa.array(period)], ["start", "length", "period"])
-    return pa.array(out, pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(pa.array(places), found).cast(RUNS)
+    return pa.array(out, pa.binary()).view(pa.string()), pa.ListArray.from_arrays(pa.array(places), found).cast(RUNS)
 
 
 def slices(sizes: list[int]) -> Iterator[tuple[int, int]]:

@@ -120,7 +120,8 @@ def with_periodic_words(documents: DataFrame) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string"))
     g = F.floor(h / 10)
     docs = documents.withColumn("words", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    docs = docs.withColumn("n", F.size("words")).withColumn("a", F.pmod(g, F.col("n")).cast("int"))
+    # without words there is no place to begin, and a remainder by 0 is an error
+    docs = docs.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.pmod(g, F.col("n"))).cast("int"))
     docs = docs.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.pmod(g, F.lit(8))))).cast("int"))
     period = F.slice("words", F.col("a") + 1, F.col("p"))
     again = F.flatten(F.array_repeat(period, F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
