@@ -16,9 +16,11 @@ Bounds and the search use float64 with a margin for its rounding. Possible membe
 rescored as integers: by float64 where no sum can reach 2^53, by 64-bit numbers where none
 can reach 2^63, and beyond by numbers of any length.
 
-Queries are held in blocks too. A block of rows meets the query blocks in parts of
-``QUERY_BLOCKS``: the join's key is the block and the part, so no key holds more than one block
-of rows and those query blocks; nothing is broadcast or collected.
+Queries are held in blocks too. Groups of row blocks meet the query blocks in parts of
+``QUERY_BLOCKS``: the join's key is the group and the part. Its sides hold few and large rows that
+are copied for the join only, so their size in files says little: it is a merge join by hint, and
+nothing is broadcast or collected. Queries are copied once a group, not once a block: as often as
+takes about the room of the rows, or once for each task of a shuffle.
 
 Defined results
 * vectors that are null, empty or hold null or non-finite numbers take no part, nor do null ids;
@@ -37,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwise.llm.common import Scratch
+from tillwise.llm.common import Scratch, partitions
 
 SCALE = 1024
 BLOCK = 4096
@@ -153,10 +155,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOC
     held, blocks = in_blocks(vectors, block, "block")
     asked, query_blocks = in_blocks(queries, query_block, "query")
     parts = -(-query_blocks // QUERY_BLOCKS)
-    held = scratch.keep(held, "index").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    groups = min(blocks, max(partitions(vectors.sparkSession), blocks * block // (query_blocks * query_block)))
+    held = scratch.keep(held, "index").withColumn("block_group", F.pmod("block", F.lit(groups)).cast("int"))
+    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     asked = scratch.keep(asked, "queries").withColumn("part", F.pmod("query", F.lit(parts)).cast("int"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = held.join(asked, ["dim", "block", "part"])
+    asked = asked.withColumn("block_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    pairs = held.join(asked.hint("merge"), ["dim", "block_group", "part"])
 
     def search(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, index = None, None
