@@ -3,11 +3,12 @@
 Vectors are turned into integers and dealt into blocks of bounded size. Of each
 block the index holds, per component, posting segments: the rows in order of their
 value, cut into ``SEGMENTS`` runs, each with its largest and smallest value. For a
-query, a segment's impact is the most its rows can gain from that component.
+block of queries, a segment's impact is the most its rows can gain from that component.
 
 Segments are processed by descending impact, in rounds. After a round every row
-has a bound: what its processed segments give plus, for the others, the impact the
-component has left. Rows with the highest bounds are scored exactly, the k-th
+has a bound for each query: what its processed segments give plus, for the others, the
+impact the component has left; two matrix products give the bounds of a block of queries
+that have no proof yet. Rows with the highest bounds are scored exactly, the k-th
 score is the limit, and all rows whose bound reaches it are possible members. The
 search stops on proof only: when every possible member has been scored exactly.
 Blocks answer for themselves; the k best of a query over all blocks follow.
@@ -48,6 +49,8 @@ QUERY_BLOCKS = 32
 SEGMENTS = 16
 #: Shares of the posting segments that are processed when a round ends.
 ROUNDS = (0.25, 0.5, 1.0)
+#: Components whose bounds are written out at a time.
+COMPONENTS = 64
 
 
 def integers(vector: Column, scale: int = SCALE) -> Column:
@@ -106,43 +109,58 @@ class Index:
             raise OverflowError("a score is beyond 64 bits")
         return scores.astype(np.int64)
 
-    def search(self, query: np.ndarray, k: int, barred: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that may be among the k best, with their exact scores; the k best are among them."""
+    def bounds(self, queries: np.ndarray, processed: np.ndarray) -> np.ndarray:
+        """The most each row can score for each query, as far as the ``processed`` segments (dim x segments) tell."""
+        # what a component has left: the largest value, or smallest, of its other segments
+        high = np.where(processed, self.high, np.where(processed, -np.inf, self.high).max(axis=1, keepdims=True))
+        low = np.where(processed, self.low, np.where(processed, np.inf, self.low).min(axis=1, keepdims=True))
+        most = np.zeros((len(queries), len(self.values)))
+        for begin in range(0, self.dim, COMPONENTS):
+            c = slice(begin, begin + COMPONENTS)
+            most += np.maximum(queries[:, c], 0) @ np.take_along_axis(high[c], self.segment[c], axis=1)
+            most += np.minimum(queries[:, c], 0) @ np.take_along_axis(low[c], self.segment[c], axis=1)
+        return most
+
+    def search(self, queries: np.ndarray, k: int, barred: list[slice]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, rows that may be among the k best, with their exact scores; the k best are among them."""
         n = len(self.values)
-        q = query.astype(np.float64)
-        reach = float(np.abs(q) @ self.most)
-        margin = 0.0 if reach < 2.0**52 else reach * (self.dim + 2) * 2.0**-52  # of a sum in float64
-        impact = np.where(q[:, None] >= 0, q[:, None] * self.high, q[:, None] * self.low)
-        gain = impact - impact.min(axis=1, keepdims=True)
+        q = queries.astype(np.float64)
+        reach = np.abs(q) @ self.most
+        margin = np.where(reach < 2.0**52, 0.0, reach * (self.dim + 2) * 2.0**-52)  # of a sum in float64
+        up, down = np.maximum(q, 0).max(axis=0)[:, None], np.maximum(-q, 0).max(axis=0)[:, None]
+        gain = np.maximum(up * (self.high - self.high[:, -1:]), down * (self.low[:, :1] - self.low))  # for the query that gains most
         ranked = np.argsort(-gain, axis=None, kind="stable")
-        score = np.full(n, -np.inf)
-        done = barred.copy()
-        limit = -np.inf
+        scored = [(np.zeros(0, np.intp), np.zeros(0))] * len(q)
+        limit = np.full(len(q), -np.inf)
+        open_ = np.arange(len(q))
         for share in ROUNDS:
             processed = np.zeros(gain.size, dtype=bool)
             processed[ranked[: int(np.ceil(share * gain.size))]] = True
-            processed = processed.reshape(gain.shape)
-            left = np.where(processed, -np.inf, impact).max(axis=1)  # the most a component still has to give
-            bound = np.where(processed, impact, left[:, None])
-            most = np.zeros(n)
-            for d in range(self.dim):
-                most += bound[d][self.segment[d]]
-            most[barred] = -np.inf
-            if limit == -np.inf:
-                first = np.argpartition(-most, min(4 * k, n - 1))[: 4 * k + 1]
-                first = first[~done[first]]
-                score[first] = self.values[first] @ q
-                done[first] = True
-            scored = score[done & ~barred]
-            if len(scored) >= k:
-                limit = np.partition(scored, len(scored) - k)[len(scored) - k] - 2 * margin
-            possible = np.flatnonzero((most >= limit) & ~done)
-            if len(possible) <= n // 16 or share == ROUNDS[-1]:
-                score[possible] = self.values[possible] @ q
-                done[possible] = True
+            still = []
+            for i, most in zip(open_.tolist(), self.bounds(q[open_], processed.reshape(gain.shape))):
+                most[barred[i]] = -np.inf
+                rows, score = scored[i]
+                if limit[i] == -np.inf:
+                    first = np.argpartition(-most, min(4 * k, n - 1))[: 4 * k + 1]
+                    first = first[most[first] > -np.inf]
+                    rows, score = first, self.values[first] @ q[i]
+                if len(score) >= k:
+                    limit[i] = np.partition(score, len(score) - k)[len(score) - k] - 2 * margin[i]
+                most[rows] = -np.inf
+                possible = np.flatnonzero((most >= limit[i]) & (most > -np.inf))
+                if len(possible) <= n // 16 or share == ROUNDS[-1]:
+                    rows, score = np.concatenate((rows, possible)), np.concatenate((score, self.values[possible] @ q[i]))
+                else:
+                    still.append(i)
+                scored[i] = rows, score
+            open_ = np.array(still, dtype=np.intp)
+            if not len(open_):
                 break
-        members = np.flatnonzero(done & ~barred & (score >= limit - 2 * margin))
-        return members, self.exact(members, query, reach)
+        found = []
+        for i, (rows, score) in enumerate(scored):
+            members = rows[score >= limit[i] - 2 * margin[i]]
+            found.append((members, self.exact(members, queries[i], reach[i])))
+        return found
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -170,12 +188,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOC
                 if last != (row.dim, row.block):
                     last, index = (row.dim, row.block), Index(np.frombuffer(row.block_values, "<i8").reshape(-1, row.dim))
                 query_ids = np.frombuffer(row.query_ids, "<i8")
-                found = []
-                for query_id, q in zip(query_ids.tolist(), np.frombuffer(row.query_values, "<i8").reshape(-1, row.dim)):
-                    members, scores = index.search(q, k, ids == query_id)
-                    top = best(ids[members], scores, k)
-                    found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[members][top], "score": scores[top]}))
-                yield pd.concat(found)
+                barred = [slice(*x) for x in zip(np.searchsorted(ids, query_ids), np.searchsorted(ids, query_ids, side="right"))]
+                found = index.search(np.frombuffer(row.query_values, "<i8").reshape(-1, row.dim), k, barred)
+                tops = [best(ids[members], scores, k) for members, scores in found]
+                yield pd.DataFrame({
+                    "query_id": np.repeat(query_ids, [len(top) for top in tops]),
+                    "vec_id": np.concatenate([ids[members][top] for (members, _), top in zip(found, tops)]),
+                    "score": np.concatenate([scores[top] for (_, scores), top in zip(found, tops)]),
+                })
 
     found = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
